@@ -2,26 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-
-def _between(t: Column, before: Column, after: Column) -> Column:
-    width = after["t"] - before["t"]
-    share = (t - before["t"]) / width
-    return F.when(width == 0, before["v"]).otherwise(
-        before["v"] + share * (after["v"] - before["v"])
-    )
-
-
-def _filled(t, before, after, edge: str, fill: float, empty: Column) -> Column:
-    leading = {"hold": after["v"], "fill": F.lit(fill), "leading_zero": F.lit(0.0)}[edge]
-    trailing = {"hold": before["v"], "fill": F.lit(fill), "leading_zero": before["v"]}[edge]
-    return (
-        F.when(before.isNull() & after.isNull(), empty)
-        .when(before.isNull(), leading)
-        .when(after.isNull(), trailing)
-        .otherwise(_between(t, before, after))
-    )
+from phenoframe.functions.gaps import bracketed
 
 
 def fill_gaps(
@@ -57,7 +40,7 @@ def fill_gaps(
         out = out.withColumn(f"_n_{c}", F.last(point, ignorenulls=True).over(future))
     t = order.cast("double")
     done = {
-        c: _filled(
+        c: bracketed(
             t,
             F.col(f"_p_{c}"),
             F.col(f"_n_{c}"),
@@ -114,7 +97,7 @@ def irregular_to_grid(
     at = F.lit(float(start)) + F.col("i") * F.lit(float(step))
     exact = F.col("_a.t") == at
     value = F.when(exact, F.col("_a.v")).otherwise(
-        _filled(at, F.col("_b"), F.col("_a"), "fill", fill, F.lit(fill))
+        bracketed(at, F.col("_b"), F.col("_a"), "fill", fill, F.lit(fill))
     )
     return edges.where(F.col("i") >= 0).select(
         *keys, F.col("i").alias("t"), at.alias("grid_time"), value.alias(value_col)

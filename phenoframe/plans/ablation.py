@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from phenoframe.functions.labels import in_top
 from phenoframe.functions.losses import cross_entropy
 from phenoframe.operators.evaluate import evaluation
-from phenoframe.scale.ranks import hash_int, stable_hash
 
 
 def flatten(series: Column) -> Column:
@@ -100,7 +99,3 @@ def compare_rates(
         rows.append(loss.select(F.lit(float(rate)).alias("rate"), "val_loss"))
     return reduce(lambda a, b: a.unionByName(b), rows)
 
-
-def bucketed(column: Column, seed: int, n: int) -> Column:
-    """A reproducible bucket 0..n-1 of a key."""
-    return F.pmod(hash_int(stable_hash(seed, column)), F.lit(n)).cast("int")

@@ -5,18 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from phenoframe.functions.arrays import append_mask_channel
-from phenoframe.functions.masks import sanitise_series, valid_steps
+from phenoframe.functions.gaps import fill_series
+from phenoframe.functions.masks import finite_or_null, sanitise_series, valid_steps
 from phenoframe.functions.temporal import resample_linear, resample_mask_nearest
 from phenoframe.operators.align import coerce_id, inner_by_id, zero_modality
 from phenoframe.operators.composite import (
     decadal_composite,
     dense_series,
-    long_to_series,
     radar_columns,
-    series_to_long,
 )
 from phenoframe.operators.filters import clear_scenes
-from phenoframe.operators.gapfill import fill_gaps
 from phenoframe.operators.sampling import equal_sample, paper_split, ratio_split, read_sampled
 from phenoframe.operators.scaling import (
     apply_column_scaler,
@@ -28,14 +26,14 @@ from phenoframe.schemas import BANDS, N_STEPS
 
 
 def prepare_table(
-    samples: DataFrame, key: str, y: str, bands: list[str] = BANDS, *, fill: bool = True, seed: int = 42
+    samples: DataFrame, key: str, y: str, bands: list[str] = BANDS, *,
+    fill: bool = True, seed: int = 42,
 ) -> tuple[DataFrame, DataFrame]:
     """Folded samples to a split, gap-filled and standardised dataset and its scaler."""
-    rows = samples
+    series = F.transform("series", lambda step: F.transform(step, finite_or_null))
+    rows = samples.withColumn("series", series)
     if fill:
-        long = series_to_long(samples.select(key, "series", "mask"), [key], bands)
-        filled = long_to_series(fill_gaps(long, [key], "t", bands), [key], bands)
-        rows = samples.drop("series", "mask").join(filled, key)
+        rows = rows.withColumn("series", fill_series(F.col("series"), len(bands)))
     rows = rows.withColumn("series", sanitise_series(F.col("series")))
     split = paper_split(rows, y, [key], seed=seed)
     scaler = fit_series_scaler(split, bands)

@@ -1,0 +1,6 @@
+"""All registered queries."""
+
+from phenoframe.registry.base import ORACLES, QUERIES
+from phenoframe.registry import ingest, signals  # noqa: F401
+
+__all__ = ["ORACLES", "QUERIES"]
