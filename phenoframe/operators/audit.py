@@ -40,7 +40,7 @@ def missing_by_sample(samples: DataFrame, keys: list[str], mask: str = "mask") -
 
 def missing_by_step(samples: DataFrame, mask: str = "mask") -> DataFrame:
     """Share of missing samples of every step."""
-    steps = samples.select(F.posexplode(mask).alias("t", "m"))
+    steps = samples.select(F.posexplode_outer(mask).alias("t", "m"))
     return steps.groupBy("t").agg((F.lit(1.0) - F.avg(F.col("m").cast("int"))).alias("missing_rate"))
 
 

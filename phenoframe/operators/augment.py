@@ -11,7 +11,7 @@ def _noisy(step: Column, t: Column, valid: Column, ident: list[Column], seed, sd
     def shifted(x: Column, c: Column) -> Column:
         return x + gaussian(stable_hash(f"{seed}n", *ident, t, c)) * F.lit(sd)
 
-    return F.when(valid, F.transform(step, shifted)).otherwise(step)
+    return step if sd == 0 else F.when(valid, F.transform(step, shifted)).otherwise(step)
 
 
 def drop_steps_and_jitter(

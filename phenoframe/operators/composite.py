@@ -128,7 +128,7 @@ def dense_series(
 def series_to_long(samples: DataFrame, keys: list[str], bands: list[str]) -> DataFrame:
     """One row per step with one column per band and the step mask."""
     zipped = F.arrays_zip(F.col("series"), F.col("mask"))
-    exploded = samples.select(*keys, F.posexplode(zipped).alias("t", "_z"))
+    exploded = samples.select(*keys, F.posexplode_outer(zipped).alias("t", "_z"))
     return exploded.select(
         *keys,
         "t",

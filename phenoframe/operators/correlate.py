@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from phenoframe.scale.bounds import small_table
+from phenoframe.scale.bounds import materialised
 from phenoframe.scale.ranks import average_ranks
 
 
@@ -27,7 +27,10 @@ def pearson_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 def spearman_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rank correlation of every pair of columns; equal values share their average rank."""
     ranked = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    ranks = materialised(average_ranks(ranked, columns))
     for c in columns:
-        ranks = small_table(average_ranks(ranked, c, f"_rank_{c}"), 100_000)
-        ranked = ranked.join(ranks, c, "left")
+        own = ranks.where(F.col("name") == c).select(
+            F.col("value").alias(c), F.col("rank").alias(f"_rank_{c}")
+        )
+        ranked = ranked.join(own, c, "left")
     return pearson_matrix(ranked.select(*[F.col(f"_rank_{c}").alias(c) for c in columns]), columns)

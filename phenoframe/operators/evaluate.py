@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from phenoframe.functions.labels import in_top
 
@@ -38,6 +38,12 @@ def marginals(confusion: DataFrame) -> DataFrame:
     )
 
 
+def _agreement() -> list[Column]:
+    po = F.col("tp") / F.col("n")
+    pe = F.col("chance") / (F.col("n").cast("double") * F.col("n"))
+    return [po.alias("accuracy"), F.when(pe != 1, (po - pe) / (1 - pe)).alias("kappa")]
+
+
 def accuracy_kappa(confusion: DataFrame) -> DataFrame:
     """Overall accuracy and agreement beyond chance in one row."""
     n = F.sum("support")
@@ -45,13 +51,11 @@ def accuracy_kappa(confusion: DataFrame) -> DataFrame:
         F.sum("tp").alias("tp"), n.alias("n"),
         F.sum(F.col("support").cast("double") * F.col("predicted")).alias("chance"),
     )
-    po = F.col("tp") / F.col("n")
-    pe = F.col("chance") / (F.col("n").cast("double") * F.col("n"))
-    return sums.select(po.alias("accuracy"), F.when(pe != 1, (po - pe) / (1 - pe)).alias("kappa"))
+    return sums.select(*_agreement())
 
 
 def class_report(confusion: DataFrame, eps: float = 0.0) -> DataFrame:
-    """Precision, recall, F1 and support per class; a zero divisor gives 0.
+    """Hits, precision, recall, F1 and support per class; a zero divisor gives 0.
 
     With ``eps`` the divisors are raised by it instead, as a running metric does.
     """
@@ -62,7 +66,7 @@ def class_report(confusion: DataFrame, eps: float = 0.0) -> DataFrame:
 
     tp = F.col("tp")
     scored = marginals(confusion).select(
-        "class_id", "support", "predicted",
+        "class_id", "tp", "support", "predicted",
         ratio(tp, F.col("predicted")).alias("precision"), ratio(tp, F.col("support")).alias("recall"),
     )
     p, r = F.col("precision"), F.col("recall")
@@ -97,11 +101,16 @@ def mean_loss(df: DataFrame, loss: str, weight: str | None = None) -> DataFrame:
 
 def evaluation(df: DataFrame, y_true: str, y_pred: str, n_classes: int) -> DataFrame:
     """Accuracy, kappa and F1 scores in one row."""
-    confusion = confusion_matrix(df, y_true, y_pred, n_classes)
-    f1 = f1_scores(confusion).agg(F.first(F.struct("f1_macro", "f1_weighted"))).scalar()
-    return accuracy_kappa(confusion).withColumn("_f", f1).select(
-        "accuracy", "kappa", F.col("_f.f1_macro").alias("f1_macro"), F.col("_f.f1_weighted").alias("f1_weighted")
+    report = class_report(confusion_matrix(df, y_true, y_pred, n_classes))
+    occurs = F.col("support") + F.col("predicted") > 0
+    n = F.sum("support")
+    sums = report.agg(
+        F.sum("tp").alias("tp"), n.alias("n"),
+        F.sum(F.col("support").cast("double") * F.col("predicted")).alias("chance"),
+        F.avg(F.when(occurs, F.col("f1"))).alias("f1_macro"),
+        (F.sum(F.col("f1") * F.col("support")) / n).alias("f1_weighted"),
     )
+    return sums.select(*_agreement(), "f1_macro", "f1_weighted")
 
 
 def best_epochs(log: DataFrame, config: str = "config", epoch: str = "epoch", loss: str = "val_loss",

@@ -40,7 +40,7 @@ def fit_series_scaler(
     Returns ``(t, c, name, mean, std)`` with ``t`` null for the per-channel fit: as many
     rows as the series has values, whatever the number of samples.
     """
-    steps = training(samples, split).select(F.posexplode(series).alias("t", "_x"))
+    steps = training(samples, split).select(F.posexplode_outer(series).alias("t", "_x"))
     values = [F.get("_x", F.lit(i)).cast("double") for i in range(len(names))]
     aggs = [F.avg(v).alias(f"_m{i}") for i, v in enumerate(values)]
     aggs += [F.stddev_pop(v).alias(f"_s{i}") for i, v in enumerate(values)]
@@ -108,7 +108,7 @@ def impute_median(df: DataFrame, columns: list[str], split: str | None = "split"
 def impute_zero(df: DataFrame, columns: list[str]) -> DataFrame:
     """Null and NaN become 0."""
     return df.withColumns(
-        {c: F.when(~F.isnan(c), F.col(c)).otherwise(F.lit(0.0)) for c in columns}
+        {c: F.when(F.col(c).isNotNull() & ~F.isnan(c), F.col(c)).otherwise(F.lit(0.0)) for c in columns}
     )
 
 

@@ -22,6 +22,7 @@ from phenoframe.operators.scaling import (
     fit_column_scaler,
     fit_series_scaler,
 )
+from phenoframe.scale.bounds import materialised
 from phenoframe.schemas import BANDS, N_STEPS
 
 
@@ -29,12 +30,15 @@ def prepare_table(
     samples: DataFrame, key: str, y: str, bands: list[str] = BANDS, *,
     fill: bool = True, seed: int = 42,
 ) -> tuple[DataFrame, DataFrame]:
-    """Folded samples to a split, gap-filled and standardised dataset and its scaler."""
+    """Folded samples to a split, gap-filled and standardised dataset and its scaler.
+
+    The filled samples are written once, since splitting, fitting and scaling each read them.
+    """
     series = F.transform("series", lambda step: F.transform(step, finite_or_null))
     rows = samples.withColumn("series", series)
     if fill:
         rows = rows.withColumn("series", fill_series(F.col("series"), len(bands)))
-    rows = rows.withColumn("series", sanitise_series(F.col("series")))
+    rows = materialised(rows.withColumn("series", sanitise_series(F.col("series"))))
     split = paper_split(rows, y, [key], seed=seed)
     scaler = fit_series_scaler(split, bands)
     return apply_series_scaler(split, scaler), scaler
@@ -93,7 +97,7 @@ def standardise_modalities(
 
     Series are scaled per step and channel, radar and static columns per column.
     """
-    split = ratio_split(aligned, [y], [id_col], seed=seed)
+    split = ratio_split(materialised(aligned), [y], [id_col], seed=seed)
     names = [f"c{i}" for i in range(channels or len(BANDS))]
     series = apply_series_scaler(split, fit_series_scaler(split, names, per_step=True), per_step=True)
     columns = [*radar_columns(), *statics]

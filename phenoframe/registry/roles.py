@@ -29,8 +29,13 @@ OBS = """obs AS (
 
 
 def observations(spark: SparkSession, sf: str) -> DataFrame:
+    return observations_of(table(spark, sf, "lineitem"))
+
+
+def observations_of(lineitem: DataFrame) -> DataFrame:
+    """Batch or streaming line items as observations."""
     flag = F.col("l_returnflag")
-    return table(spark, sf, "lineitem").select(
+    return lineitem.select(
         F.col("l_suppkey").alias("pixel_id"),
         F.col("l_shipdate").cast("date").alias("obs_date"),
         F.nullif(F.col("l_discount") * 10000, F.lit(0.0)).alias("green"),
@@ -140,8 +145,8 @@ def tensors(spark: SparkSession, sf: str) -> DataFrame:
 
 def tensor_rows(df: DataFrame, keys: list[str], column: str = "series", value: str = "x") -> DataFrame:
     """A series column as one row per step and channel."""
-    steps = df.select(*keys, F.posexplode(column).alias("t", "_s"))
-    return steps.select(*keys, "t", F.posexplode("_s").alias("c", value))
+    steps = df.select(*keys, F.posexplode_outer(column).alias("t", "_s"))
+    return steps.select(*keys, "t", F.posexplode_outer("_s").alias("c", value))
 
 
 # Predictions: softmax of the first ten entries as scores of ten classes.

@@ -140,7 +140,7 @@ def radar_months(spark, sf):
     wide = wide.withColumns({f"ratio_{m:02d}": F.col(f"vh_{m:02d}") - F.col(f"vv_{m:02d}") for m in range(1, 13)})
     names = radar_columns()
     tensor = radar_tensor(*[[F.col(c) for c in names[i::3]] for i in range(3)])
-    long = wide.select("id", F.posexplode(tensor).alias("m", "s"))
+    long = wide.select("id", F.posexplode_outer(tensor).alias("m", "s"))
     return long.select(
         "id", (F.col("m") + 1).alias("month"), *[r(f"s.{c}", 10).alias(c) for c in ("ratio", "vh", "vv")]
     )
@@ -186,7 +186,7 @@ FROM tensor GROUP BY vec_id, t"""))
 def valid_step_mask(spark, sf):
     rows = tensors(spark, sf)
     flags = [masks.valid_steps(F.col("series"), rule, 0.2).alias(rule) for rule in RULES]
-    return rows.select("vec_id", F.posexplode(F.arrays_zip(*flags)).alias("t", "m")).select("vec_id", "t", "m.*")
+    return rows.select("vec_id", F.posexplode_outer(F.arrays_zip(*flags)).alias("t", "m")).select("vec_id", "t", "m.*")
 
 
 @query("mask_fallback", with_ctes(TENSOR, body="""
@@ -202,7 +202,7 @@ def mask_fallback(spark, sf):
     both = F.arrays_zip(
         masks.mask_or_derived(F.col("m"), F.col("d")).alias("safe"), masks.ensure_one_valid(F.col("m")).alias("ensured")
     )
-    return rows.select("vec_id", F.posexplode(both).alias("t", "b")).select("vec_id", "t", "b.*")
+    return rows.select("vec_id", F.posexplode_outer(both).alias("t", "b")).select("vec_id", "t", "b.*")
 
 
 @query("min_valid_filter", with_ctes(OBS, COMP, body="""
@@ -261,7 +261,7 @@ def nearest(spark, sf):
     full = F.transform("series", lambda s: F.forall(s, lambda x: x.isNotNull()))
     rows = tensors(spark, sf).select("vec_id", full.alias("m"))
     return rows.select(
-        "vec_id", F.posexplode(resample_mask_nearest(F.col("m"), TENSOR_STEPS, 8)).alias("t", "valid")
+        "vec_id", F.posexplode_outer(resample_mask_nearest(F.col("m"), TENSOR_STEPS, 8)).alias("t", "valid")
     )
 
 

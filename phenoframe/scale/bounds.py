@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def small_table(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
@@ -20,13 +21,29 @@ def small_table(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, schema=df.schema)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder the cluster names."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder the cluster names; a temporary one where none is set."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="phenoframe-"))
-    return df.checkpoint()
+    return context.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own for written tables, next to the checkpoints."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder once and read it back.
+
+    This cuts lineage like a checkpoint, survives lost executors, and gives later joins the
+    real size of the table.
+    """
+    path = new_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def heavy_keys(df: DataFrame, keys: list[str], max_rows: int) -> DataFrame | None:
@@ -37,3 +54,4 @@ def heavy_keys(df: DataFrame, keys: list[str], max_rows: int) -> DataFrame | Non
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     heavy = small_table(counted.where(F.col("_n") > max_rows).select(*keys))
     return None if heavy.isEmpty() else heavy
+

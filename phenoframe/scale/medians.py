@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from phenoframe.scale.bounds import checkpointed, small_table
+from phenoframe.scale.bounds import materialised, small_table
 
 
 def split_medians(df: DataFrame, by: list[str], columns: list[str], slices: int = 256) -> DataFrame:
@@ -20,7 +20,7 @@ def split_medians(df: DataFrame, by: list[str], columns: list[str], slices: int
         )
     )
     long = df.select(*by, cells.alias("_x")).select(*by, "_x._k", "_x._v")
-    counted = checkpointed(
+    counted = materialised(
         long.where(F.col("_v").isNotNull())
         .groupBy(*by, "_k", "_v")
         .agg(F.count(F.lit(1)).alias("_n"))

@@ -8,10 +8,11 @@ starting rank; only rows inside a slice are then sorted together.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from phenoframe.scale.bounds import checkpointed, small_table
+from phenoframe.scale.bounds import materialised, small_table
 
 UNBOUNDED = Window.unboundedPreceding
 SLICE_DIGITS = 3  # 16**3 slices per group
@@ -77,12 +78,12 @@ def hash_segments(
     """Segment number of every row: how many ``cuts`` lie below its rank in hash order.
 
     ``cuts`` are ascending ranks, written over the columns ``by`` and the group size ``n``.
-    Slices that a cut does not pass through are decided by their number alone, without a
-    shuffle; only rows of the few slices a cut passes through are ranked.
+    Slice counts show which slice each cut falls into; only those slices are ranked, to find
+    the key at the cut. Rows are then placed by comparing their own key with the keys at the
+    cuts: the data itself is neither shuffled nor sorted.
     """
     group = by or ["_all"]
-    source = df if by else df.withColumn("_all", F.lit(0))
-    keyed = _sliced(source, ids, seed, digits)
+    keyed = _sliced(df if by else df.withColumn("_all", F.lit(0)), ids, seed, digits)
     slices = keyed.groupBy(*group, "_s").agg(F.count(F.lit(1)).alias("_n"))
     running = Window.partitionBy(*group).orderBy("_s").rowsBetween(UNBOUNDED, 0)
     spans = slices.select(
@@ -104,34 +105,47 @@ def hash_segments(
         ]
     per_group = small_table(spans.groupBy(*group).agg(*stats))
 
-    tagged = keyed.join(per_group, group)
-    crossed = F.lit(False)
-    start = F.lit(None).cast("bigint")
-    whole = F.lit(0)
-    ranked = F.lit(0)
-    for j in range(len(cuts)):
-        here = F.coalesce(F.col("_s") == F.col(f"_cross{j}"), F.lit(False))
-        crossed = crossed | here
-        start = F.coalesce(start, F.when(here, F.col(f"_start{j}")))
-        whole = whole + F.when(F.col("_s") >= F.col(f"_beyond{j}"), 1).otherwise(0)
-        ranked = ranked + F.when(F.col("_rank") > F.col(f"_c{j}"), 1).otherwise(0)
-    inside = Window.partitionBy(*group, "_s").orderBy("_h", *ids)
-    decided = tagged.where(~crossed).select(*df.columns, whole.alias(out))
-    split = (
-        tagged.where(crossed)
-        .withColumn("_rank", F.row_number().over(inside) + start)
-        .select(*df.columns, ranked.alias(out))
+    n_cuts = range(len(cuts))
+    here = [F.coalesce(F.col("_s") == F.col(f"_cross{j}"), F.lit(False)) for j in n_cuts]
+    start = F.coalesce(*[F.when(here[j], F.col(f"_start{j}")) for j in n_cuts])
+    key = F.struct("_h", *ids)
+    ranked = (
+        keyed.select(*group, "_s", "_h", *ids)
+        .join(per_group, group)
+        .where(reduce(lambda a, b: a | b, here))
+        .withColumn(
+            "_rank",
+            start + F.row_number().over(Window.partitionBy(*group, "_s").orderBy("_h", *ids)),
+        )
     )
-    return decided.unionByName(split)
+    ends = [
+        F.max(F.when(F.col("_rank") == F.col(f"_c{j}"), key)).alias(f"_key{j}") for j in n_cuts
+    ]
+    parts = [
+        F.col(f"_key{j}.{name}").alias(f"_key{j}_{i}")
+        for j in n_cuts
+        for i, name in enumerate(["_h", *ids])
+    ]
+    keys = small_table(ranked.groupBy(*group).agg(*ends).select(*group, *parts))
+    places = per_group.select(*group, *[f"_beyond{j}" for j in n_cuts]).join(keys, group, "left")
+
+    segment = F.lit(0)
+    for j in n_cuts:
+        at = F.struct(*[F.col(f"_key{j}_{i}").alias(n) for i, n in enumerate(["_h", *ids])])
+        after = F.when(F.col(f"_key{j}_0").isNotNull(), key > at).otherwise(
+            F.col("_s") >= F.col(f"_beyond{j}")
+        )
+        segment = segment + F.when(after, 1).otherwise(0)
+    return keyed.join(places, group).select(*df.columns, segment.alias(out))
 
 
 def sequential_id(df: DataFrame, order: list[str], out: str = "id", start: int = 0) -> DataFrame:
     """Consecutive numbers in the order of ``order``.
 
-    The rows are range-partitioned, sorted and checkpointed once; a row's number is its
+    The rows are range-partitioned, sorted and written once; a row's number is its
     place in its partition plus the rows of the partitions before it.
     """
-    placed = checkpointed(
+    placed = materialised(
         df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id())
     ).withColumn("_p", F.shiftrightunsigned("_m", 33))
     sizes = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
@@ -146,31 +160,35 @@ def sequential_id(df: DataFrame, order: list[str], out: str = "id", start: int =
     )
 
 
-def average_ranks(df: DataFrame, column: str, out: str, slices: int = 256) -> DataFrame:
-    """Average rank of every distinct value of a numeric column: ``(column, out)``.
+def average_ranks(df: DataFrame, columns: list[str], slices: int = 256) -> DataFrame:
+    """Average rank of every distinct value of numeric columns: ``(name, value, rank)``.
 
     Equal values collapse to one counted row first, so ties never gather in a task. The
-    distinct values are cut at approximate quantiles; ranks stay exact.
+    distinct values of a column are cut at approximate quantiles and each slice is counted
+    and ordered on its own; the ranks stay exact.
     """
-    counted = df.where(F.col(column).isNotNull()).groupBy(
-        F.col(column).cast("double").alias("_v")
-    ).agg(F.count(F.lit(1)).alias("_n"))
+    cells = F.explode(
+        F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns])
+    )
+    counted = (
+        df.select(cells.alias("_x"))
+        .select("_x.*")
+        .where(F.col("value").isNotNull())
+        .groupBy("name", "value")
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
     shares = [i / slices for i in range(1, slices)]
-    row = counted.agg(F.percentile_approx("_v", shares, 10_000).alias("b")).first()
-    inner = sorted(set(row["b"] or [0.0]))
-    splits = [float("-inf"), *inner, float("inf")]
-    placed = Bucketizer(splits=splits, inputCol="_v", outputCol="_s").transform(counted)
-    sizes = placed.groupBy("_s").agg(F.sum("_n").alias("_t"))
-    before = Window.orderBy("_s").rowsBetween(UNBOUNDED, -1)  # at most `slices` rows
+    bounds = small_table(counted.groupBy("name").agg(F.percentile_approx("value", shares).alias("_b")))
+    placed = counted.join(bounds, "name").withColumn(
+        "_s", F.size(F.filter("_b", lambda b: b < F.col("value")))
+    ).drop("_b")
+    sizes = placed.groupBy("name", "_s").agg(F.sum("_n").alias("_t"))
+    before = Window.partitionBy("name").orderBy("_s").rowsBetween(UNBOUNDED, -1)
     starts = small_table(
-        sizes.select("_s", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_lo"))
+        sizes.select("name", "_s", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_lo"))
     )
-    inside = Window.partitionBy("_s").orderBy("_v").rowsBetween(UNBOUNDED, 0)
-    return (
-        placed.withColumn("_c", F.sum("_n").over(inside))
-        .join(starts, "_s")
-        .select(
-            F.col("_v").alias(column),
-            (F.col("_lo") + F.col("_c") - F.col("_n") + (F.col("_n") + 1) / 2).alias(out),
-        )
+    inside = Window.partitionBy("name", "_s").orderBy("value").rowsBetween(UNBOUNDED, 0)
+    end = F.col("_lo") + F.sum("_n").over(inside)
+    return placed.join(starts, ["name", "_s"]).select(
+        "name", "value", (end - F.col("_n") + (F.col("_n") + 1) / 2).alias("rank")
     )
