@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from phenoframe.functions.arrays import channel
 
-POINT = "array<struct<t:double,v:double>>"
-
 
 def between(t: Column, before: Column, after: Column) -> Column:
     """Value at ``t`` on the line through two points."""
@@ -36,24 +36,20 @@ def bracketed(
     )
 
 
-def _carried(points: Column) -> Column:
-    """The last non-null point up to each position."""
-    return F.aggregate(
-        points,
-        F.array().cast(POINT),
-        lambda seen, p: F.concat(
-            seen, F.array(F.coalesce(p, F.try_element_at(seen, F.lit(-1))))
-        ),
-    )
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Use a value several times inside array functions, computing it once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def fill_channel(
-    values: Column, edge: str = "hold", fill: float = 0.0, mask: Column | None = None
+    values: Column, edge: str = "hold", fill: float = 0.0, mask: Column | None = None,
+    max_steps: int = 64,
 ) -> Column:
-    """Gap-filled values of one channel held as an array.
+    """Gap-filled values of one channel held as an array of up to ``max_steps`` steps.
 
     Null steps, or with ``mask`` the invalid ones, are interpolated. A channel without
-    valid steps becomes 0, or with ``mask`` stays as it was.
+    valid steps becomes 0, or with ``mask`` stays as it was. The valid points are listed
+    once and searched by halving for every step.
     """
 
     def point(v: Column, t: Column) -> Column:
@@ -64,19 +60,32 @@ def fill_channel(
     else:
         kept = F.zip_with(values, mask, lambda v, m: F.struct(v.alias("v"), m.alias("m")))
         points = F.transform(kept, lambda k, t: F.when(k["m"], point(k["v"], t)))
-    pairs = F.zip_with(
-        _carried(points),
-        F.reverse(_carried(F.reverse(points))),
-        lambda b, a: F.struct(b.alias("b"), a.alias("a")),
-    )
-    rows = F.zip_with(pairs, values, lambda p, v: F.struct(p["b"].alias("b"), p["a"].alias("a"), v.alias("v")))
-    return F.transform(
-        rows,
-        lambda r, t: bracketed(
-            t.cast("double"), r["b"], r["a"], edge, fill,
-            F.lit(0.0) if mask is None else r["v"].cast("double"),
-        ),
-    )
+    halves = F.array(*[F.lit(1 << k) for k in reversed(range(max_steps.bit_length()))])
+
+    def filled(row: Column) -> Column:
+        known = row["known"]
+
+        def step(v: Column, i: Column) -> Column:
+            t = i.cast("double")
+            upto = F.aggregate(
+                halves,
+                F.lit(0),
+                lambda n, h: F.when(F.get(known, n + h - 1)["t"] <= t, n + h).otherwise(n),
+            )
+            empty = F.lit(0.0) if mask is None else v.cast("double")
+
+            def value(n: Column) -> Column:
+                before, after = F.get(known, n - 1), F.get(known, n)
+                return F.when(before["t"] == t, before["v"]).otherwise(
+                    bracketed(t, before, after, edge, fill, empty)
+                )
+
+            return bound(upto, value)
+
+        return F.transform(row["values"], step)
+
+    listed = F.filter(points, lambda p: p.isNotNull())
+    return bound(F.struct(listed.alias("known"), values.alias("values")), filled)
 
 
 def fill_series(

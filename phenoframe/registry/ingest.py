@@ -13,8 +13,9 @@ from phenoframe.operators.composite import series_to_long
 from phenoframe.operators.labels import label_eligible
 from phenoframe.registry.base import query, r, sr
 from phenoframe.registry.roles import (
-    BANDS, COMP, OBS, PIXEL, composites, observations, pixels, table, with_ctes,
+    BANDS, COMP, OBS, PIXEL, composites, observations, pixel_labels, pixels, table, with_ctes,
 )
+from phenoframe.scale.bounds import materialised
 from phenoframe.schemas import CHUNK_STEPS, N_STEPS
 from phenoframe.sources.chunks import fold_series, infer_columns, label_column
 from phenoframe.sources.scenes import band_catalog, missing_bands, scene_lines
@@ -101,8 +102,8 @@ NAMES = {"green": "B3", "red": "B4", "nir": "B8", "swir": "B11"}
 
 def wide_chunks(spark, sf):
     """Composites as four wide chunks whose keys and properties differ."""
-    label = pixels(spark, sf).select("pixel_id", F.col("y").alias("crop_label"))
-    rows = composites(spark, sf).join(label, "pixel_id")
+    label = pixel_labels(spark, sf).withColumnRenamed("y", "crop_label")
+    rows = materialised(composites(spark, sf).join(label, "pixel_id"))
     index = F.concat_ws("_", F.col("pixel_id").cast("string"), F.col("year").cast("string"))
     chunks = []
     for k, (first, last) in enumerate(CHUNK_STEPS):

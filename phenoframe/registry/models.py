@@ -22,7 +22,7 @@ from phenoframe.plans.preparation import (
 from phenoframe.registry.base import query, r, rounded, sr
 from phenoframe.registry.labelling import radar_obs
 from phenoframe.registry.roles import (
-    BANDS, COMP, DENSE, OBS, PIXEL, PRED, TENSOR, TENSOR_CHANNELS, TENSOR_STEPS, observations, observations_of, pixels,
+    BANDS, COMP, DENSE, OBS, PIXEL, PRED, TENSOR, TENSOR_CHANNELS, TENSOR_STEPS, observations, observations_of, pixel_labels, pixels,
     samples,     table, tensors, with_ctes,
 )
 from phenoframe.registry.sampling import _word, FILLED, TOTAL, filled_tensors
@@ -85,7 +85,7 @@ fit AS (SELECT {', '.join(f'avg({b}) AS m_{b}, stddev_pop({b}) AS s_{b}' for b i
 @query("tabular_preparation", with_ctes(OBS, COMP, DENSE, PIXEL, PREPARED, body=f"""
 SELECT id, y, split, {', '.join(sr(f'sum(({b} - m_{b}) / s_{b})', b, 5) for b in BANDS)} FROM split, fit GROUP BY id, y, split"""))
 def tabular_preparation(spark, sf):
-    labels = pixels(spark, sf).select("pixel_id", "y")
+    labels = pixel_labels(spark, sf)
     rows = samples(spark, sf).join(labels, "pixel_id").select(
         F.concat_ws("_", F.col("pixel_id").cast("string"), F.col("year").cast("string")).alias("id"), "y", "series", "mask"
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from phenoframe.operators.composite import decadal_composite, dense_series, series_to_long
 from phenoframe.operators.filters import clear_scenes
+from phenoframe.scale.bounds import small_table
 
 BANDS = ["green", "red", "nir", "swir"]
 
@@ -97,6 +98,11 @@ def pixels(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def pixel_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Classes of pixels, with an exact size when they are few."""
+    return small_table(pixels(spark, sf).select("pixel_id", "y"))
+
+
 # Labelled points: orders with five uneven classes and three zones.
 PTS = """pts AS (
   SELECT o_orderkey AS id, o_totalprice AS price,

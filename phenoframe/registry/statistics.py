@@ -14,7 +14,7 @@ from phenoframe.operators.filters import clear_scenes
 from phenoframe.operators.gapfill import fill_gaps
 from phenoframe.registry.base import query, r, rounded, sr
 from phenoframe.registry.roles import (
-    BANDS, COMP, DENSE, OBS, PIXEL, PTS, TENSOR, TENSOR_CHANNELS, composites, dense, observations, pixels,
+    BANDS, COMP, DENSE, OBS, PIXEL, PTS, TENSOR, TENSOR_CHANNELS, composites, dense, observations, pixel_labels, pixels,
     points, samples, table, tensors, with_ctes,
 )
 from phenoframe.schemas import CLIMATE, COVARIATES, SOIL, TOPO
@@ -61,7 +61,7 @@ SELECT y, bin AS t, {sr('avg((nir - red) / (nir + red + 1e-6))', 'mean')},
        {sr('stddev_pop((nir - red) / (nir + red + 1e-6))', 'std')}, count(*) AS n
 FROM comp c JOIN pixel p ON p.pixel_id = c.pixel_id GROUP BY y, bin"""))
 def phenology_curve(spark, sf):
-    labels = pixels(spark, sf).select("pixel_id", "y")
+    labels = pixel_labels(spark, sf)
     rows = composites(spark, sf).join(labels, "pixel_id").select(
         "y", F.col("bin").alias("t"), ndvi(F.col("nir"), F.col("red")).alias("ndvi")
     )
@@ -82,7 +82,7 @@ def phenology_interpolated(spark, sf):
         "pixel_id", "year", "t", ndvi(F.col("nir"), F.col("red"), "zero").alias("ndvi")
     )
     filled = fill_gaps(rows, ["pixel_id", "year"], "t", ["ndvi"], edge="leading_zero")
-    labels = pixels(spark, sf).select("pixel_id", "y")
+    labels = pixel_labels(spark, sf)
     return rounded(audit.phenology(filled.join(labels, "pixel_id"), "y", "t", "ndvi"), ["mean", "std"])
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from phenoframe.scale.bounds import materialised, small_table
+from phenoframe.scale.ranks import slice_of
 
 
 def split_medians(df: DataFrame, by: list[str], columns: list[str], slices: int = 256) -> DataFrame:
@@ -33,7 +34,7 @@ def split_medians(df: DataFrame, by: list[str], columns: list[str], slices: int
         )
     )
     placed = counted.join(bounds, group).withColumn(
-        "_s", F.size(F.filter("_b", lambda b: b < F.col("_v")))
+        "_s", slice_of(F.col("_b"), F.col("_v"), slices)
     )
     running = Window.partitionBy(*group).orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)
     spans = (

@@ -160,6 +160,17 @@ def sequential_id(df: DataFrame, order: list[str], out: str = "id", start: int =
     )
 
 
+def slice_of(bounds: Column, value: Column, slices: int) -> Column:
+    """How many of the ascending ``bounds`` lie below a value, by halving steps."""
+    steps = [1 << k for k in reversed(range(max(1, slices.bit_length())))]
+
+    def advance(found: Column, step: Column) -> Column:
+        probe = F.get(bounds, found + step - 1)  # null past the last bound
+        return F.when(probe < value, found + step).otherwise(found)
+
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), advance)
+
+
 def average_ranks(df: DataFrame, columns: list[str], slices: int = 256) -> DataFrame:
     """Average rank of every distinct value of numeric columns: ``(name, value, rank)``.
 
@@ -170,7 +181,7 @@ def average_ranks(df: DataFrame, columns: list[str], slices: int = 256) -> DataF
     cells = F.explode(
         F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns])
     )
-    counted = (
+    counted = materialised(
         df.select(cells.alias("_x"))
         .select("_x.*")
         .where(F.col("value").isNotNull())
@@ -180,7 +191,7 @@ def average_ranks(df: DataFrame, columns: list[str], slices: int = 256) -> DataF
     shares = [i / slices for i in range(1, slices)]
     bounds = small_table(counted.groupBy("name").agg(F.percentile_approx("value", shares).alias("_b")))
     placed = counted.join(bounds, "name").withColumn(
-        "_s", F.size(F.filter("_b", lambda b: b < F.col("value")))
+        "_s", slice_of(F.col("_b"), F.col("value"), slices)
     ).drop("_b")
     sizes = placed.groupBy("name", "_s").agg(F.sum("_n").alias("_t"))
     before = Window.partitionBy("name").orderBy("_s").rowsBetween(UNBOUNDED, -1)
