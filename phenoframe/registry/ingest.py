@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from phenoframe.functions.geo import parse_point, within
+from phenoframe.functions.geo import col_of, parse_point, row_of, within
 from phenoframe.functions.labels import clip_label
 from phenoframe.functions.masks import nodata_to_null
 from phenoframe.operators import filters
@@ -19,7 +19,7 @@ from phenoframe.scale.bounds import materialised
 from phenoframe.schemas import CHUNK_STEPS, N_STEPS
 from phenoframe.sources.chunks import fold_series, infer_columns, label_column
 from phenoframe.sources.scenes import band_catalog, missing_bands, scene_lines
-from phenoframe.sources.tables import identified_points, static_columns
+from phenoframe.sources.tables import identified_points, raster_values, static_columns
 
 
 @query("scene_catalog", """
@@ -277,3 +277,25 @@ def covariate_projection(spark, sf):
         F.max("c_acctbal").alias("lon"), F.min("c_acctbal").alias("lat"),
     )
     return stats.select("id", *static_columns(stats.columns))
+
+
+@query("drop_unlabelled", """
+SELECT p_partkey AS pixel_id, CASE WHEN p_size > 10 THEN p_size END AS crop_label FROM part WHERE p_size > 10
+""")
+def drop_unlabelled(spark, sf):
+    rows = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("pixel_id"), F.when(F.col("p_size") > 10, F.col("p_size")).alias("crop_label"),
+        F.col("p_name").alias(".geo"),
+    )
+    return filters.labelled(rows, "crop_label")
+
+
+@query("raster_scan", """
+SELECT p_partkey // 50 AS row, p_partkey % 50 AS col, NULLIF(p_size, 1) AS b2, NULLIF(p_retailprice, 900) AS b3 FROM part
+""")
+def raster_scan(spark, sf):
+    idx = F.col("p_partkey")
+    stored = table(spark, sf, "part").select(
+        row_of(idx, 50).alias("row"), col_of(idx, 50).alias("col"), F.col("p_size").alias("b2"), F.col("p_retailprice").alias("b3")
+    )
+    return raster_values(raster_values(stored, ["b2"], 1), ["b3"], 900.0)

@@ -14,8 +14,10 @@ from phenoframe.operators.composite import monthly_radar, series_to_long
 from phenoframe.operators.evaluate import evaluation
 from phenoframe.operators.filters import clear_scenes
 from phenoframe.operators.sampling import ratio_split
+from phenoframe.operators.scaling import fit_series_scaler
 from phenoframe.operators.scoring import linear_softmax, predicted, score
 from phenoframe.plans import ablation as plan
+from phenoframe.plans.inference import infer_map
 from phenoframe.plans.preparation import (
     align_modalities, prepare_scenes, prepare_table, standardise_modalities,
 )
@@ -26,7 +28,7 @@ from phenoframe.registry.roles import (
     samples,     table, tensors, with_ctes,
 )
 from phenoframe.registry.sampling import _word, FILLED, TOTAL, filled_tensors
-from phenoframe.registry.statistics import covariates
+from phenoframe.registry.statistics import LONG, covariates, split_samples
 from phenoframe.scale.bounds import new_folder
 from phenoframe.streaming.composite import run_available, stream_composite
 
@@ -178,3 +180,23 @@ def streaming_composite(spark, sf):
     out = new_folder(spark, "composites")
     run_available(composite, out, new_folder(spark, "progress")).awaitTermination()
     return spark.read.schema(composite.schema).parquet(out).drop("bin_time")
+
+
+# One class per band: its score is the mean standardised value of the band over the year.
+BAND_WEIGHTS = [[1.0 / 36 if i < 144 and i % 4 == c else 0.0 for i in range(180)] for c in range(4)]
+
+
+@query("map_inference", with_ctes(OBS, COMP, DENSE, PIXEL, LONG, """fit AS (
+  SELECT c, avg(v) AS mu, stddev_pop(v) AS sd FROM long WHERE split = 'train' GROUP BY c),
+score AS (SELECT pixel_id, year, c, avg((v - mu) / sd) AS s FROM long JOIN fit USING (c) GROUP BY pixel_id, year, c),
+best AS (SELECT pixel_id, year, CAST(arg_max(c, s) AS INT) AS y_pred FROM score GROUP BY pixel_id, year)""", body="""
+SELECT b.pixel_id, year, y_pred, CASE WHEN p.y <> 4 THEN y_pred = p.y END AS correct FROM best b JOIN pixel p ON p.pixel_id = b.pixel_id"""))
+def map_inference(spark, sf):
+    rows = split_samples(spark, sf)
+    scaler = fit_series_scaler(rows, BANDS)
+    labelled = rows.join(pixel_labels(spark, sf), "pixel_id").withColumn(
+        "label", F.when(F.col("y") == 4, -9999).otherwise(F.col("y"))
+    )
+    loader = linear_softmax(BAND_WEIGHTS, [0.0] * 4)
+    mapped = infer_map(labelled, scaler, loader, n_steps=36, n_channels=4, label="label")
+    return mapped.select("pixel_id", "year", "y_pred", "correct")

@@ -143,3 +143,11 @@ def augment_mask(spark, sf):
     steps = changed.select("vec_id", F.posexplode_outer(F.arrays_zip("series", "mask")).alias("t", "z"))
     rows = steps.select("vec_id", "t", F.col("z.mask").alias("valid"), F.posexplode_outer("z.series").alias("c", "x"))
     return rounded(rows, ["x"], 7)
+
+
+@query("split_union", with_ctes(PTS, RANKED, body="""
+SELECT y, CASE WHEN rank <= 240 THEN 'train' ELSE 'val' END AS split, count(*) AS n, sum(id)::BIGINT AS ids FROM ranked WHERE rank <= 300 GROUP BY ALL"""))
+def split_union(spark, sf):
+    split = sampling.paper_split(points(spark, sf).select("id", "y"), "y", ["id"])
+    both = split.where("split = 'train'").unionByName(split.where("split = 'val'"))
+    return both.groupBy("y", "split").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))

@@ -373,3 +373,14 @@ def feature_sets(spark, sf):
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+@query("summary_report", """
+WITH codes AS (SELECT s_nationkey AS code, count(*) AS n FROM supplier GROUP BY 1 ORDER BY n DESC, code LIMIT 15)
+SELECT r.*, codes.code, codes.n FROM (SELECT count(*) AS n_rows, count(DISTINCT s_nationkey) AS n_codes,
+  count(DISTINCT n_regionkey) AS n_classes FROM supplier JOIN nation ON s_nationkey = n_nationkey) r, codes
+""")
+def summary_report(spark, sf):
+    report = audit.summary_report(pixels(spark, sf), "y", "code")
+    flat = report.select("n_rows", "n_codes", "n_classes", F.explode("top_codes").alias("c"))
+    return flat.select("n_rows", "n_codes", "n_classes", F.col("c.code").cast("int").alias("code"), F.col("c.n").alias("n"))
