@@ -63,7 +63,7 @@ def timed(spark, fn, sf_dir: str) -> float:
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    repeats = int(os.environ.get("BENCH_REPEATS", "3"))
+    repeats = int(os.environ.get("BENCH_REPEATS", "2"))
     spark = local_session(os.environ.get("BENCH_CPUS", "8"), "phenoframe-bench")
     names = sys.argv[1:] or HEADLINE
     seconds = {}

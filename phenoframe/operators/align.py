@@ -25,11 +25,11 @@ def merge_chunks(chunks: list[DataFrame], key: str, props: list[str], required:
     kept = [p for p in props if p in stacked.columns]
     steps = [c for c in stacked.columns if "_t" in c and c not in (*kept, key)]
     firsts = [F.min_by(F.col(f"`{p}`"), F.col("_chunk")).alias(p) for p in kept]
-    merged = stacked.groupBy(key).agg(*firsts, *[F.max(s).alias(s) for s in steps])
+    merged = stacked.groupBy(key).agg(*firsts, *[F.expr(f"max(`{s}`) AS `{s}`") for s in steps])
     out = merged.select(
         key,
         *[f"`{p}`" for p in kept],
-        *[F.coalesce(F.col(s), F.lit(0)).alias(s) if s.startswith("m_t") else s for s in steps],
+        *[F.expr(f"COALESCE(`{s}`, 0) AS `{s}`") if s.startswith("m_t") else s for s in steps],
     )
     return out.dropna(subset=[required]) if required else out
 

@@ -110,9 +110,8 @@ def wide_chunks(spark, sf):
         part = rows.where(F.col("bin").between(first, last))
         cells = []
         for t in range(first, last + 1):
-            here = F.col("bin") == t
-            cells += [F.max(F.when(here, F.col(b))).alias(f"{NAMES[b]}_t{t}") for b in BANDS]
-            cells.append(F.max(F.when(here, F.col("valid").cast("int"))).alias(f"m_t{t}"))
+            cells += [F.expr(f"max(IF(bin = {t}, {b}, NULL)) AS {NAMES[b]}_t{t}") for b in BANDS]
+            cells.append(F.expr(f"max(IF(bin = {t}, CAST(valid AS INT), NULL)) AS m_t{t}"))
         chunk = part.groupBy(index.alias("system:index"), "crop_label").agg(*cells)
         chunks.append(chunk.withColumn("lon", F.lit(1.5)) if k == 0 else chunk)
     return chunks

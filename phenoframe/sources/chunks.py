@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from phenoframe.operators.align import merge_chunks
 from phenoframe.schemas import BANDS, N_STEPS
@@ -120,19 +120,21 @@ def fold_series(df: DataFrame, bands: list[str] = BANDS, n_steps: int = N_STEPS)
     An absent series column is 0 everywhere, an absent or missing mask value invalid.
     """
 
-    def value(column: str) -> Column:
-        return F.col(column).cast("float") if column in df.columns else F.lit(0.0).cast("float")
+    columns = df.columns
+    known = set(columns)
 
-    def flag(column: str) -> Column:
-        if column not in df.columns:
-            return F.lit(False)
-        return F.coalesce(F.col(column), F.lit(0)) > F.lit(0.5)
+    def value(column: str) -> str:
+        return f"CAST(`{column}` AS FLOAT)" if column in known else "CAST(0 AS FLOAT)"
+
+    def flag(column: str) -> str:
+        return f"COALESCE(`{column}`, 0) > 0.5" if column in known else "false"
 
     steps = range(n_steps)
-    folded = [c for c in df.columns if FEATURE.match(c) or MASK.match(c) or c in
-              [f"{b}_t{t}" for b in bands for t in steps]]
-    rest = [F.col(f"`{c}`") for c in df.columns if c not in folded]
-    series = F.array(*[F.array(*[value(f"{b}_t{t}") for b in bands]) for t in steps])
-    return df.select(
-        *rest, series.alias("series"), F.array(*[flag(f"m_t{t}") for t in steps]).alias("mask")
-    )
+    wanted = {f"{b}_t{t}" for b in bands for t in steps}
+    folded = {c for c in columns if FEATURE.match(c) or MASK.match(c) or c in wanted}
+    rest = [F.col(f"`{c}`") for c in columns if c not in folded]
+    # One SQL expression each: hundreds of columns would cost as many calls to build.
+    rows = [f"array({', '.join(value(f'{b}_t{t}') for b in bands)})" for t in steps]
+    series = F.expr(f"array({', '.join(rows)})")
+    mask = F.expr(f"array({', '.join(flag(f'm_t{t}') for t in steps)})")
+    return df.select(*rest, series.alias("series"), mask.alias("mask"))
