@@ -82,7 +82,10 @@ def fill_channel(
 
             return bound(upto, value)
 
-        return F.transform(row["values"], step)
+        longest = 2 ** max_steps.bit_length() - 1
+        return F.when(F.size(row["values"]) <= longest, F.transform(row["values"], step)).otherwise(
+            F.raise_error(F.lit(f"a series has more than {longest} steps: raise max_steps"))
+        )
 
     listed = F.filter(points, lambda p: p.isNotNull())
     return bound(F.struct(listed.alias("known"), values.alias("values")), filled)
@@ -90,11 +93,12 @@ def fill_channel(
 
 def fill_series(
     series: Column, n_channels: int, edge: str = "hold", fill: float = 0.0,
-    mask: Column | None = None,
+    mask: Column | None = None, max_steps: int = 64,
 ) -> Column:
     """Gap-filled ``series[t][c]``; needs no other row, hence no shuffle."""
     channels = [
-        fill_channel(channel(series, c), edge, fill, mask).alias(f"c{c}") for c in range(n_channels)
+        fill_channel(channel(series, c), edge, fill, mask, max_steps).alias(f"c{c}")
+        for c in range(n_channels)
     ]
     # Zipping evaluates every channel once; steps then only pick from the zipped row.
     return F.transform(

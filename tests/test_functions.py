@@ -57,6 +57,13 @@ def test_fill_channel_by_mask_leaves_empty_series(spark):
     assert got == [[5, 6, 7], [5, 9, 7]]
 
 
+def test_fill_channel_refuses_longer_series(spark):
+    df = spark.createDataFrame([([1.0] + [None] * 198 + [2.0],)], "v array<double>")
+    with pytest.raises(PySparkException):
+        df.select(fill_channel(F.col("v"))).collect()
+    assert df.select(fill_channel(F.col("v"), max_steps=200)).first()[0][199] == 2
+
+
 def test_resample_linear(spark):
     df = spark.createDataFrame([([[0.0], [2.0], [4.0]],)], "s array<array<double>>")
     got = df.select(temporal.resample_linear(F.col("s"), 3, 5)).first()[0]
