@@ -52,3 +52,15 @@ def enough_steps(samples: DataFrame, mask: str = "mask", at_least: int = MIN_VAL
 def labelled(df: DataFrame, y: str, drop: tuple[str, ...] = (".geo", "system:time_start")) -> DataFrame:
     """Rows with a label, without the columns nobody needs."""
     return df.dropna(subset=[y]).drop(*drop)
+
+
+def year_or_previous(obs: DataFrame, date_col: str, year: int, back: int = 1) -> DataFrame:
+    """Rows of a year, or of the latest of the ``back`` years before it that has any.
+
+    Only the existence of a row is looked up; other filters on ``obs`` stay in force.
+    """
+    for y in range(year, year - back, -1):
+        rows = in_dates(obs, date_col, f"{y}-01-01", f"{y + 1}-01-01")
+        if not rows.isEmpty():
+            return rows
+    return in_dates(obs, date_col, f"{year - back}-01-01", f"{year - back + 1}-01-01")

@@ -298,3 +298,13 @@ def raster_scan(spark, sf):
         row_of(idx, 50).alias("row"), col_of(idx, 50).alias("col"), F.col("p_size").alias("b2"), F.col("p_retailprice").alias("b3")
     )
     return raster_values(raster_values(stored, ["b2"], 1), ["b3"], 900.0)
+
+
+@query("year_fallback", """
+SELECT o_orderpriority, CAST(month(o_orderdate) AS INT) AS month, count(*) AS n FROM orders
+WHERE year(o_orderdate) = 2001 AND o_orderstatus = 'O' GROUP BY ALL
+""")
+def year_fallback(spark, sf):
+    ascending = table(spark, sf, "orders").where("o_orderstatus = 'O'")
+    rows = filters.year_or_previous(ascending, "o_orderdate", 2002)
+    return rows.groupBy("o_orderpriority", F.month("o_orderdate").alias("month")).agg(F.count(F.lit(1)).alias("n"))
