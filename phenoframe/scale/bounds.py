@@ -22,11 +22,19 @@ def small_table(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder the cluster names; a temporary one where none is set."""
+    """The folder in ``spark.checkpoint.dir``, which driver and executors share.
+
+    Where none is set, a local master gets a temporary folder. On a cluster each executor
+    would write to a disk of its own, so there the setting is required.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="phenoframe-"))
+        if folder is None:
+            if not context.master.split("[")[0] == "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="phenoframe-")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
@@ -35,13 +43,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialised(df: DataFrame) -> DataFrame:
+def materialised(df: DataFrame, folder: str | None = None) -> DataFrame:
     """Write a table to the shared folder once and read it back.
 
     This cuts lineage like a checkpoint, survives lost executors, and gives later joins the
-    real size of the table.
+    real size of the table. Callers that clean up name the ``folder`` to write to.
     """
-    path = new_folder(df.sparkSession, "table")
+    path = folder or new_folder(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -54,4 +62,3 @@ def heavy_keys(df: DataFrame, keys: list[str], max_rows: int) -> DataFrame | Non
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     heavy = small_table(counted.where(F.col("_n") > max_rows).select(*keys))
     return None if heavy.isEmpty() else heavy
-
