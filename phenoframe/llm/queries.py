@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from phenoframe.llm import postings, simhash
+from phenoframe.llm import language, postings, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,6 +72,27 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def remainder(id_col: str, parts: int, kept: int):
+    """Whether crc32 of the id as text leaves ``kept``; false for a null id."""
+    left = F.crc32(F.col(id_col).cast("string")) % parts == kept
+    return F.coalesce(left, F.lit(False))
+
+
+@query("op2_quality")
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").where(~remainder("doc_id", 4, 2))
+    scored = quality.quality_scores(table(spark, sf_dir, "documents"), labels)
+    return scored.select("doc_id", remainder("doc_id", 4, 2).alias("held_out"), "score", "predicted")
+
+
+@query("op3_language")
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    known = docs.where(F.col("doc_id").isNotNull() & ~remainder("doc_id", 3, 1))
+    found = language.predict(docs, language.train(known))
+    return found.select("doc_id", remainder("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
+
+
 @query("op8_simhash")
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"))
