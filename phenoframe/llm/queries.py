@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from phenoframe.llm import language, postings, quality, simhash
+from phenoframe.llm import binpack, language, packing, postings, quality, simhash
+from phenoframe.scale.bounds import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,6 +94,16 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", remainder("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
 
 
+@query("op6_packing")
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op7_token_matrix")
+def op7_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binpack.pack_to_files(table(spark, sf_dir, "documents"), new_folder(spark, "packed"))
+
+
 @query("op8_simhash")
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"))
