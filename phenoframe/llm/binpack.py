@@ -170,7 +170,7 @@ def read_packed(folder: str, file: str) -> tuple[np.ndarray, np.ndarray, list[np
     """Ids, position ids and cumulative lengths per row of one packed file."""
     system, path = located(folder)
     ids, places, lengths = (
-        np.load(io.BytesIO(system.open_input_stream(f"{path}/{file}.{part}.npy").read()))
+        np.load(io.BytesIO(system.open_input_stream(f"{path}/{file}.{part}.npy", compression=None).read()))
         for part in ("ids", "positions", "lengths")
     )
     return ids, places, np.split(lengths, np.flatnonzero(lengths == 0)[1:])

@@ -27,5 +27,5 @@ def attempt_name(stem: str) -> str:
 def write_file(folder: str, name: str, data: bytes) -> None:
     system, path = located(folder)
     system.create_dir(path, recursive=True)
-    with system.open_output_stream(f"{path}/{name}") as out:
+    with system.open_output_stream(f"{path}/{name}", compression=None) as out:
         out.write(data)

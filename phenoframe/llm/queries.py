@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from phenoframe.llm import binpack, language, packing, postings, quality, simhash
+from phenoframe.llm import binpack, language, packing, postings, quality, simhash, warc
 from phenoframe.scale.bounds import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,6 +94,22 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", remainder("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
 
 
+@query("op4_warc")
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "warc")
+    pages = table(spark, sf_dir, "pages")
+    manifest = warc.write_archives(pages, folder)
+    records = warc.read_archives(manifest, folder, with_payload=False)
+    # places are unique, so a record is found at the place that the manifest gives its id
+    return manifest.join(records, ["archive", "frame", "offset"]).select(
+        "page_id",
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast(pages.schema["page_id"].dataType).alias("refers_to"),
+    )
+
+
 @query("op6_packing")
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
