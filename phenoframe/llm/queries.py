@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from phenoframe.llm import binpack, language, packing, postings, quality, simhash, warc
+from phenoframe.llm import binpack, language, packing, postings, quality, simhash, vectors, warc
 from phenoframe.scale.bounds import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,6 +110,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op5_vector_groups")
+def op5_vector_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.vector_groups(table(spark, sf_dir, "embeddings"))
+
+
 @query("op6_packing")
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
