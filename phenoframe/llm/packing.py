@@ -23,7 +23,7 @@ from phenoframe.scale.bounds import materialised
 
 LENGTH = 2048
 END = 1
-UNIT = 4  # tokens per step of a size class
+UNIT = 8  # tokens per step of a size class
 
 
 def cut_documents(

@@ -14,7 +14,7 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-CACHED = 200_000  # words, and space-separated chunks, kept per Python worker
+CACHED = 400_000  # words, and space-separated chunks, kept per Python worker
 UNUSUAL = re.compile(r"\s\s|[\x1c-\x1f]|<\|")
 
 
@@ -42,22 +42,37 @@ class Encoder:
         self.model = self.tokenizer.model
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
         self.letters = byte_letters()
+        self.space = self.letters[32]
+        n = self.tokenizer.get_vocab_size()
+        packed = np.arange(n, dtype="<u4").tobytes()
+        self.packed = [packed[i : i + 4] for i in range(0, 4 * n, 4)]
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
 
     def word(self, piece: str) -> bytes:
+        """Ids of one piece of the pattern."""
         found = self.words.get(piece)
         if found is None:
-            mapped = piece.encode().decode("latin1").translate(self.letters)
-            found = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+            if piece.isascii() and piece[1:].isalpha() and piece[0] == " ":
+                mapped = self.space + piece[1:]
+            else:
+                mapped = piece.encode().decode("latin1").translate(self.letters)
+            packed = self.packed
+            found = b"".join([packed[t.id] for t in self.model.tokenize(mapped)])
             if len(self.words) < CACHED:
                 self.words[piece] = found
         return found
 
     def chunk(self, text: str) -> bytes:
+        """Ids of what stands between two spaces, the first one included."""
+        if text[1:].isalpha() and text[0] == " ":
+            return self.word(text)
         found = self.chunks.get(text)
         if found is None:
-            found = b"".join(map(self.word, self.pieces(text)))
+            if text[1:-1].isalpha() and text[0] == " " and text[-1] in ".,":
+                found = self.word(text[:-1]) + self.word(text[-1])
+            else:
+                found = b"".join(map(self.word, self.pieces(text)))
             if len(self.chunks) < CACHED and len(text) < 50:
                 self.chunks[text] = found
         return found
@@ -69,8 +84,8 @@ class Encoder:
         first, *rest = text.split(" ")
         if not rest:
             return self.chunk(first) if first else b""
-        get, out = self.chunks.get, [self.chunk(first)] if first else []
+        get, other, out = self.words.get, self.chunk, [self.chunk(first)] if first else []
         for part in rest:
             part = " " + part
-            out.append(get(part) or self.chunk(part))
+            out.append(get(part) or other(part))
         return b"".join(out)
