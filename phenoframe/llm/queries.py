@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from phenoframe.llm import binpack, language, packing, postings, quality, simhash, vectors, warc
+from phenoframe.llm import binpack, language, packing, pii, postings, quality, simhash, vectors, warc
 from phenoframe.scale.bounds import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,16 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return groups.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+@query("op9_pii")
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.entity_spans(table(spark, sf_dir, "documents"), kept=["doc_id"])
+    base, spans = F.col("base"), F.col("spans")
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"),
+        *[pii.kind_count(base, kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(pii.spans_text(base).cast("binary"), 256).alias("base_sha256"),
+        pii.spans_text(spans).alias("spans"),
+        (F.size(spans) - F.size(base)).cast("bigint").alias("n_added"),
+    )
