@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from phenoframe.llm import binpack, language, packing, pii, postings, quality, simhash, vectors, warc
+from phenoframe.llm import binpack, language, licenses, packing, pii, postings, quality, simhash, vectors, warc
 from phenoframe.scale.bounds import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,3 +143,9 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         pii.spans_text(spans).alias("spans"),
         (F.size(spans) - F.size(base)).cast("bigint").alias("n_added"),
     )
+
+
+@query("op10_licenses", licenses.rule_sql())
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_matches(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[F.array_join(c, ",").alias(c) for c in ("sentences", "rules", "licenses")])
