@@ -25,7 +25,7 @@ from phenoframe.llm.simhash import joined_labels
 from phenoframe.scale.bounds import materialised
 
 SIMILARITY = 0.93
-SHARD_ROWS = 2048  # nodes a centroid is meant for, and in one part of a shard
+SHARD_ROWS = 4096  # nodes a centroid is meant for, and in one part of a shard
 CENTROIDS = 8192  # at most, over all labels; larger shards are dealt into parts
 SAMPLE_ROWS = 40_000  # vectors that place the centroids, at most
 CANDIDATES, DEGREE, ALPHA = 48, 24, 1.2
@@ -120,20 +120,29 @@ class Searcher:
         s[:, self.medoid] = asked @ self.x[self.medoid]
         expanded = np.zeros((rows, n), bool)
         width = min(self.beam, n)
-        active = np.arange(rows)
-        while len(active):  # greedy beam: the best open nodes of each query's beam
-            part = s[active]
-            top = np.argpartition(-part, width - 1, axis=1)[:, :width]
-            value = np.take_along_axis(part, top, 1)
-            open_ = (value > -2) & ~np.take_along_axis(expanded[active], top, 1)
-            value = np.where(open_, value, -3)
-            best = np.argsort(-value, axis=1)[:, :4]
-            good = np.take_along_axis(value, best, 1) > -3
-            q = np.repeat(active, best.shape[1])[good.ravel()]
-            node = np.take_along_axis(top, best, 1).ravel()[good.ravel()]
+        pool = np.zeros((rows, width), np.int64)  # the beam: best nodes seen so far
+        worth = np.full((rows, width), -3.0)
+        pool[:, 0], worth[:, 0] = self.medoid, s[:, self.medoid]
+        every, steps = np.arange(rows)[:, None], min(4, width)
+        while True:  # the best open nodes of each beam are expanded
+            value = np.where(expanded[every, pool], -3, worth)
+            best = np.argpartition(-value, steps - 1, axis=1)[:, :steps]
+            q, at = np.nonzero(np.take_along_axis(value, best, 1) > -3)
+            if not len(q):
+                break
+            node = pool[q, best[q, at]]
             expanded[q, node] = True
-            self.visit(s, asked, q, node)
-            active = active[good.any(axis=1)]
+            cell = self.visit(s, asked, q, node)
+            if not len(cell):
+                continue
+            first = np.searchsorted(cell, np.arange(rows + 1) * n)
+            place = np.arange(len(cell)) - first[cell // n]
+            more = np.zeros((rows, int(place.max()) + 1), np.int64)
+            gain = np.full(more.shape, -3.0)
+            more[cell // n, place], gain[cell // n, place] = cell % n, s.ravel()[cell]
+            pool, worth = np.concatenate([pool, more], axis=1), np.concatenate([worth, gain], axis=1)
+            top = np.argpartition(-worth, width - 1, axis=1)[:, :width]
+            pool, worth = np.take_along_axis(pool, top, 1), np.take_along_axis(worth, top, 1)
         q, node = np.nonzero((s >= self.similarity - SLACK) & ~expanded)
         while len(q):  # the range grows from what was found
             expanded[q, node] = True
