@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from phenoframe.llm.files import attempt_name, located, write_file
 from phenoframe.llm.text import slices, text_bytes
-from phenoframe.llm.tokens import Encoder
+from phenoframe.llm.tokens import SLICE_BYTES, Encoder
 from phenoframe.scale.bounds import materialised
 
 LENGTH = 2048
@@ -146,10 +146,11 @@ def pack_to_files(
         pieces, held = [], 0
         for batch in batches:
             _, starts = text_bytes(batch.column(1))
-            for low, high in slices(starts):
+            for low, high in slices(starts, SLICE_BYTES):
                 names = batch.column(0)[low:high].to_pylist()
-                for name, text in zip(names, batch.column(1)[low:high].to_pylist()):
-                    ids = np.frombuffer(encoder.ids(text or "") + end, "<u4").astype(dtype)
+                texts = [t or "" for t in batch.column(1)[low:high].to_pylist()]
+                for name, ids in zip(names, encoder.batch(texts)):
+                    ids = np.frombuffer(ids + end, "<u4").astype(dtype)
                     for at in range(0, len(ids), length):
                         pieces.append((name, at, ids[at : at + length]))
                         held += len(pieces[-1][2])

@@ -18,7 +18,7 @@ from pyspark.taskcontext import TaskContext
 
 from phenoframe.llm.cutting import solve
 from phenoframe.llm.text import slices, text_bytes
-from phenoframe.llm.tokens import Encoder
+from phenoframe.llm.tokens import SLICE_BYTES, Encoder
 from phenoframe.scale.bounds import materialised
 
 LENGTH = 2048
@@ -51,10 +51,11 @@ def cut_documents(
         seen = np.zeros(length // unit + 2, np.int64)
         for batch in batches:
             _, starts = text_bytes(batch.column(1))
-            for low, high in slices(starts):
+            for low, high in slices(starts, SLICE_BYTES):
                 owner, rows, kept = [], [], []
-                for i, text in enumerate(batch.column(1)[low:high].to_pylist(), low):
-                    ids = encoder.ids(text or "") + end
+                texts = [t or "" for t in batch.column(1)[low:high].to_pylist()]
+                for i, ids in enumerate(encoder.batch(texts), low):
+                    ids += end
                     total = len(ids) // 4
                     for at in range(0, total, length):
                         piece = ids[4 * at : 4 * (at + length)]

@@ -8,14 +8,23 @@ whole tokenizer.
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
 import regex
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
-CACHED = 400_000  # words, and space-separated chunks, kept per Python worker
-UNUSUAL = re.compile(r"\s\s|[\x1c-\x1f]|<\|")
+CACHED = 200_000  # chunks kept per Python worker
+SLICE_BYTES = 2 << 20  # text whose new words go to the model together
+# In a text without these, every piece of the pattern lies between two spaces.
+PAIRS = ("  ", " \n", "\n ", "\n\n", "<|")
+OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def unusual(text: str) -> bool:
+    """Whether white space comes in runs or kinds that only the whole pattern handles."""
+    return any(pair in text for pair in PAIRS) or OTHER_SPACE.search(text) is not None
 
 
 def default_path() -> str:
@@ -33,59 +42,90 @@ def byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """``ids(text)`` gives a text's ids as little-endian unsigned 32-bit integers."""
+    """``batch(texts)`` gives each text's ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str | None = None):
         import public_tokenizers
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path or default_path())
-        self.model = self.tokenizer.model
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
         self.letters = byte_letters()
-        self.space = self.letters[32]
-        n = self.tokenizer.get_vocab_size()
-        packed = np.arange(n, dtype="<u4").tobytes()
-        self.packed = [packed[i : i + 4] for i in range(0, 4 * n, 4)]
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
-
-    def word(self, piece: str) -> bytes:
-        """Ids of one piece of the pattern."""
-        found = self.words.get(piece)
-        if found is None:
-            if piece.isascii() and piece[1:].isalpha() and piece[0] == " ":
-                mapped = self.space + piece[1:]
-            else:
-                mapped = piece.encode().decode("latin1").translate(self.letters)
-            packed = self.packed
-            found = b"".join([packed[t.id] for t in self.model.tokenize(mapped)])
-            if len(self.words) < CACHED:
-                self.words[piece] = found
+        # words come to this one in the model's own letters, with line ends between them
+        self.line_end = self.letters[10]
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = pre_tokenizers.Split(self.line_end, "isolated")
+        self.mark = self.tokenizer.token_to_id(self.line_end)
+        self.chunks: dict[str, bytes] = {}  # by what stands behind a space
+        self.others: dict[str, bytes] = {}  # by piece
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words without white space, each taken with a space before it."""
+        joined = "".join([f" {word}\n" for word in words]).encode().decode("latin1").translate(self.letters)
+        ids = np.array(self.words.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+        ends = (np.flatnonzero(ids == self.mark) * 4).tolist()
+        data, begin, found = ids.tobytes(), 0, []
+        for end in ends:
+            found.append(data[begin:end])
+            begin = end + 4
         return found
 
-    def chunk(self, text: str) -> bytes:
-        """Ids of what stands between two spaces, the first one included."""
-        if text[1:].isalpha() and text[0] == " ":
-            return self.word(text)
-        found = self.chunks.get(text)
+    def other(self, piece: str) -> bytes:
+        """Ids of a piece that is no word behind a space."""
+        found = self.others.get(piece)
         if found is None:
-            if text[1:-1].isalpha() and text[0] == " " and text[-1] in ".,":
-                found = self.word(text[:-1]) + self.word(text[-1])
-            else:
-                found = b"".join(map(self.word, self.pieces(text)))
-            if len(self.chunks) < CACHED and len(text) < 50:
-                self.chunks[text] = found
+            mapped = piece.encode().decode("latin1").translate(self.letters)
+            found = np.array([t.id for t in self.tokenizer.model.tokenize(mapped)], "<u4").tobytes()
+            if len(self.others) < CACHED // 4 and len(piece) < 50:
+                self.others[piece] = found
         return found
 
+    def learn(self, parts: list[list[str]]) -> list[str]:
+        """Put all chunks of some texts into the cache; returns the new ones."""
+        chunks, words, rest = self.chunks, {}, {}
+        for row in parts:
+            for part in row:
+                if part not in chunks and part not in words and part not in rest:
+                    if part.isalpha():
+                        words[part] = None
+                    elif part[:-1].isalpha() and part[-1] in ".,":
+                        rest[part] = None
+                        if part[:-1] not in chunks:
+                            words[part[:-1]] = None
+                    else:
+                        rest[part] = self.pieces(" " + part)
+                        for piece in rest[part]:
+                            if piece[0] == " " and piece[1:].isalpha() and piece[1:] not in chunks:
+                                words[piece[1:]] = None
+        if words:
+            chunks.update(zip(words, self.encode_words(list(words))))
+        for part, pieces in rest.items():
+            if pieces is None:
+                chunks[part] = chunks[part[:-1]] + self.other(part[-1])
+            else:
+                chunks[part] = b"".join(
+                    [chunks[p[1:]] if p[0] == " " and p[1:].isalpha() else self.other(p) for p in pieces]
+                )
+        return [*words, *rest]
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        heads, parts = [], []
+        for text in texts:
+            if unusual(text):
+                found = self.tokenizer.encode(text, add_special_tokens=False).ids
+                heads.append(np.array(found, "<u4").tobytes())
+                parts.append([])
+            else:
+                first, *rest = text.split(" ")
+                heads.append(b"".join(map(self.other, self.pieces(first))))
+                parts.append(rest)
+        new = self.learn(parts)
+        get = self.chunks.__getitem__
+        out = [head + b"".join(map(get, rest)) for head, rest in zip(heads, parts)]
+        if len(self.chunks) > CACHED:
+            for part in new:
+                del self.chunks[part]
+        return out
+
     def ids(self, text: str) -> bytes:
-        if UNUSUAL.search(text):
-            found = self.tokenizer.encode(text, add_special_tokens=False).ids
-            return np.array(found, "<u4").tobytes()
-        first, *rest = text.split(" ")
-        if not rest:
-            return self.chunk(first) if first else b""
-        get, other, out = self.words.get, self.chunk, [self.chunk(first)] if first else []
-        for part in rest:
-            part = " " + part
-            out.append(get(part) or other(part))
-        return b"".join(out)
+        return self.batch([text])[0]
