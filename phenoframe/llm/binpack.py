@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from phenoframe.llm.files import attempt_name, located, write_file
 from phenoframe.llm.text import slices, text_bytes
-from phenoframe.llm.tokens import SLICE_BYTES, Encoder
+from phenoframe.llm.tokens import SLICE_BYTES, encoder
 from phenoframe.scale.bounds import materialised
 
 LENGTH = 2048
@@ -140,8 +140,8 @@ def pack_to_files(
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        small = encoder.tokenizer.get_vocab_size() <= 65536 and max(end_id, pad_id) < 65536
+        coder, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        small = coder.tokenizer.get_vocab_size() <= 65536 and max(end_id, pad_id) < 65536
         dtype = np.uint16 if small else np.uint32
         pieces, held = [], 0
         for batch in batches:
@@ -149,7 +149,7 @@ def pack_to_files(
             for low, high in slices(starts, SLICE_BYTES):
                 names = batch.column(0)[low:high].to_pylist()
                 texts = [t or "" for t in batch.column(1)[low:high].to_pylist()]
-                for name, ids in zip(names, encoder.batch(texts)):
+                for name, ids in zip(names, coder.batch(texts)):
                     ids = np.frombuffer(ids + end, "<u4").astype(dtype)
                     for at in range(0, len(ids), length):
                         pieces.append((name, at, ids[at : at + length]))

@@ -18,7 +18,7 @@ from pyspark.taskcontext import TaskContext
 
 from phenoframe.llm.cutting import solve
 from phenoframe.llm.text import slices, text_bytes
-from phenoframe.llm.tokens import SLICE_BYTES, Encoder
+from phenoframe.llm.tokens import SLICE_BYTES, encoder
 from phenoframe.scale.bounds import materialised
 
 LENGTH = 2048
@@ -46,7 +46,7 @@ def cut_documents(
     fields = ["start", "length", "ids_crc32", "doc_tokens", "cls", "part", "nth"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        coder, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         part = TaskContext.get().partitionId()
         seen = np.zeros(length // unit + 2, np.int64)
         for batch in batches:
@@ -54,7 +54,7 @@ def cut_documents(
             for low, high in slices(starts, SLICE_BYTES):
                 owner, rows, kept = [], [], []
                 texts = [t or "" for t in batch.column(1)[low:high].to_pylist()]
-                for i, ids in enumerate(encoder.batch(texts), low):
+                for i, ids in enumerate(coder.batch(texts), low):
                     ids += end
                     total = len(ids) // 4
                     for at in range(0, total, length):

@@ -1,30 +1,23 @@
-"""Token ids of texts with a public byte-level BPE vocabulary, cached by word.
+"""Token ids of texts with a public byte-level BPE vocabulary.
 
-Byte-level BPE never merges across the pieces its pattern cuts a text into, so a piece has the
-same ids wherever it stands. Pieces are looked up in a cache; new ones go through the
-tokenizer's own model. Texts with unusual white space or special-token marks go through the
-whole tokenizer.
+The ids are those of the ``tokenizers`` library for a tokenizer file. Where the file is a plain
+byte-level BPE whose ids follow the order of its merges, its vocabulary is handed to the
+faster ``tiktoken`` encoder, which gives the same ids (the tests compare them); texts that hold
+an added token's mark, and other kinds of files, go through ``tokenizers`` itself.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
+from functools import cache
 
 import numpy as np
-import regex
-from tokenizers import Tokenizer, pre_tokenizers
+import tiktoken
+from tokenizers import Tokenizer
 
-CACHED = 200_000  # chunks kept per Python worker
-SLICE_BYTES = 2 << 20  # text whose new words go to the model together
-# In a text without these, every piece of the pattern lies between two spaces.
-PAIRS = ("  ", " \n", "\n ", "\n\n", "<|")
-OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-
-
-def unusual(text: str) -> bool:
-    """Whether white space comes in runs or kinds that only the whole pattern handles."""
-    return any(pair in text for pair in PAIRS) or OTHER_SPACE.search(text) is not None
+SLICE_BYTES = 2 << 20  # text encoded at once
+LEVELS = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 
 
 def default_path() -> str:
@@ -41,91 +34,55 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def byte_ranks(spec: dict) -> dict[bytes, int] | None:
+    """Ranks of all byte strings, or None when the file is not a plain byte-level BPE."""
+    model, levels = spec["model"], spec.get("pre_tokenizer") or {}
+    added = {token["content"] for token in spec["added_tokens"]}
+    plain = (
+        model["type"] == "BPE"
+        and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        and spec.get("normalizer") is None
+        and LEVELS.items() <= levels.items()
+    )
+    if not plain:
+        return None
+    merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    back = {c: b for b, c in byte_letters().items()}
+    tokens = {t: i for t, i in model["vocab"].items() if t not in added}
+    if merged != sorted(merged) or any(c not in back for t in tokens for c in t):
+        return None
+    return {bytes(back[c] for c in t): i for t, i in tokens.items()}
+
+
 class Encoder:
-    """``batch(texts)`` gives each text's ids as little-endian unsigned 32-bit integers."""
+    """``ids(text)`` gives a text's ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str | None = None):
-        import public_tokenizers
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        self.tokenizer = Tokenizer.from_file(path or default_path())
-        self.pieces = regex.compile(public_tokenizers.PATTERN).findall
-        self.letters = byte_letters()
-        # words come to this one in the model's own letters, with line ends between them
-        self.line_end = self.letters[10]
-        self.words = Tokenizer(self.tokenizer.model)
-        self.words.pre_tokenizer = pre_tokenizers.Split(self.line_end, "isolated")
-        self.mark = self.tokenizer.token_to_id(self.line_end)
-        self.chunks: dict[str, bytes] = {}  # by what stands behind a space
-        self.others: dict[str, bytes] = {}  # by piece
-
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of words without white space, each taken with a space before it."""
-        joined = "".join([f" {word}\n" for word in words]).encode().decode("latin1").translate(self.letters)
-        ids = np.array(self.words.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
-        ends = (np.flatnonzero(ids == self.mark) * 4).tolist()
-        data, begin, found = ids.tobytes(), 0, []
-        for end in ends:
-            found.append(data[begin:end])
-            begin = end + 4
-        return found
-
-    def other(self, piece: str) -> bytes:
-        """Ids of a piece that is no word behind a space."""
-        found = self.others.get(piece)
-        if found is None:
-            mapped = piece.encode().decode("latin1").translate(self.letters)
-            found = np.array([t.id for t in self.tokenizer.model.tokenize(mapped)], "<u4").tobytes()
-            if len(self.others) < CACHED // 4 and len(piece) < 50:
-                self.others[piece] = found
-        return found
-
-    def learn(self, parts: list[list[str]]) -> list[str]:
-        """Put all chunks of some texts into the cache; returns the new ones."""
-        chunks, words, rest = self.chunks, {}, {}
-        for row in parts:
-            for part in row:
-                if part not in chunks and part not in words and part not in rest:
-                    if part.isalpha():
-                        words[part] = None
-                    elif part[:-1].isalpha() and part[-1] in ".,":
-                        rest[part] = None
-                        if part[:-1] not in chunks:
-                            words[part[:-1]] = None
-                    else:
-                        rest[part] = self.pieces(" " + part)
-                        for piece in rest[part]:
-                            if piece[0] == " " and piece[1:].isalpha() and piece[1:] not in chunks:
-                                words[piece[1:]] = None
-        if words:
-            chunks.update(zip(words, self.encode_words(list(words))))
-        for part, pieces in rest.items():
-            if pieces is None:
-                chunks[part] = chunks[part[:-1]] + self.other(part[-1])
-            else:
-                chunks[part] = b"".join(
-                    [chunks[p[1:]] if p[0] == " " and p[1:].isalpha() else self.other(p) for p in pieces]
-                )
-        return [*words, *rest]
+        path = path or default_path()
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.marks = [token["content"] for token in spec["added_tokens"]]
+        ranks, self.fast = byte_ranks(spec), None
+        if ranks is not None:
+            import public_tokenizers
+
+            self.fast = tiktoken.Encoding(
+                "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+            )
+
+    def ids(self, text: str) -> bytes:
+        if self.fast is None or any(mark in text for mark in self.marks):
+            found = self.tokenizer.encode(text, add_special_tokens=False).ids
+            return np.array(found, "<u4").tobytes()
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        heads, parts = [], []
-        for text in texts:
-            if unusual(text):
-                found = self.tokenizer.encode(text, add_special_tokens=False).ids
-                heads.append(np.array(found, "<u4").tobytes())
-                parts.append([])
-            else:
-                first, *rest = text.split(" ")
-                heads.append(b"".join(map(self.other, self.pieces(first))))
-                parts.append(rest)
-        new = self.learn(parts)
-        get = self.chunks.__getitem__
-        out = [head + b"".join(map(get, rest)) for head, rest in zip(heads, parts)]
-        if len(self.chunks) > CACHED:
-            for part in new:
-                del self.chunks[part]
-        return out
+        return [self.ids(text) for text in texts]
 
-    def ids(self, text: str) -> bytes:
-        return self.batch([text])[0]
+
+@cache
+def encoder(path: str | None = None) -> Encoder:
+    """The worker's own encoder of a file."""
+    return Encoder(path)
