@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from phenoframe.llm import binpack, language, licenses, packing, pii, postings, quality, simhash, vectors, warc
-from phenoframe.scale.bounds import new_folder
+from phenoframe.scale.bounds import materialised, new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -99,7 +99,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "warc")
     pages = table(spark, sf_dir, "pages")
     manifest = warc.write_archives(pages, folder)
-    records = warc.read_archives(manifest, folder, with_payload=False)
+    records = materialised(warc.read_archives(manifest, folder, with_payload=False))
     # places are unique, so a record is found at the place that the manifest gives its id
     return manifest.join(records, ["archive", "frame", "offset"]).select(
         "page_id",

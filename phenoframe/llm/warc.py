@@ -257,8 +257,9 @@ def read_archives(archives: DataFrame, folder: str, with_payload: bool = True) -
                             at = end
                         yield record_batch(rows)
 
-    named = archives.select("archive").distinct()
-    return named.mapInArrow(run, RECORD)
+    named = materialised(archives.select("archive").distinct())
+    # a task per archive; their names are too few bytes to keep them apart by size
+    return named.repartition(max(1, named.count())).mapInArrow(run, RECORD)
 
 
 def read_records(wanted: DataFrame, folder: str) -> DataFrame:
