@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from phenoframe.llm.files import attempt_name, located, write_file
-from phenoframe.llm.text import slices, text_bytes
+from phenoframe.llm.text import map_text, slices, text_bytes
 from phenoframe.llm.tokens import SLICE_BYTES, encoder
 from phenoframe.scale.bounds import materialised
 
@@ -164,7 +164,7 @@ def pack_to_files(
         "file string, row int, n_tokens int, ids_crc32 bigint, cu_seqlens array<int>, "
         f"doc_ids array<{kind}>, starts array<bigint>"
     )
-    return materialised(picked.mapInArrow(run, schema))
+    return materialised(map_text(picked, run, schema))
 
 
 def read_packed(folder: str, file: str) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:

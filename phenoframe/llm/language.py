@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from phenoframe.llm.text import mix, slices, text_bytes
+from phenoframe.llm.text import map_text, mix, slices, text_bytes
 
 BITS = 16
 ORDERS = (1, 2, 3)
@@ -68,7 +68,7 @@ def grams(points: np.ndarray, starts: np.ndarray, order: int, bits: int) -> tupl
 
 
 def texts_of(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
-    """Row ranges of about 4 MB of text."""
+    """Row ranges of about one slice of text."""
     _, starts = text_bytes(column)
     for low, high in slices(starts):
         yield low, high, [t or "" for t in column[low:high].to_pylist()]
@@ -118,7 +118,7 @@ def count_grams(
 
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     picked = known.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    parts = picked.mapInArrow(run, "lang string, bucket int, n bigint")
+    parts = map_text(picked, run, "lang string, bucket int, n bigint")
     return parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
@@ -195,4 +195,4 @@ def predict(
 
     kind = docs.schema[id_col].dataType.simpleString()
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return map_text(picked, run, f"doc_id {kind}, lang_pred string, score double")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.taskcontext import TaskContext
 
 from phenoframe.llm.cutting import solve
-from phenoframe.llm.text import slices, text_bytes
+from phenoframe.llm.text import map_text, slices, text_bytes
 from phenoframe.llm.tokens import SLICE_BYTES, encoder
 from phenoframe.scale.bounds import materialised
 
@@ -74,7 +74,7 @@ def cut_documents(
                 )
 
     schema = f"doc_id {kind}, " + ", ".join(f"{f} bigint" for f in fields) + ", ids binary" * with_ids
-    return materialised(picked.mapInArrow(run, schema))
+    return materialised(map_text(picked, run, schema))
 
 
 def schedule_rows(demand: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.taskcontext import TaskContext
 
-from phenoframe.llm.text import LOWER, lookup, ranges, slices, text_bytes, word_hashes, word_spans
+from phenoframe.llm.text import LOWER, lookup, map_text, ranges, slices, text_bytes, word_hashes, word_spans
 from phenoframe.scale.bounds import materialised
 
 WINDOW = 10
@@ -73,7 +73,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         f"block bigint, ids array<{kind}>, n_words array<int>, terms binary, counts binary, "
         "positions binary"
     )
-    return materialised(picked.mapInArrow(run, schema))
+    return materialised(map_text(picked, run, schema))
 
 
 def index_documents(index: DataFrame) -> DataFrame:
@@ -213,7 +213,7 @@ def phrase_matches(
                         }
                     )
 
-        parts.append(index.mapInArrow(run, schema))
+        parts.append(map_text(index, run, schema))
     if not parts:
         return spark.createDataFrame([], schema)
     matches = parts[0]

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from phenoframe.llm.graph import components
-from phenoframe.llm.text import slices, text_bytes
+from phenoframe.llm.text import map_text, text_bytes
 from phenoframe.scale.bounds import materialised
 
 RADIUS = 4
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     kind = docs.schema[id_col].dataType.simpleString()
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return map_text(picked, run, f"doc_id {kind}, fp bigint")
 
 
 def block_keys(fp: Column) -> Column:

@@ -2,12 +2,37 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
-SLICE_BYTES = 4 << 20  # text worked on at once; a longer document is a slice of its own
+SLICE_BYTES = 1 << 20  # text worked on at once; a longer document is a slice of its own
+BATCH_ROWS = 1000  # texts sent to Python at once
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def map_text(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` for rows with whole texts.
+
+    Texts are large rows, so the session's batches are cut to ``BATCH_ROWS`` rows if they are
+    larger. Workers outlive their tasks; at a task's end, free memory goes back to the system.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if hasattr(library := ctypes.CDLL(None), "malloc_trim"):
+            library.malloc_trim(0)
+
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_SETTING)) <= BATCH_ROWS:
+        conf.set(BATCH_SETTING, str(BATCH_ROWS))
+    return df.mapInArrow(task, schema)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -21,6 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from phenoframe.llm.files import attempt_name, located, write_file
+from phenoframe.llm.text import map_text
 from phenoframe.scale.bounds import materialised
 
 # Fixed values of the seekable format.
@@ -208,7 +209,7 @@ def write_archives(
             yield finish()
 
     schema = f"page_id {kind}, archive string, frame int, offset bigint, length bigint"
-    return materialised(marked.mapInArrow(run, schema))
+    return materialised(map_text(marked, run, schema))
 
 
 RECORD = (
