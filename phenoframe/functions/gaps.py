@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, functions as F
 
 from phenoframe.functions.arrays import channel
+from phenoframe.functions.masks import finite_or_null
 
 
 def between(t: Column, before: Column, after: Column) -> Column:
@@ -42,12 +43,11 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def fill_channel(
-    values: Column, edge: str = "hold", fill: float = 0.0, mask: Column | None = None,
-    max_steps: int = 64,
+    values: Column, edge: str = "hold", fill: float = 0.0, mask: Column | None = None
 ) -> Column:
-    """Gap-filled values of one channel held as an array of up to ``max_steps`` steps.
+    """Gap-filled values of one channel held as an array of steps.
 
-    Null steps, or with ``mask`` the invalid ones, are interpolated. A channel without
+    Null and non-finite steps, and with ``mask`` the invalid ones, are interpolated. A channel without
     valid steps becomes 0, or with ``mask`` stays as it was. The valid points are listed
     once and searched by halving for every step.
     """
@@ -56,14 +56,17 @@ def fill_channel(
         return F.struct(t.cast("double").alias("t"), v.cast("double").alias("v"))
 
     if mask is None:
-        points = F.transform(values, lambda v, t: F.when(v.isNotNull(), point(v, t)))
+        points = F.transform(values, lambda v, t: F.when(finite_or_null(v).isNotNull(), point(v, t)))
     else:
         kept = F.zip_with(values, mask, lambda v, m: F.struct(v.alias("v"), m.alias("m")))
-        points = F.transform(kept, lambda k, t: F.when(k["m"], point(k["v"], t)))
-    halves = F.array(*[F.lit(1 << k) for k in reversed(range(max_steps.bit_length()))])
+        points = F.transform(
+            kept, lambda k, t: F.when(k["m"] & finite_or_null(k["v"]).isNotNull(), point(k["v"], t))
+        )
+    # the steps of a search over as many valid points as there are
+    halves = F.filter(F.array(*[F.lit(1 << k) for k in reversed(range(31))]), lambda h: h <= F.size(values))
 
     def filled(row: Column) -> Column:
-        known = row["known"]
+        known, halves = row["known"], row["halves"]
 
         def step(v: Column, i: Column) -> Column:
             t = i.cast("double")
@@ -82,22 +85,21 @@ def fill_channel(
 
             return bound(upto, value)
 
-        longest = 2 ** max_steps.bit_length() - 1
-        return F.when(F.size(row["values"]) <= longest, F.transform(row["values"], step)).otherwise(
-            F.raise_error(F.lit(f"a series has more than {longest} steps: raise max_steps"))
-        )
+        return F.transform(row["values"], step)
 
     listed = F.filter(points, lambda p: p.isNotNull())
-    return bound(F.struct(listed.alias("known"), values.alias("values")), filled)
+    return bound(
+        F.struct(listed.alias("known"), values.alias("values"), halves.alias("halves")), filled
+    )
 
 
 def fill_series(
     series: Column, n_channels: int, edge: str = "hold", fill: float = 0.0,
-    mask: Column | None = None, max_steps: int = 64,
+    mask: Column | None = None,
 ) -> Column:
     """Gap-filled ``series[t][c]``; needs no other row, hence no shuffle."""
     channels = [
-        fill_channel(channel(series, c), edge, fill, mask, max_steps).alias(f"c{c}")
+        fill_channel(channel(series, c), edge, fill, mask).alias(f"c{c}")
         for c in range(n_channels)
     ]
     # Zipping evaluates every channel once; steps then only pick from the zipped row.

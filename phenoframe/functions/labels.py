@@ -31,8 +31,8 @@ def code_class(code: Column, variant: str) -> Column:
 
 
 def clip_label(y: Column, n_classes: int) -> Column:
-    """Limit a class to 0..n-1."""
-    return F.least(F.greatest(y, F.lit(0)), F.lit(max(0, n_classes - 1)))
+    """Limit a class to 0..n-1; an unknown class stays unknown."""
+    return F.when(y.isNotNull(), F.least(F.greatest(y, F.lit(0)), F.lit(max(0, n_classes - 1))))
 
 
 def eligible(code: Column, confidence: Column | None = None, land_cover: Column | None = None,

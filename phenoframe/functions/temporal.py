@@ -15,7 +15,7 @@ def decadal_bin(
     """Bin of the day of year. The days after the last bin join it, or become null."""
     raw = F.floor((F.dayofyear(day) - 1) / bin_days).cast("int")
     if tail == "clamp":
-        return F.least(raw, F.lit(n_bins - 1))
+        return F.when(raw.isNotNull(), F.least(raw, F.lit(n_bins - 1)))
     if tail == "drop":
         return F.when(raw < n_bins, raw)
     raise ValueError(f"unknown tail: {tail}")

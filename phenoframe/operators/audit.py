@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from phenoframe.scale.bounds import small_table
 
@@ -12,15 +12,14 @@ def class_distribution(
 ) -> DataFrame:
     """Count and percent per class within ``by``; with ``class_dim`` empty classes appear."""
     counts = df.groupBy(*by, y).agg(F.count(F.lit(1)).alias("n"))
-    totals = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_total"))
+    # the totals come from the counts, a row per stratum and class; null is a stratum too
+    joined = counts.withColumn("_total", F.sum("n").over(Window.partitionBy(*by)))
     if class_dim is not None:
-        classes = class_dim.select(y)
-        strata = totals.select(*by, F.explode(classes.agg(F.collect_list(y)).scalar()).alias(y))
-        counts = strata.join(counts, [*by, y], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    if by:
-        joined = counts.join(totals, by)
-    else:
-        joined = counts.withColumn("_total", totals.select("_total").scalar())
+        classes = class_dim.select(y).distinct().agg(F.collect_list(y)).scalar()
+        strata = joined.groupBy(*by).agg(F.max("_total").alias("_total"))
+        dense = strata.select(*by, F.explode(classes).alias(y), F.lit(0).cast("bigint").alias("n"), "_total")
+        known = F.array_contains(classes, F.col(y))
+        joined = joined.where(known).unionByName(dense).groupBy(*by, y).agg(F.sum("n").alias("n"), F.max("_total").alias("_total"))
     return joined.select(
         *by, y, F.col("n").cast("bigint").alias("n"), (F.col("n") * 100.0 / F.col("_total")).alias("percent")
     )

@@ -29,6 +29,8 @@ def binned(
 ) -> DataFrame:
     """Observations with their year and bin; non-finite band values become null.
 
+    Observations without a date are left out.
+
     With ``tail='drop'`` the last date of each year is excluded as well as the days past
     the last bin, like a half-open date range over the year.
     """
@@ -43,7 +45,7 @@ def binned(
         F.year(date_col).alias("year"),
         decadal_bin(F.col(date_col), n_bins, bin_days, tail).alias("bin"),
     )
-    return out.where(F.col("bin").isNotNull()) if tail == "drop" else out
+    return out.where(F.col("bin").isNotNull())
 
 
 def decadal_composite(

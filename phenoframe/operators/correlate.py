@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
+from phenoframe.functions.masks import finite_or_null
 from phenoframe.scale.bounds import materialised
 from phenoframe.scale.ranks import average_ranks
 
@@ -25,8 +28,26 @@ def pearson_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def spearman_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rank correlation of every pair of columns; equal values share their average rank."""
-    ranked = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    """Rank correlation of every pair of columns; equal values share their average rank.
+
+    Non-finite values are missing. A pair is ranked on the rows where both values are known:
+    all columns at once where nothing is missing, else pair by pair.
+    """
+    ranked = df.select(*[finite_or_null(F.col(c).cast("double")).alias(c) for c in columns])
+    gaps = ranked.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
+    if not any(gaps):
+        return _ranked_matrix(ranked, columns)
+    n, parts = len(columns), []
+    for i in range(n):
+        for j in range(i, n):
+            pair = [columns[i]] if i == j else [columns[i], columns[j]]
+            both = _ranked_matrix(ranked.select(pair).dropna(), pair)
+            parts.append(both.where("a <> b") if i < j else both)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _ranked_matrix(ranked: DataFrame, columns: list[str]) -> DataFrame:
+    """Correlation of the average ranks of complete columns."""
     ranks = materialised(average_ranks(ranked, columns))
     for c in columns:
         own = ranks.where(F.col("name") == c).select(

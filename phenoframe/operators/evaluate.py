@@ -8,16 +8,19 @@ from phenoframe.functions.labels import in_top
 
 
 def confusion_matrix(df: DataFrame, y_true: str, y_pred: str, n_classes: int) -> DataFrame:
-    """Counts of every (true, predicted) pair and their share of the true class."""
+    """Counts of every (true, predicted) pair and their share of the true class.
+
+    Labels or predictions outside 0..n-1, unknown ones too, stay as pairs of their own, so that
+    they count as wrong wherever rows are counted.
+    """
     counts = df.groupBy(
         F.col(y_true).cast("bigint").alias("y_true"), F.col(y_pred).cast("bigint").alias("y_pred")
     ).agg(F.count(F.lit(1)).alias("_n"))
     grid = df.sparkSession.range(n_classes * n_classes).select(
         F.floor(F.col("id") / n_classes).alias("y_true"), F.pmod("id", F.lit(n_classes)).alias("y_pred")
     )
-    dense = grid.join(counts, ["y_true", "y_pred"], "left").select(
-        "y_true", "y_pred", F.coalesce("_n", F.lit(0)).alias("n")
-    )
+    zeros = grid.withColumn("_n", F.lit(0).cast("bigint"))
+    dense = counts.unionByName(zeros).groupBy("y_true", "y_pred").agg(F.sum("_n").alias("n"))
     total = F.sum("n").over(Window.partitionBy("y_true"))
     return dense.withColumn("share", F.when(total > 0, F.col("n") / total).otherwise(F.lit(0.0)))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from phenoframe.functions.gaps import bracketed
+from phenoframe.functions.masks import finite_or_null
 
 
 def fill_gaps(
@@ -17,7 +18,7 @@ def fill_gaps(
     fill: float = 0.0,
     mask: str | None = None,
 ) -> DataFrame:
-    """Linear interpolation of missing steps, one row per key and step.
+    """Linear interpolation of missing steps (null, NaN or infinite), one row per key and step.
 
     ``edge`` rules the steps outside the valid range: ``hold`` the nearest valid value,
     ``fill`` with a constant, or ``leading_zero`` (0 before, hold after). A series without
@@ -29,13 +30,13 @@ def fill_gaps(
     future = Window.partitionBy(*keys).orderBy(order.desc()).rowsBetween(
         Window.unboundedPreceding, 0
     )
-    out = long
+    out = long.withColumns({c: finite_or_null(F.col(c)) for c in columns})
     for c in columns:
-        known = F.col(c).isNotNull() if mask is None else F.col(mask)
+        known = F.col(c).isNotNull() if mask is None else F.col(mask) & F.col(c).isNotNull()
         point = F.when(known, F.struct(order.cast("double").alias("t"), F.col(c).alias("v")))
         out = out.withColumn(f"_p_{c}", F.last(point, ignorenulls=True).over(past))
     for c in columns:
-        known = F.col(c).isNotNull() if mask is None else F.col(mask)
+        known = F.col(c).isNotNull() if mask is None else F.col(mask) & F.col(c).isNotNull()
         point = F.when(known, F.struct(order.cast("double").alias("t"), F.col(c).alias("v")))
         out = out.withColumn(f"_n_{c}", F.last(point, ignorenulls=True).over(future))
     t = order.cast("double")
@@ -75,7 +76,7 @@ def irregular_to_grid(
     cell = F.least(F.greatest(cell, F.lit(-1)), F.lit(n_steps - 1)).cast("int")
     point = F.struct(t.alias("t"), F.col(value_col).cast("double").alias("v"))
     cells = (
-        obs.where(F.col(value_col).isNotNull())
+        obs.where(finite_or_null(F.col(value_col)).isNotNull() & F.col(t_col).isNotNull())
         .groupBy(*keys, cell.alias("i"))
         .agg(F.min(point).alias("a"), F.max(point).alias("z"))
     )

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from phenoframe.functions.labels import mapped
-from phenoframe.scale.bounds import small_table
-from phenoframe.scale.ranks import hash_int, hash_rank, hash_segments, sequential_id, stable_hash
+from phenoframe.scale.bounds import materialised, small_table
+from phenoframe.scale.ranks import hash_int, hash_long, hash_rank, hash_segments, sequential_id, stable_hash
 
 
 def _named(df: DataFrame, names: list[str]) -> DataFrame:
@@ -97,8 +97,8 @@ def _draw(
     picks = slots.select(
         y,
         "slot",
-        (F.pmod(hash_int(digest), F.col("n")) + 1).alias("rank"),
-        F.pmod(hash_int(digest, 1), F.col("_salts")).alias("_salt"),
+        (F.pmod(hash_long(digest), F.col("n")) + 1).alias("rank"),
+        F.pmod(hash_int(digest, 3), F.col("_salts")).alias("_salt"),
     )
     pool = hash_rank(df, [y], ids, seed, "rank").join(numbered.select(y, "_salts"), y)
     copies = pool.withColumn(
@@ -132,7 +132,8 @@ def oversample_balanced(
 
 def read_sampled(observations: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
     """Observations of the sampled points only: sample labels first, read series later."""
-    return observations.join(small_table(points.select(*keys).distinct()), keys, "left_semi")
+    # written once, so that its real size decides whether it is broadcast
+    return observations.join(materialised(points.select(*keys).distinct()), keys, "left_semi")
 
 
 def hash_ordered(df: DataFrame, ids: list[str], seed: int = 42) -> DataFrame:

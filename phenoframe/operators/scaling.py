@@ -99,8 +99,9 @@ def apply_column_scaler(df: DataFrame, scaler: DataFrame, columns: list[str], ep
 
 
 def impute_median(df: DataFrame, columns: list[str], split: str | None = "split") -> DataFrame:
-    """Null and NaN become the exact median of the training rows."""
-    clean = df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in columns})
+    """Null and NaN become the exact median of the training rows; columns become doubles."""
+    number = {c: F.col(c).cast("double") for c in columns}
+    clean = df.withColumns({c: F.when(~F.isnan(v), v) for c, v in number.items()})
     medians = column_medians(training(clean, split), columns).first()
     return clean.fillna({c: medians[c] for c in columns if medians[c] is not None})
 
@@ -134,11 +135,11 @@ def class_weights(
 
 
 def sample_weights(df: DataFrame, y: str, weights: DataFrame, eps: float = 1e-8) -> DataFrame:
-    """Class weight of every row over the mean weight of all rows.
+    """Class weight of every row over the mean weight of all rows, null without a class.
 
     The mean comes from the class counts, so the rows are not aggregated again.
     """
     table = small_table(weights)
     mean = table.agg((F.sum(F.col("n") * F.col("weight")) / F.sum("n"))).scalar()
     scaled = table.select(y, (F.col("weight") / (mean + F.lit(eps))).alias("sample_weight"))
-    return df.join(scaled, y)
+    return df.join(scaled, y, "left")

@@ -30,6 +30,7 @@ from phenoframe.registry.roles import (
 from phenoframe.registry.sampling import _word, FILLED, TOTAL, filled_tensors
 from phenoframe.registry.statistics import LONG, covariates, split_samples
 from phenoframe.scale.bounds import new_folder
+from phenoframe.schemas import COVARIATES
 from phenoframe.streaming.composite import run_available, stream_composite
 
 N = 10
@@ -148,7 +149,7 @@ def feature_importance(spark, sf):
     rows = covariates(spark, sf).join(
         table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_nationkey") % 5).cast("double").alias("y")), "id"
     )
-    return plan.importance(rows, ["elevation", "slope", "aspect", "clay", "ph", "temp_max", "precip_sum"], "y", trees=20, depth=8)
+    return plan.importance(rows, COVARIATES, "y")
 
 
 @query("feature_ablation")
@@ -171,7 +172,7 @@ def learning_rates(spark, sf):
 
 @query("streaming_composite", with_ctes(OBS, COMP, body="""
 SELECT pixel_id, year, bin, green, red, nir, swir, valid FROM comp
-WHERE CAST(make_date(year, 1, 1) + 10 * bin AS DATE) <= (SELECT max(CAST(make_date(year, 1, 1) + 10 * bin AS DATE)) FROM comp) - 10"""))
+WHERE CAST(make_date(year, 1, 1) + 10 * bin AS DATE) <= (SELECT max(CAST(make_date(year, 1, 1) + 10 * bin AS DATE)) FROM comp) - 20"""))
 def streaming_composite(spark, sf):
     source = f"{sf}/lineitem.parquet"
     stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(f"{sf}/lineitem*.parquet")

@@ -62,7 +62,7 @@ def uniform(spark, sf):
 
 SLOTS = """counts AS (SELECT y, count(*) AS n FROM pts GROUP BY y),
 slots AS (SELECT y, n, unnest(range({take})) AS slot FROM counts),
-picks AS (SELECT y, slot, CAST('0x' || substr(md5('42-' || y || '-' || slot), 1, 8) AS BIGINT) % n + 1 AS rank FROM slots),
+picks AS (SELECT y, slot, CAST('0x' || substr(md5('42-' || y || '-' || slot), 1, 15) AS BIGINT) % n + 1 AS rank FROM slots),
 drawn AS (SELECT r.id, r.y, p.slot FROM picks p JOIN ranked r ON r.y = p.y AND r.rank = p.rank)"""
 
 

@@ -28,6 +28,11 @@ def hash_int(digest: Column, word: int = 0) -> Column:
     return F.conv(F.substring(digest, 1 + 8 * word, 8), 16, 10).cast("bigint")
 
 
+def hash_long(digest: Column) -> Column:
+    """The leading 60 bits as a bigint."""
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+
+
 def uniform(digest: Column, word: int = 0) -> Column:
     """A number in [0, 1) from one group of eight hex digits."""
     return hash_int(digest, word) / F.lit(4294967296.0)
@@ -39,6 +44,15 @@ def gaussian(digest: Column) -> Column:
     return F.sqrt(F.lit(-2.0) * F.ln(u)) * F.cos(F.lit(2.0) * F.pi() * uniform(digest, 1))
 
 
+def _on_groups(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on group columns where null is a group like any other."""
+    named = right.select(
+        *[F.col(k).alias(f"_on_{k}") for k in keys], *[c for c in right.columns if c not in keys]
+    )
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in keys])
+    return left.join(named, same, how).drop(*[f"_on_{k}" for k in keys])
+
+
 def _sliced(df: DataFrame, ids: list[str], seed: int | str, digits: int) -> DataFrame:
     digest = stable_hash(seed, *[F.col(i) for i in ids])
     return df.withColumn("_h", digest).withColumn(
@@ -62,7 +76,7 @@ def hash_rank(
         *by, "_s", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_lo")
     )
     inside = Window.partitionBy(*by, "_s").orderBy("_h", *ids)
-    ranked = keyed.withColumn("_r", F.row_number().over(inside)).join(starts, [*by, "_s"])
+    ranked = _on_groups(keyed.withColumn("_r", F.row_number().over(inside)), starts, [*by, "_s"])
     return ranked.select(*df.columns, (F.col("_r") + F.col("_lo")).alias(out))
 
 
@@ -110,8 +124,7 @@ def hash_segments(
     start = F.coalesce(*[F.when(here[j], F.col(f"_start{j}")) for j in n_cuts])
     key = F.struct("_h", *ids)
     ranked = (
-        keyed.select(*group, "_s", "_h", *ids)
-        .join(per_group, group)
+        _on_groups(keyed.select(*group, "_s", "_h", *ids), per_group, group)
         .where(reduce(lambda a, b: a | b, here))
         .withColumn(
             "_rank",
@@ -127,7 +140,7 @@ def hash_segments(
         for i, name in enumerate(["_h", *ids])
     ]
     keys = small_table(ranked.groupBy(*group).agg(*ends).select(*group, *parts))
-    places = per_group.select(*group, *[f"_beyond{j}" for j in n_cuts]).join(keys, group, "left")
+    places = _on_groups(per_group.select(*group, *[f"_beyond{j}" for j in n_cuts]), keys, group, "left")
 
     segment = F.lit(0)
     for j in n_cuts:
@@ -136,7 +149,7 @@ def hash_segments(
             F.col("_s") >= F.col(f"_beyond{j}")
         )
         segment = segment + F.when(after, 1).otherwise(0)
-    return keyed.join(places, group).select(*df.columns, segment.alias(out))
+    return _on_groups(keyed, places, group).select(*df.columns, segment.alias(out))
 
 
 def sequential_id(df: DataFrame, order: list[str], out: str = "id", start: int = 0) -> DataFrame:

@@ -49,12 +49,13 @@ def read_points(spark: SparkSession, path: str, chunk_glob: str) -> DataFrame:
 
 
 def identified_points(table: DataFrame) -> DataFrame:
-    """Distinct located points with a bigint id.
+    """Located points with a bigint id, one per key; without a key column every row is a point.
 
     An ``id`` column is used as it is; a ``system:index`` that is a number in at least half
     of the rows serves as id; otherwise, and where the number is missing, points are
-    numbered in a fixed order.
+    numbered in a fixed order, above the numbers that are there.
     """
+    table = table.dropna(subset=["lon", "lat"])
     key = next((c for c in ("id", "system:index") if c in table.columns), None)
     if key is None:
         order = ["lon", "lat"]
@@ -71,13 +72,13 @@ def identified_points(table: DataFrame) -> DataFrame:
         counts = points.agg(F.count(F.lit(1)), F.count(whole)).first()
         if key == "id" or counts[1] >= max(1, counts[0] // 2):
             named = points.withColumn("_id", whole)
-            located = named.dropna(subset=["lon", "lat"])
             if counts[1] == counts[0]:
-                return located.select(F.col("_id").alias("id"), "lon", "lat")
-            numbered = sequential_id(located, order, "_n")
+                return named.select(F.col("_id").alias("id"), "lon", "lat")
+            highest = named.agg(F.max("_id")).first()[0]
+            above = 0 if highest is None else highest + 1
+            numbered = sequential_id(named, order, "_n", above)
             return numbered.select(F.coalesce("_id", "_n").alias("id"), "lon", "lat")
-    located = points.dropna(subset=["lon", "lat"])
-    return sequential_id(located, order, "id").select("id", "lon", "lat")
+    return sequential_id(points, order, "id").select("id", "lon", "lat")
 
 
 def read_numeric_csv(spark: SparkSession, path: str, keys: tuple[str, ...] = ("id", "system:index")) -> DataFrame:

@@ -18,8 +18,8 @@ def stream_composite(
     """Composites that are emitted once their bin can receive no more observations.
 
     The bins restart each year, so the event time is the start of an observation's bin and
-    not a fixed window. A bin is final when a bin that starts more than ``lateness`` later
-    has been seen; observations of final bins are dropped. State holds open bins only.
+    not a fixed window. A bin is final when a bin that starts at least ``lateness`` after its
+    end has been seen; observations of final bins are dropped. State holds open bins only.
     """
     number = decadal_bin(F.col(time_col), n_bins, bin_days, tail)
     rows = obs.select(
@@ -30,7 +30,7 @@ def stream_composite(
         *[finite_or_null(F.col(b)).alias(b) for b in bands],
     ).where(F.col("bin").isNotNull())
     return (
-        rows.withWatermark("bin_time", lateness)
+        rows.withWatermark("bin_time", f"{24 * bin_days} hours {lateness}")
         .groupBy(*keys, "year", "bin", "bin_time")
         .agg(*[F.median(b).alias(b) for b in bands], (F.count_if(any_value(bands)) > 0).alias("valid"))
     )

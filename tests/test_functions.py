@@ -57,11 +57,21 @@ def test_fill_channel_by_mask_leaves_empty_series(spark):
     assert got == [[5, 6, 7], [5, 9, 7]]
 
 
-def test_fill_channel_refuses_longer_series(spark):
-    df = spark.createDataFrame([([1.0] + [None] * 198 + [2.0],)], "v array<double>")
-    with pytest.raises(PySparkException):
-        df.select(fill_channel(F.col("v"))).collect()
-    assert df.select(fill_channel(F.col("v"), max_steps=200)).first()[0][199] == 2
+def test_fill_channel_has_no_longest_series(spark):
+    df = spark.createDataFrame([([1.0] + [None] * 363 + [2.0],)], "v array<double>")
+    got = df.select(fill_channel(F.col("v"))).first()[0]
+    assert got[0] == 1 and got[364] == 2 and got[182] == pytest.approx(1.5)
+
+
+def test_fill_channel_takes_nan_as_missing(spark):
+    df = spark.createDataFrame([([float("nan"), 2.0, float("nan"), 4.0, float("inf")],)], "v array<double>")
+    assert df.select(fill_channel(F.col("v"))).first()[0] == [2, 2, 3, 4, 4]
+
+
+def test_unknown_label_and_date_stay_unknown(spark):
+    df = spark.createDataFrame([(None, None)], "y int, d date")
+    row = df.select(labels.clip_label(F.col("y"), 5), temporal.decadal_bin(F.col("d"))).first()
+    assert tuple(row) == (None, None)
 
 
 def test_resample_linear(spark):

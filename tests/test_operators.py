@@ -92,6 +92,43 @@ def test_impute(spark):
     assert sorted(r["v"] for r in scaling.impute_zero(df, ["v"]).collect()) == [0, 0, 1, 3, 99]
 
 
+def test_median_of_whole_numbers_is_not_cut(spark):
+    df = spark.createDataFrame([(2, "train"), (3, "train"), (None, "test")], "v int, split string")
+    assert sorted(r["v"] for r in scaling.impute_median(df, ["v"]).collect()) == [2, 2.5, 3]
+
+
+def test_rows_without_class_keep_a_null_weight(spark):
+    df = spark.createDataFrame([(0, "train"), (0, "train"), (1, "train"), (None, "train")], "y int, split string")
+    rows = scaling.sample_weights(df, "y", scaling.class_weights(df, "y")).collect()
+    assert len(rows) == 4 and [r["sample_weight"] for r in rows if r["y"] is None] == [None]
+
+
+def test_classes_outside_the_range_count_as_wrong(spark):
+    df = spark.createDataFrame([(0, 0), (1, 1), (1, 7), (0, None)], "y int, p int")
+    cm = evaluate.confusion_matrix(df, "y", "p", 2)
+    assert cm.count() == 6 and cm.agg(F.sum("n")).first()[0] == 4
+    assert evaluate.accuracy_kappa(cm).first()["accuracy"] == 0.5
+
+
+def test_null_strata_and_classes_are_counted(spark):
+    df = spark.createDataFrame([("a", 0), ("a", None), (None, 0), (None, 0)], "z string, y int")
+    rows = {(r["z"], r["y"]): (r["n"], r["percent"]) for r in audit.class_distribution(df, "y", ["z"]).collect()}
+    assert rows == {("a", 0): (1, 50.0), ("a", None): (1, 50.0), (None, 0): (2, 100.0)}
+
+
+@pytest.mark.parametrize("hot", [None, 1])
+def test_rows_without_date_enter_no_composite(spark, hot):
+    df = spark.createDataFrame([(1, "2021-01-01", 1.0), (1, "2021-01-02", 3.0), (1, None, 9.0)], "p int, d string, a double")
+    rows = decadal_composite(df.withColumn("d", F.to_date("d")), ["p"], "d", ["a"], hot_rows=hot).collect()
+    assert [(r["bin"], r["a"]) for r in rows] == [(0, 2.0)]
+
+
+def test_nan_is_a_gap(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1, t, v) for t, v in enumerate([nan, 2.0, nan, 4.0])], "p int, t int, v double")
+    assert [r["v"] for r in fill_gaps(df, ["p"], "t", ["v"]).orderBy("t").collect()] == [2, 2, 3, 4]
+
+
 def test_perfect_agreement(spark):
     df = spark.createDataFrame([(0, 0)] * 3 + [(1, 1)] * 2, "y int, p int")
     row = evaluate.evaluation(df, "y", "p", 3).first()

@@ -11,7 +11,7 @@ from phenoframe.operators import sampling
 from phenoframe.operators.composite import decadal_composite
 from phenoframe.operators.correlate import spearman_matrix
 from phenoframe.scale import medians, ranks
-from phenoframe.scale.bounds import heavy_keys, materialised, small_table
+from phenoframe.scale.bounds import heavy_keys, materialised, shared_folder, small_table
 
 
 def skewed(n=4000):
@@ -150,7 +150,7 @@ def test_oversampling_is_salted_but_unchanged(spark, per_task):
     expected = set()
     for y, n in sizes.items():
         for slot in range(300):
-            word = int(hashlib.md5(f"42-{y}-{slot}".encode()).hexdigest()[:8], 16)
+            word = int(hashlib.md5(f"42-{y}-{slot}".encode()).hexdigest()[:15], 16)
             expected.add((by_rank[(y, word % n + 1)], y, slot))
     assert len(out) == 900
     assert {(r["id"], r["y"], r["slot"]) for r in out} == expected
@@ -173,3 +173,53 @@ def test_small_table_keeps_large_results_distributed(spark):
 def test_materialised_reads_back_a_table(spark):
     df = materialised(spark.range(10).withColumn("x", F.array(F.lit(1.0))))
     assert df.count() == 10 and "FileScan parquet" in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("split", ["paper", "ratio"])
+def test_rows_without_class_get_a_split(spark, split):
+    df = spark.createDataFrame([(i, i % 3 if i % 4 else None) for i in range(100)], "id int, y int")
+    made = sampling.paper_split(df, "y", ["id"], 10, 5) if split == "paper" else sampling.ratio_split(df, ["y"], ["id"])
+    rows = made.collect()
+    assert len(rows) == 100 and all(r["split"] for r in rows)
+    assert sum(r["y"] is None for r in rows) == 25
+    assert len({r["split"] for r in rows if r["y"] is None}) == 3
+
+
+def test_draws_use_sixty_bits(spark):
+    digest = hashlib.md5(b"42-1-0").hexdigest()
+    got = spark.range(1).select(ranks.hash_long(ranks.stable_hash(42, F.lit(1), F.lit(0)))).first()[0]
+    assert got == int(digest[:15], 16)
+
+
+def test_rank_correlation_with_missing_values(spark):
+    nan = float("nan")
+    rows = [(1.0, 2.0), (2.0, 1.0), (nan, 5.0), (3.0, None), (4.0, 4.0), (5.0, 3.0)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    got = {(r["a"], r["b"]): r["corr"] for r in spearman_matrix(df, ["a", "b"]).collect()}
+    # ranks of the four complete rows: a 1 2 3 4, b 2 1 4 3
+    assert got["a", "b"] == pytest.approx(0.6) == got["b", "a"] and got["a", "a"] == pytest.approx(1)
+    assert len(got) == 4
+
+
+def test_sampled_points_are_written_once(spark):
+    obs = spark.range(1000).select((F.col("id") % 100).alias("p"), "id")
+    got = sampling.read_sampled(obs, spark.range(50).select(F.col("id").alias("p")), ["p"])
+    assert got.count() == 500
+    assert "hashpartitioning(p" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session())

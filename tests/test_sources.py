@@ -127,6 +127,15 @@ def test_points_without_numeric_index_are_numbered(spark):
     assert [(r["id"], r["lon"]) for r in rows] == [(0, 1.0), (1, 3.0)]
 
 
+def test_points_with_some_numbers_or_coordinates(spark):
+    df = spark.createDataFrame([("5", None, 2.0), ("5", 1.0, 2.0), ("x", 3.0, 4.0), ("0", 7.0, 8.0)], "id string, lon double, lat double")
+    rows = tables.identified_points(df).collect()
+    assert {(r["id"], r["lon"]) for r in rows if r["lon"] != 3.0} == {(5, 1.0), (0, 7.0)}
+    assert [r["id"] for r in rows if r["lon"] == 3.0][0] > 5
+    plain = spark.createDataFrame([(1.0, 2.0), (1.0, 2.0)], "lon double, lat double")
+    assert [r["id"] for r in tables.identified_points(plain).orderBy("id").collect()] == [0, 1]
+
+
 def test_scaler_state_round_trip(spark, tmp_path):
     from phenoframe.operators import scaling
 

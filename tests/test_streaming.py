@@ -36,3 +36,17 @@ def test_closed_bins_equal_the_batch_result(spark, tmp_path):
     seen = spark.createDataFrame(first + second[:3], "p int, d string, a double").withColumn("d", F.to_date("d"))
     batch = decadal_composite(seen, ["p"], "d", ["a"])
     assert closed < {tuple(r) for r in batch.select("p", "year", "bin", "a", "valid").collect()}
+
+
+def test_late_rows_inside_the_grace_count(spark, tmp_path):
+    source, out, progress = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "progress")
+
+    def step(name, rows):
+        arrive(spark, source, name, rows)
+        stream = spark.readStream.schema(SCHEMA).parquet(str(source / "*"))
+        run_available(stream_composite(stream, ["p"], "d", ["a"], lateness="10 days"), out, progress).awaitTermination()
+        return {(r["bin"], r["a"]) for r in spark.read.parquet(out).collect()}
+
+    assert step("one", [(1, "2021-01-09", 1.0), (1, "2021-01-11", 5.0)]) == set()
+    assert step("two", [(1, "2021-01-10", 3.0)]) == set()
+    assert step("three", [(1, "2021-01-21", 7.0)]) == {(0, 2.0)}
