@@ -14,14 +14,15 @@ HORN = [
 
 def slope_aspect(
     dem: DataFrame, elevation: str = "elevation", row: str = "row", col: str = "col",
-    dx: float = 1.0, dy: float = 1.0,
+    dx: float = 1.0, dy: float = 1.0, tile: str | None = None,
 ) -> DataFrame:
     """Slope and aspect in degrees; null where a neighbour is missing.
 
     Rows run south. Every cell sends its weighted height to its neighbours, which sum what
     they receive: one grouped pass with partial sums, no self-joins. Aspect is the direction
-    the slope faces, clockwise from north.
+    the slope faces, clockwise from north. With ``tile`` each tile is a grid of its own.
     """
+    tiles = [] if tile is None else [tile]
     targets = F.array(
         *[
             F.struct(
@@ -36,9 +37,9 @@ def slope_aspect(
     )
     sums = (
         dem.where(F.col(elevation).isNotNull())
-        .select(F.explode(targets).alias("n"))
-        .select("n.*")
-        .groupBy("row", "col")
+        .select(*tiles, F.explode(targets).alias("n"))
+        .select(*tiles, "n.*")
+        .groupBy(*tiles, "row", "col")
         .agg(
             F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum("own").alias("own"),
             F.count(F.lit(1)).alias("n"),
@@ -50,6 +51,7 @@ def slope_aspect(
     slope = F.degrees(F.atan(F.sqrt(gx * gx + gy * gy)))
     facing = F.pmod(F.degrees(F.atan2(-gx, gy)) + 360, F.lit(360.0))
     return sums.select(
+        *tiles,
         F.col("row").alias(row),
         F.col("col").alias(col),
         F.when(full, slope).alias("slope"),

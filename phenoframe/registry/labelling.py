@@ -242,3 +242,60 @@ def code_difference(spark, sf):
     codes = table(spark, sf, "part").where("p_size BETWEEN 1 AND 60").select(F.col("p_size").alias("code")).distinct()
     main = spark.createDataFrame([(c,) for c in (1, 2, 3, 5)], "code int")
     return codes.join(main, "code", "left_anti")
+
+
+TILE_ROWS = [("a", 0.0, 0.0, 50.0, 25.0, 20, 20), ("b", 900.0, 0.0, 40.0, 50.0, 10, 20), ("c", 0.0, 1500.0, 90.0, -45.0, 20, 20)]
+TILES = f"""tiles(tile_id, x0, y0, dx, dy, n_rows, n_cols) AS (VALUES {', '.join(map(str, TILE_ROWS))}),
+cells AS (
+  SELECT CASE p_partkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS tile_id,
+         (p_partkey // 3) // 20 AS row, (p_partkey // 3) % 20 AS col, p_retailprice AS elevation, p_size AS size FROM part),
+pts AS (SELECT c_custkey AS id, CAST(c_custkey * 7 % 2200 AS DOUBLE) AS x, CAST(c_custkey * 13 % 1700 AS DOUBLE) AS y FROM customer)"""
+
+
+def tile_geometry(spark):
+    return spark.createDataFrame(TILE_ROWS, "tile_id string, x0 double, y0 double, dx double, dy double, n_rows int, n_cols int")
+
+
+def tile_cells(spark, sf):
+    key = F.expr("p_partkey div 3")
+    tile = F.get(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("p_partkey") % 3).cast("int"))
+    return table(spark, sf, "part").select(
+        tile.alias("tile_id"), row_of(key, 20).alias("row"), col_of(key, 20).alias("col"),
+        F.col("p_retailprice").alias("elevation"), F.col("p_size").alias("size"),
+    )
+
+
+INSIDE = """floor((y - y0) / dy) >= 0 AND floor((y - y0) / dy) < n_rows AND floor((x - x0) / dx) >= 0 AND floor((x - x0) / dx) < n_cols"""
+PLACE = """CAST(floor((y - y0) / dy) AS BIGINT) AS row, CAST(floor((x - x0) / dx) AS BIGINT) AS col"""
+
+
+@query("tile_sample_join", f"""WITH {TILES},
+placed AS (SELECT id, tile_id, {PLACE} FROM pts JOIN tiles ON {INSIDE})
+SELECT id, tile_id, row, col, elevation, size FROM (SELECT id FROM pts) LEFT JOIN placed USING (id) LEFT JOIN cells USING (tile_id, row, col)""")
+def tile_sample_join(spark, sf):
+    """Points sampled from three tiles, two of which overlap."""
+    key = F.col("c_custkey")
+    points = table(spark, sf, "customer").select(
+        key.alias("id"), (key * 7 % 2200).cast("double").alias("x"), (key * 13 % 1700).cast("double").alias("y")
+    )
+    out = align.sample_tiles(points, tile_cells(spark, sf), tile_geometry(spark), x="x", y="y")
+    return out.select("id", "tile_id", "row", "col", "elevation", "size")
+
+
+@query("covariate_chain", f"""WITH {TILES},
+t AS (SELECT row AS r, col AS c, x0 + (col + 0.5) * dx AS x, y0 + (row + 0.5) * dy AS y FROM cells JOIN tiles USING (tile_id) WHERE tile_id = 'b'),
+pa AS (SELECT r, c, {PLACE} FROM t JOIN tiles ON tile_id = 'a' AND {INSIDE}),
+pc AS (SELECT r, c, {PLACE} FROM t JOIN tiles ON tile_id = 'c' AND {INSIDE}),
+va AS (SELECT r, c, size AS soil FROM pa JOIN cells k ON k.tile_id = 'a' AND k.row = pa.row AND k.col = pa.col),
+vc AS (SELECT r, c, elevation FROM pc JOIN cells k ON k.tile_id = 'c' AND k.row = pc.row AND k.col = pc.col)
+SELECT r AS row, c AS col, soil, elevation FROM t LEFT JOIN va USING (r, c) LEFT JOIN vc USING (r, c)""")
+def covariate_chain(spark, sf):
+    """Target cells joined with two further grids at their centres, in one chain."""
+    cells, tiles = tile_cells(spark, sf), tile_geometry(spark)
+    soil = cells.where("tile_id = 'a'").select("tile_id", "row", "col", F.col("size").alias("soil"))
+    terrain = cells.where("tile_id = 'c'").select("tile_id", "row", "col", "elevation")
+    out = align.align_tiles(
+        cells.where("tile_id = 'b'").select("tile_id", "row", "col"), tiles,
+        [(soil, tiles.where("tile_id = 'a'")), (terrain, tiles.where("tile_id = 'c'"))],
+    )
+    return out.select("row", "col", "soil", "elevation")

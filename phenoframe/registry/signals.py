@@ -382,3 +382,20 @@ def terrain(spark, sf):
         (F.col("p_retailprice") * (1 + F.col("p_size") % 7)).alias("elevation"),
     )
     return rounded(slope_aspect(dem, dx=10.0, dy=10.0), ["slope", "aspect"], 4)
+
+
+@query("tile_terrain", """
+WITH g AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'a' ELSE 'b' END AS tile_id, (p_partkey // 2) // 25 AS row, (p_partkey // 2) % 25 AS col, p_retailprice * (1 + p_size % 7) AS z FROM part),
+n AS (SELECT g.tile_id, g.row, g.col, h.row - g.row AS dr, h.col - g.col AS dc, h.z FROM g JOIN g h ON h.tile_id = g.tile_id AND abs(h.row - g.row) <= 1 AND abs(h.col - g.col) <= 1),
+s AS (SELECT tile_id, row, col, count(*) AS k, sum(z * dc * (2 - abs(dr))) / 80 AS gx, sum(z * dr * (2 - abs(dc))) / 80 AS gy FROM n GROUP BY ALL)
+SELECT tile_id, row, col, round(CASE WHEN k = 9 THEN degrees(atan(sqrt(gx * gx + gy * gy))) END, 4) + CAST(0 AS DOUBLE) AS slope,
+  round(CASE WHEN k = 9 THEN CASE WHEN degrees(atan2(-gx, gy)) < 0 THEN degrees(atan2(-gx, gy)) + 360 ELSE degrees(atan2(-gx, gy)) END END, 4) + CAST(0 AS DOUBLE) AS aspect
+FROM s""")
+def tile_terrain(spark, sf):
+    key = F.expr("p_partkey div 2")
+    dem = table(spark, sf, "part").select(
+        F.when(F.col("p_partkey") % 2 == 0, "a").otherwise("b").alias("tile_id"),
+        row_of(key, 25).alias("row"), col_of(key, 25).alias("col"),
+        (F.col("p_retailprice") * (1 + F.col("p_size") % 7)).alias("elevation"),
+    )
+    return rounded(slope_aspect(dem, dx=10.0, dy=10.0, tile="tile_id"), ["slope", "aspect"], 4)

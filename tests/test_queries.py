@@ -3,6 +3,7 @@
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from phenoframe.registry import ORACLES, QUERIES
 from tools.check import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -15,7 +16,8 @@ def duck():
 
 def test_registry_is_consistent():
     assert set(oracle_sql()) <= set(queries())
-    assert set(queries()) - set(oracle_sql()) == {
+    assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql())
+    assert set(QUERIES) - set(ORACLES) == {
         "multimodal_preparation", "feature_importance", "feature_ablation", "learning_rates"
     }
 
@@ -25,7 +27,7 @@ def test_entry(spark):
     assert df.columns == ["y", "t", "mean", "std", "n"] and df.count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, duck, name):
     assert compare(queries()[name](spark, SF), duck, oracle_sql()[name]) == ""
 
