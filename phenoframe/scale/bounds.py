@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -43,6 +44,15 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def scratch(spark: SparkSession, name: str):
+    """A folder for tables that nothing reads after the block; it is deleted at its end."""
+    folder = new_folder(spark, name)
+    yield folder
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialised(df: DataFrame, folder: str | None = None) -> DataFrame:
     """Write a table to the shared folder once and read it back.
 

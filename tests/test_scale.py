@@ -11,7 +11,7 @@ from phenoframe.operators import sampling
 from phenoframe.operators.composite import decadal_composite
 from phenoframe.operators.correlate import spearman_matrix
 from phenoframe.scale import medians, ranks
-from phenoframe.scale.bounds import heavy_keys, materialised, shared_folder, small_table
+from phenoframe.scale.bounds import heavy_keys, materialised, scratch, shared_folder, small_table
 
 
 def skewed(n=4000):
@@ -223,3 +223,10 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(Session())
+
+
+def test_scratch_folder_is_deleted(spark):
+    with scratch(spark, "tmp") as folder:
+        assert materialised(spark.range(3), folder).count() == 3
+    with pytest.raises(Exception):
+        spark.read.parquet(folder)
