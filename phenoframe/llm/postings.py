@@ -36,8 +36,10 @@ def term_stream(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     return word_hashes(low, begins, ends), first
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the index of whole texts and return it, one row per block.
+def build_index(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None
+) -> DataFrame:
+    """Write the index of whole texts, to ``folder`` if one is named, and return it, one row per block.
 
     Null texts are documents without words; repeated and null ids stay apart as documents.
     Blocks follow the scan, so nothing is shuffled and no key can grow hot.
@@ -73,7 +75,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         f"block bigint, ids array<{kind}>, n_words array<int>, terms binary, counts binary, "
         "positions binary"
     )
-    return materialised(map_text(picked, run, schema))
+    return materialised(map_text(picked, run, schema), folder)
 
 
 def index_documents(index: DataFrame) -> DataFrame:
@@ -241,6 +243,7 @@ def decontaminate(
     item_col: str = "item_id",
     item_text_col: str = "text",
     width: int = WINDOW,
+    folder: str | None = None,
 ) -> DataFrame:
     """``(doc_id, n_words, n_hit, items, contaminated)`` per document.
 
@@ -248,9 +251,10 @@ def decontaminate(
     distinct ids of items with occurring windows, sorted as strings (an item without id hits
     words but is not listed). Null and empty texts have no words, an item without words has
     no window; without items nothing is hit. Repeated rows and ids give one row each; other
-    columns of either table are ignored.
+    columns of either table are ignored. The index goes to ``folder`` if one is named; the
+    result reads it until it has been written itself.
     """
-    index = build_index(docs, id_col, text_col)
+    index = build_index(docs, id_col, text_col, folder)
     matches = phrase_matches(index, items, item_col, item_text_col, width)
     spans = F.transform(
         "starts", lambda s: F.struct(s.alias("s"), (s + F.col("length")).alias("e"))
