@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from phenoframe.llm import packing, pii, postings, quality, simhash
-from phenoframe.scale.bounds import materialised
+from phenoframe.scale.bounds import materialised, scratch
 
 # Ranking, near-duplicate groups and packing are not expressible in SQL; the tests compare
 # every stage with a brute-force version.
@@ -38,8 +38,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a window of a benchmark item."""
     keyed = _keyed(docs)
-    found = postings.decontaminate(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "_key")
-    dropped = materialised(found.where("contaminated").select(F.col("doc_id").alias("_key")))
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    with scratch(spark, "index") as folder:
+        found = postings.decontaminate(keyed, items, "_key", folder=folder)
+        dropped = materialised(found.where("contaminated").select(F.col("doc_id").alias("_key")))
     return keyed.join(dropped, "_key", "left_anti").select(docs.columns)
 
 
