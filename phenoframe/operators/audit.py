@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from phenoframe.scale.bounds import small_table
+from phenoframe.scale.bounds import materialised, small_table
 
 
 def class_distribution(
@@ -44,7 +44,8 @@ def missing_by_step(samples: DataFrame, mask: str = "mask") -> DataFrame:
 
 
 def missing_summary(samples: DataFrame, mask: str = "mask") -> DataFrame:
-    """Mean, minimum and maximum of both missing rates in one row."""
+    """Mean, minimum and maximum of both missing rates in one row; the masks are written once."""
+    samples = materialised(samples.select(mask))
     per_sample = missing_by_sample(samples, [], mask).agg(
         F.avg("missing_rate").alias("sample_mean"),
         F.min("missing_rate").alias("sample_min"),

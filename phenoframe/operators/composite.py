@@ -60,30 +60,33 @@ def decadal_composite(
     tail: str = "clamp",
     mask_rule: str = "any",
     hot_rows: int | None = 5_000_000,
+    masks: dict[str, str] | None = None,
 ) -> DataFrame:
     """Median of each band per key, year and bin that has observations.
 
     ``valid`` follows ``mask_rule``: ``any`` when some band has a value, or the name of the
-    band whose values are counted. All rows of a key meet in one task, which serves the
+    band whose values are counted; ``masks`` names further masks by rule. All rows of a key meet in one task, which serves the
     median here and any later step keyed the same way; keys with more than ``hot_rows``
     rows are composited by value counts instead.
     """
     rows = binned(obs, date_col, bands, year, n_bins, bin_days, tail)
     rows = rows.select(*keys, "year", "bin", *bands)
     group = [*keys, "year", "bin"]
-    tested = any_value(bands) if mask_rule == "any" else F.col(mask_rule).isNotNull()
-    counted = F.count_if(tested)
+    flags = []
+    for name, rule in {"valid": mask_rule, **(masks or {})}.items():
+        tested = any_value(bands) if rule == "any" else F.col(rule).isNotNull()
+        flags.append((F.count_if(tested) > 0).alias(name))
     hot = heavy_keys(rows, keys, hot_rows) if hot_rows else None
 
     cold = rows if hot is None else rows.join(hot, keys, "left_anti")
     simple = cold.repartition(*keys).groupBy(*group).agg(
-        *[F.median(b).alias(b) for b in bands], (counted > 0).alias("valid")
+        *[F.median(b).alias(b) for b in bands], *flags
     )
     if hot is None:
         return simple
     large = rows.join(hot, keys, "left_semi")
     medians = split_medians(large, group, bands)
-    valid = large.groupBy(*group).agg((counted > 0).alias("valid"))
+    valid = large.groupBy(*group).agg(*flags)
     return simple.unionByName(valid.join(medians, group, "left").select(*simple.columns))
 
 

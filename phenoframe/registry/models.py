@@ -35,6 +35,7 @@ from phenoframe.streaming.composite import run_available, stream_composite
 
 N = 10
 FIRST_TEN = [[5.0 if i == k else 0.0 for i in range(64)] for k in range(N)]
+EVERY_STEP = [[5.0 if i % N == k else 0.0 for i in range(64)] for k in range(N)]  # all 16 steps count
 
 
 @query("batch_scoring", with_ctes(PRED, body=f"""
@@ -52,7 +53,8 @@ RATES = [0.0, 0.1, 0.2, 0.3]
 kept AS (SELECT rate, vec_id, label, t * 4 + c AS i, CASE WHEN u > rate THEN x ELSE 0 END AS x FROM (
   SELECT f.vec_id, e.label, t, c, x, {_word("'42-' || f.vec_id || '-' || t", 0)} / {TOTAL} AS u
   FROM filled f JOIN embeddings e ON e.vec_id = f.vec_id), rates),
-pred AS (SELECT rate, vec_id, any_value(label) AS y, arg_max(i, (x, -i)) AS y_pred FROM kept WHERE i < 10 GROUP BY rate, vec_id),
+sums AS (SELECT rate, vec_id, label, i % 10 AS i, round(sum(x), 9) AS x FROM kept GROUP BY rate, vec_id, label, i % 10),
+pred AS (SELECT rate, vec_id, any_value(label) AS y, arg_max(i, (x, -i)) AS y_pred FROM sums GROUP BY rate, vec_id),
 cls AS (SELECT rate, c.i, count(CASE WHEN y = c.i THEN 1 END) AS s, count(CASE WHEN y_pred = c.i THEN 1 END) AS p FROM pred, range(10) c(i) GROUP BY rate, c.i),
 chance AS (SELECT rate, sum(s * p) / (sum(s) * sum(s)) AS pe FROM cls GROUP BY rate),
 acc AS (SELECT rate, avg(CASE WHEN y = y_pred THEN 1 ELSE 0 END) AS po FROM pred GROUP BY rate)""", body=f"""
@@ -62,7 +64,7 @@ def robustness(spark, sf):
     results = []
     for rate in RATES:
         thinned = mask_steps_and_jitter(rows, ["vec_id"], rate=rate, sd=0.0)
-        scored = score(thinned, F.flatten("series"), 64, linear_softmax(FIRST_TEN, [0.0] * N))
+        scored = score(thinned, F.flatten("series"), 64, linear_softmax(EVERY_STEP, [0.0] * N))
         scores = evaluation(predicted(scored), "label", "y_pred", N)
         results.append(scores.select(F.lit(rate).alias("rate"), r("accuracy").alias("accuracy"), r("kappa").alias("kappa")))
     return reduce(lambda a, b: a.unionByName(b), results)

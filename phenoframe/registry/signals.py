@@ -295,10 +295,10 @@ def _gap_sql(edge: str) -> str:
           first_value({k} IGNORE NULLS) OVER n AS {b}_n, first_value({b} IGNORE NULLS) OVER n AS {b}_nv"""
 
     return with_ctes(OBS, COMP, DENSE, body=f"""
-    , ends AS (SELECT pixel_id, year, t, {ends('green')}, {ends('nir')} FROM dense
+    , ends AS (SELECT pixel_id, year, t, {', '.join(map(ends, BANDS))} FROM dense
       WINDOW p AS (PARTITION BY pixel_id, year ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
              n AS (PARTITION BY pixel_id, year ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-    SELECT pixel_id, year, t, {sr(value('green'), 'green', 8)}, {sr(value('nir'), 'nir', 8)} FROM ends""")
+    SELECT pixel_id, year, t, {', '.join(sr(value(b), b, 8) for b in BANDS)} FROM ends""")
 
 
 def _register_gapfill(edge: str, in_row: bool):
@@ -311,8 +311,8 @@ def _register_gapfill(edge: str, in_row: bool):
             series = fill_series(F.col("series"), len(BANDS), edge, -1.0)
             long = series_to_long(samples(spark, sf).withColumn("series", series), keys, BANDS)
         else:
-            long = fill_gaps(dense(spark, sf), keys, "t", ["green", "nir"], edge=edge, fill=-1.0)
-        return rounded(long.select(*keys, "t", "green", "nir"), ["green", "nir"], 8)
+            long = fill_gaps(dense(spark, sf), keys, "t", BANDS, edge=edge, fill=-1.0)
+        return rounded(long.select(*keys, "t", *BANDS), BANDS, 8)
 
 
 for _edge in ("hold", "fill", "leading_zero"):

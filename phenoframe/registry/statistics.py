@@ -17,6 +17,7 @@ from phenoframe.registry.roles import (
     BANDS, COMP, DENSE, OBS, PIXEL, PTS, TENSOR, TENSOR_CHANNELS, composites, dense, observations, pixel_labels, pixels,
     points, samples, table, tensors, with_ctes,
 )
+from phenoframe.scale.bounds import materialised
 from phenoframe.schemas import CLIMATE, COVARIATES, SOIL, TOPO
 
 
@@ -48,12 +49,9 @@ SELECT pixel_id, CAST(year(obs_date) AS INT) AS year, CAST(least((dayofyear(obs_
 FROM obs GROUP BY ALL"""))
 def composite_mask(spark, sf):
     rows = observations(spark, sf)
-    both = [
-        decadal_composite(rows, ["pixel_id"], "obs_date", ["green", "swir"], mask_rule=rule)
-        .select("pixel_id", "year", "bin", F.col("valid").alias(name))
-        for rule, name in (("any", "any_band"), ("green", "green_band"))
-    ]
-    return both[0].join(both[1], ["pixel_id", "year", "bin"])
+    masks = {"any_band": "any", "green_band": "green"}
+    made = decadal_composite(rows, ["pixel_id"], "obs_date", ["green", "swir"], masks=masks)
+    return made.select("pixel_id", "year", "bin", *masks)
 
 
 @query("phenology_curve", with_ctes(OBS, COMP, PIXEL, body=f"""
@@ -240,7 +238,7 @@ def scaler_fit_step(spark, sf):
 
 
 def _scaled(spark, sf, per_step):
-    rows = split_samples(spark, sf)
+    rows = materialised(split_samples(spark, sf))  # the fit and its use read one composite
     scaler = scaling.fit_series_scaler(rows, BANDS, per_step=per_step)
     scaled = scaling.apply_series_scaler(rows, scaler, per_step=per_step)
     long = series_to_long(scaled, ["pixel_id", "year"], BANDS)
@@ -377,10 +375,15 @@ def feature_sets(spark, sf):
 
 @query("summary_report", """
 WITH codes AS (SELECT s_nationkey AS code, count(*) AS n FROM supplier GROUP BY 1 ORDER BY n DESC, code LIMIT 15)
-SELECT r.*, codes.code, codes.n FROM (SELECT count(*) AS n_rows, count(DISTINCT s_nationkey) AS n_codes,
+SELECT r.*, codes.code, codes.n, (SELECT string_agg(y || ':' || n, ',' ORDER BY y) FROM (
+    SELECT n_regionkey AS y, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1)) AS class_counts
+FROM (SELECT count(*) AS n_rows, count(DISTINCT s_nationkey) AS n_codes,
   count(DISTINCT n_regionkey) AS n_classes FROM supplier JOIN nation ON s_nationkey = n_nationkey) r, codes
 """)
 def summary_report(spark, sf):
     report = audit.summary_report(pixels(spark, sf), "y", "code")
-    flat = report.select("n_rows", "n_codes", "n_classes", F.explode("top_codes").alias("c"))
-    return flat.select("n_rows", "n_codes", "n_classes", F.col("c.code").cast("int").alias("code"), F.col("c.n").alias("n"))
+    pairs = F.transform(F.array_sort(F.map_entries("class_counts")), lambda e: F.concat_ws(":", e["key"], e["value"]))
+    flat = report.select(
+        "n_rows", "n_codes", "n_classes", F.array_join(pairs, ",").alias("class_counts"), F.explode("top_codes").alias("c")
+    )
+    return flat.select("n_rows", "n_codes", "n_classes", "class_counts", F.col("c.code").cast("int").alias("code"), F.col("c.n").alias("n"))
