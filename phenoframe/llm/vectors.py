@@ -5,10 +5,11 @@ every cluster whose border lies within the link radius, so linked nodes share th
 of either. A cluster is a shard; one that outgrows ``shard_rows`` is dealt into parts, and its
 queries visit all of them. Each part builds a graph whose edges are pruned for direction
 (a far neighbour is dropped when a nearer one leads to it), the adjacency lists of a node from
-all its shards are united, and each node searches its home shard: a greedy beam from the
-medoid, then everything in range is expanded until nothing new is in range. Similarities are
-double precision throughout. A sample of queries is compared with all nodes of its part; when
-too little was found, the search runs again with a wider beam.
+all its shards are united, and each node searches its home shard: a greedy beam from its own
+place and a few spread nodes, then everything in range is expanded until nothing new is in
+range. Similarities are double precision throughout. In every part a hash-chosen sample of
+queries is compared with all nodes; where the mean recall per query is too low, for queries
+with few links or with many, from the part or from others, the part is scanned exactly.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from phenoframe.llm.graph import components
 from phenoframe.llm.simhash import joined_labels
+from phenoframe.llm.text import mix
 from phenoframe.scale.bounds import materialised
 
 SIMILARITY = 0.93
@@ -31,8 +33,9 @@ SAMPLE_ROWS = 40_000  # vectors that place the centroids, at most
 CANDIDATES, DEGREE, ALPHA = 48, 24, 1.2
 BEAM = 48
 SLACK = 0.06  # nodes this much below the similarity are still expanded
-AUDITED = 16  # queries per part
-RECALL = 0.97
+ENTRIES = 8  # nodes of a part, far from each other, where each search starts
+AUDITED = 256  # queries per part, its own and as many of other parts
+RECALL = 0.97  # mean over audited queries; below, a part is scanned exactly
 CELLS = 1 << 20  # entries of a block's query x node table
 
 
@@ -100,7 +103,12 @@ class Searcher:
     def __init__(self, x: np.ndarray, begin: np.ndarray, target: np.ndarray, similarity: float, beam: int):
         self.x, self.begin, self.target = x, begin, target
         self.similarity, self.beam = similarity, beam
-        self.medoid = int((x @ x.mean(axis=0)).argmax()) if len(x) else 0
+        entries = [int((x @ x.mean(axis=0)).argmax())]
+        nearest = x @ x[entries[0]]
+        while len(entries) < min(ENTRIES, len(x)):
+            entries.append(int(nearest.argmin()))
+            nearest = np.maximum(nearest, x @ x[entries[-1]])
+        self.entries = np.unique(entries)
 
     def visit(self, s: np.ndarray, asked: np.ndarray, q: np.ndarray, node: np.ndarray) -> np.ndarray:
         """Similarities of unseen neighbours of (query, node) pairs go to ``s``; their cells."""
@@ -113,16 +121,20 @@ class Searcher:
             s.ravel()[c] = np.einsum("nd,nd->n", asked[c // s.shape[1]], self.x[c % s.shape[1]])
         return cell
 
-    def run(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Query, node and similarity of everything found in range."""
+    def run(self, asked: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Query and node of everything found in range; ``own`` has the queries' nodes or -1."""
         n, rows = len(self.x), len(asked)
         s = np.full((rows, n), -2.0)
-        s[:, self.medoid] = asked @ self.x[self.medoid]
+        s[:, self.entries] = asked @ self.x[self.entries].T
+        mine = np.flatnonzero(own >= 0)
+        s[mine, own[mine]] = np.einsum("nd,nd->n", asked[mine], self.x[own[mine]])
         expanded = np.zeros((rows, n), bool)
         width = min(self.beam, n)
-        pool = np.zeros((rows, width), np.int64)  # the beam: best nodes seen so far
-        worth = np.full((rows, width), -3.0)
-        pool[:, 0], worth[:, 0] = self.medoid, s[:, self.medoid]
+        pool = np.zeros((rows, max(width, len(self.entries) + 1)), np.int64)  # the beam: best nodes seen so far
+        worth = np.full(pool.shape, -3.0)
+        pool[:, 1 : len(self.entries) + 1] = self.entries
+        worth[:, 1 : len(self.entries) + 1] = np.where(self.entries == own[:, None], -3, s[:, self.entries])
+        pool[mine, 0], worth[mine, 0] = own[mine], s[mine, own[mine]]
         every, steps = np.arange(rows)[:, None], min(4, width)
         while True:  # the best open nodes of each beam are expanded
             value = np.where(expanded[every, pool], -3, worth)
@@ -149,8 +161,38 @@ class Searcher:
             new = self.visit(s, asked, q, node)
             new = new[s.ravel()[new] >= self.similarity - SLACK]
             q, node = new // n, new % n
-        q, node = np.nonzero(s >= self.similarity)
-        return q, node, s[q, node]
+        return np.nonzero(s >= self.similarity)
+
+    def links(self, block: np.ndarray, every: np.ndarray, exact: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Query and node of the links of a block of rows of ``every``, whose first are the nodes."""
+        if exact:
+            q, node = np.nonzero(every[block] @ self.x.T >= self.similarity)
+        else:
+            q, node = self.run(every[block], np.where(block < len(self.x), block, -1))
+        other = block[q] != node
+        return q[other], node[other]
+
+    def falls_short(self, asked: np.ndarray, every: np.ndarray, step: int) -> bool:
+        """Whether audited queries, among the first of ``asked``, find too little.
+
+        Recall is averaged per query, and apart for own and foreign queries with few and with
+        many links, so that no large group hides what the rest loses.
+        """
+        n = len(self.x)
+        if n <= AUDITED:
+            return True  # the audit would compare all of it
+        some = np.concatenate([asked[asked < n][:AUDITED], asked[asked >= n][:AUDITED]])
+        found, due = np.zeros(len(some)), np.zeros(len(some))
+        for low in range(0, len(some), step):
+            block = some[low : low + step]
+            for count, exact in ((found, False), (due, True)):
+                count[low : low + step] = np.bincount(self.links(block, every, exact)[0], minlength=len(block))
+        for own in (some < n, some >= n):
+            for few in (due <= DEGREE, due > DEGREE):
+                kind = own & few & (due > 0)
+                if kind.any() and (found[kind] / due[kind]).mean() < RECALL:
+                    return True
+        return False
 
 
 def assigned(nodes: DataFrame, centroids: dict, similarity: float) -> DataFrame:
@@ -245,9 +287,9 @@ def graph_edges(members: DataFrame) -> DataFrame:
     return lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
 
 
-def searched(members: DataFrame, queries: DataFrame, similarity: float, beam: int) -> DataFrame:
-    """``(node, root, links, found, due)``: per query its links in a part, per node a
-    representative of what it is linked with there, and the audit's counts."""
+def searched(members: DataFrame, queries: DataFrame, similarity: float, beam: int = BEAM) -> DataFrame:
+    """``(node, root, links)``: per query its links in a part, and per node a representative
+    of what it is linked with there."""
 
     def search(table: pa.Table) -> pa.Table:
         member = table.column("member").to_numpy(zero_copy_only=False).astype(bool)
@@ -267,32 +309,24 @@ def searched(members: DataFrame, queries: DataFrame, similarity: float, beam: in
         owner = np.repeat(np.arange(n), size)
         target, owner = rank[at][here] if n else at, owner[here]
         begin = np.searchsorted(owner, np.arange(n + 1))
-        finder = Searcher(x[:n], begin, target, similarity, beam)
-        asked = np.flatnonzero(home)
+        asked = np.flatnonzero(home) if n else np.empty(0, np.int64)
+        asked = asked[np.argsort(mix(ids[asked].astype(np.uint64)), kind="stable")]
         labels, links = np.arange(len(ids)), np.zeros(len(ids), np.int64)
-        found_n, due_n = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
         step = max(1, CELLS // max(1, n))
-        for low in range(0, len(asked) if n else 0, step):
+        if len(asked):
+            finder = Searcher(x[:n], begin, target, similarity, beam)
+            exact = finder.falls_short(asked, x, step)
+        for low in range(0, len(asked), step):
             block = asked[low : low + step]
-            q, node, _ = finder.run(x[block])
-            other = block[q] != node
-            q, node = q[other], node[other]
+            q, node = finder.links(block, x, exact)
             links[block] = np.bincount(q, copies[node], minlength=len(block)).astype(np.int64)
             labels = joined_labels(len(ids), labels[block[q]], labels[node])[labels]
-            if low == 0:
-                some = block[:AUDITED]
-                near_all = x[some] @ x[:n].T >= similarity
-                near_all[np.arange(len(some))[some < n], some[some < n]] = False
-                due_n[some] = near_all.sum(axis=1)
-                found_n[some] = np.bincount(q, minlength=len(block))[: len(some)]
         rows = np.flatnonzero(home | (labels != np.arange(len(ids))))
         return pa.table(
             {
                 "node": pa.array(ids[rows]),
                 "root": pa.array(ids[labels[rows]]),
                 "links": pa.array(links[rows]),
-                "found": pa.array(found_n[rows]),
-                "due": pa.array(due_n[rows]),
             }
         )
 
@@ -300,9 +334,7 @@ def searched(members: DataFrame, queries: DataFrame, similarity: float, beam: in
     rows = members.withColumn("member", F.lit(True)).select(columns).union(
         queries.withColumn("member", F.lit(False)).select(columns)
     )
-    return rows.groupBy("grp", "shard", "part").applyInArrow(
-        search, "node bigint, root bigint, links bigint, found bigint, due bigint"
-    )
+    return rows.groupBy("grp", "shard", "part").applyInArrow(search, "node bigint, root bigint, links bigint")
 
 
 def vector_groups(
@@ -356,13 +388,7 @@ def vector_groups(
         .where("part <> own")
         .withColumn("near", F.array().cast("array<bigint>"))
     )
-    beam = BEAM
-    while True:
-        found = materialised(searched(linked, others, similarity, beam))
-        audit = found.agg(F.sum("found"), F.sum("due")).first()
-        if not audit[1] or audit[0] >= RECALL * audit[1] or beam >= 8 * BEAM:
-            break
-        beam *= 2
+    found = materialised(searched(linked, others, similarity))
     groups = components(found.where("node <> root"), "node", "root")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = materialised(

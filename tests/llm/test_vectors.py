@@ -58,3 +58,34 @@ def test_edge_cases(spark):
     got = sorted((tuple(r) for r in vectors.vector_groups(df).select("vec_id", "n_links", "component_id").collect()), key=str)
     assert got == sorted(brute(rows), key=str)
     assert vectors.vector_groups(df.where("false")).collect() == []
+
+
+def crowd(hot, pairs, dim=64):
+    """Unit vectors: one group of near copies and pairs of their own, mixed; links of each."""
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(pairs, dim))
+    x = np.concatenate([rng.normal(size=dim) + 0.1 * rng.normal(size=(hot, dim)), base, base + 0.1 * rng.normal(size=(pairs, dim))])
+    x = x[rng.permutation(len(x))].astype(np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return x, (x @ x.T >= 0.93).sum(axis=1) - 1
+
+
+def test_pairs_beside_a_large_group_are_found(spark):
+    x, due = crowd(1000, 600)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in vectors.vector_groups(df).collect()}
+    few = np.flatnonzero(due == 1)
+    assert len(few) == 1200 and np.mean([got[i] == 1 for i in few]) >= 0.99
+
+
+def test_audit_sees_lost_links_of_few_beside_many():
+    x, due = crowd(900, 60)
+    n = len(x)
+    large = np.flatnonzero(due > 100)
+    near = [large if due[i] > 100 else np.empty(0, int) for i in range(n)]  # pairs have no edges
+    begin = np.concatenate([[0], np.cumsum([len(a) for a in near])])
+    finder = vectors.Searcher(x, begin, np.concatenate(near), 0.93, vectors.BEAM)
+    every = np.arange(n)
+    loose = np.bincount(finder.links(every, x, False)[0], minlength=n)
+    assert loose.sum() > 0.99 * due.sum() and finder.falls_short(every, x, n)
+    assert (np.bincount(finder.links(every, x, True)[0], minlength=n) == due).all()
