@@ -3,7 +3,7 @@
 Equal vectors collapse to one node. The nodes of a label are clustered, and each node joins
 every cluster whose border lies within the link radius, so linked nodes share the home cluster
 of either. A cluster is a shard; one that outgrows ``shard_rows`` is dealt into parts, and its
-queries visit all of them. Each part builds a graph whose edges are pruned for direction
+queries visit all of them, at most about ``shard_rows`` in one task. Each part builds a graph whose edges are pruned for direction
 (a far neighbour is dropped when a nearer one leads to it), the adjacency lists of a node from
 all its shards are united, and each node searches its home shard: a greedy beam from its own
 place and a few spread nodes, then everything in range is expanded until nothing new is in
@@ -37,6 +37,7 @@ ENTRIES = 8  # nodes of a part, far from each other, where each search starts
 AUDITED = 256  # queries per part, its own and as many of other parts
 RECALL = 0.97  # mean over audited queries; below, a part is scanned exactly
 CELLS = 1 << 20  # entries of a block's query x node table
+SHARD_CELLS = 1 << 17  # entries of a block's row x centroid table, and rows it can give
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -195,46 +196,52 @@ class Searcher:
         return False
 
 
+def near_shards(x: np.ndarray, c: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row, shard and whether it is the home, of the shards each row of ``x`` belongs to.
+
+    Rows come in blocks whose tables hold at most ``SHARD_CELLS`` entries.
+    """
+    reach = 2 * float(np.sqrt(max(0.0, 2 - 2 * similarity)))
+    square = (c * c).sum(axis=1)
+    step = max(1, SHARD_CELLS // len(c))
+    for low in range(0, len(x), step):
+        rows = x[low : low + step]
+        d = square[None, :] - 2 * rows @ c.T
+        first = d.argmin(axis=1)
+        gap = square[first][:, None] + square[None, :] - 2 * c[first] @ c.T
+        gap = np.sqrt(np.maximum(gap, 0) + 1e-12)  # never below the true distance
+        i, j = np.nonzero(d - d[np.arange(len(rows)), first][:, None] <= reach * gap + 1e-9)
+        yield low + i, j, j == first[i]
+
+
 def assigned(nodes: DataFrame, centroids: dict, similarity: float) -> DataFrame:
     """A row per node and shard it belongs to; ``home`` marks the nearest centroid's shard."""
     spark = nodes.sparkSession
     sent = spark.sparkContext.broadcast(centroids)
-    reach = 2 * float(np.sqrt(max(0.0, 2 - 2 * similarity)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, shard, home = [], [], []
             groups = batch.column("grp").to_numpy(zero_copy_only=False)
             for g in np.unique(groups).tolist():
                 rows = np.flatnonzero(groups == g)
                 c = sent.value.get(g)
                 if c is None or len(c) < 2:
-                    row.append(rows)
-                    shard.append(np.zeros(len(rows), np.int64))
-                    home.append(np.ones(len(rows), bool))
-                    continue
-                x = matrix(batch.column("embedding").take(pa.array(rows)))
-                d = (c * c).sum(axis=1)[None, :] - 2 * x @ c.T
-                first = d.argmin(axis=1)
-                apart = np.linalg.norm(c[:, None, :] - c[None, :, :], axis=2) if len(c) <= 512 else None
-                gap = apart[first] if apart is not None else np.linalg.norm(c[first][:, None, :] - c[None], axis=2)
-                near = d - d[np.arange(len(x)), first][:, None] <= reach * gap + 1e-9
-                i, j = np.nonzero(near)
-                row.append(rows[i])
-                shard.append(j)
-                home.append(j == first[i])
-            row = pa.array(np.concatenate(row))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("node").take(row),
-                    batch.column("grp").take(row),
-                    pa.array(np.concatenate(shard)),
-                    pa.array(np.concatenate(home)),
-                    batch.column("copies").take(row),
-                    batch.column("embedding").take(row),
-                ],
-                ["node", "grp", "shard", "home", "copies", "embedding"],
-            )
+                    blocks = [(np.arange(len(rows)), np.zeros(len(rows), np.int64), np.ones(len(rows), bool))]
+                else:
+                    blocks = near_shards(matrix(batch.column("embedding").take(pa.array(rows))), c, similarity)
+                for i, shard, home in blocks:
+                    row = pa.array(rows[i])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column("node").take(row),
+                            batch.column("grp").take(row),
+                            pa.array(shard),
+                            pa.array(home),
+                            batch.column("copies").take(row),
+                            batch.column("embedding").take(row),
+                        ],
+                        ["node", "grp", "shard", "home", "copies", "embedding"],
+                    )
 
     kind = nodes.schema["embedding"].dataType.simpleString()
     schema = f"node bigint, grp bigint, shard bigint, home boolean, copies bigint, embedding {kind}"
@@ -287,13 +294,41 @@ def graph_edges(members: DataFrame) -> DataFrame:
     return lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
 
 
-def searched(members: DataFrame, queries: DataFrame, similarity: float, beam: int = BEAM) -> DataFrame:
+def search_rows(linked: DataFrame) -> DataFrame:
+    """Rows of the search's groups: members of a part, and queries of the shard's other parts.
+
+    Foreign queries come in ``chunks`` of a shard; the members are in all of them and ask in
+    the first, so a group stays bounded however many queries a shard has.
+    """
+    columns = ["node", "grp", "shard", "part", "chunk", "asked", "copies", "embedding", "near", "member"]
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    members = linked.withColumn("chunk", numbers("chunks")).withColumns(
+        {"asked": F.col("home") & (F.col("chunk") == 0), "member": F.lit(True)}
+    )
+    foreign = (
+        linked.where("home AND parts > 1")
+        .withColumn("own", F.col("part"))
+        .withColumn("part", numbers("parts"))
+        .where("part <> own")
+        .withColumns(
+            {
+                "chunk": F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int"),
+                "asked": F.lit(True),
+                "near": F.array().cast("array<bigint>"),
+                "member": F.lit(False),
+            }
+        )
+    )
+    return members.select(columns).union(foreign.select(columns))
+
+
+def searched(rows: DataFrame, similarity: float, beam: int = BEAM) -> DataFrame:
     """``(node, root, links)``: per query its links in a part, and per node a representative
-    of what it is linked with there."""
+    of what it is linked with there. ``rows`` are those of ``search_rows``."""
 
     def search(table: pa.Table) -> pa.Table:
         member = table.column("member").to_numpy(zero_copy_only=False).astype(bool)
-        home = table.column("home").to_numpy(zero_copy_only=False).astype(bool)
+        home = table.column("asked").to_numpy(zero_copy_only=False).astype(bool)
         order = np.concatenate([np.flatnonzero(member), np.flatnonzero(~member)])
         table = table.take(pa.array(order))
         n, home = int(member.sum()), home[order]
@@ -330,11 +365,7 @@ def searched(members: DataFrame, queries: DataFrame, similarity: float, beam: in
             }
         )
 
-    columns = ["node", "grp", "shard", "part", "home", "copies", "embedding", "near", "member"]
-    rows = members.withColumn("member", F.lit(True)).select(columns).union(
-        queries.withColumn("member", F.lit(False)).select(columns)
-    )
-    return rows.groupBy("grp", "shard", "part").applyInArrow(search, "node bigint, root bigint, links bigint")
+    return rows.groupBy("grp", "shard", "part", "chunk").applyInArrow(search, "node bigint, root bigint, links bigint")
 
 
 def vector_groups(
@@ -374,21 +405,17 @@ def vector_groups(
     placed = assigned(nodes, place_centroids(nodes, shard_rows), similarity)
     counted = materialised(placed)
     sizes = materialised(
-        counted.groupBy("grp", "shard").agg(F.ceil(F.count(F.lit(1)) / (2 * shard_rows)).cast("int").alias("parts"))
-    )
+        counted.groupBy("grp", "shard").agg(
+            F.ceil(F.count(F.lit(1)) / (2 * shard_rows)).cast("int").alias("parts"),
+            F.greatest(F.lit(1), F.ceil(F.count_if("home") / shard_rows)).cast("int").alias("chunks"),
+        )
+    ).withColumn("chunks", F.when(F.col("parts") > 1, F.col("chunks")).otherwise(1))
     with_parts = counted.join(sizes, ["grp", "shard"])
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     members = materialised(with_parts.withColumn("part", part))
     adjacency = materialised(graph_edges(members))
     linked = materialised(members.join(adjacency, "node", "left"))
-    others = (
-        linked.where("home AND parts > 1")
-        .withColumn("own", F.col("part"))
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .where("part <> own")
-        .withColumn("near", F.array().cast("array<bigint>"))
-    )
-    found = materialised(searched(linked, others, similarity))
+    found = materialised(searched(search_rows(linked), similarity))
     groups = components(found.where("node <> root"), "node", "root")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = materialised(

@@ -1,5 +1,8 @@
+import tracemalloc
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from phenoframe.llm import vectors
 from phenoframe.llm.queries import QUERIES
@@ -79,7 +82,7 @@ def test_pairs_beside_a_large_group_are_found(spark):
 
 
 def test_audit_sees_lost_links_of_few_beside_many():
-    x, due = crowd(900, 60)
+    x, due = crowd(300, 200)
     n = len(x)
     large = np.flatnonzero(due > 100)
     near = [large if due[i] > 100 else np.empty(0, int) for i in range(n)]  # pairs have no edges
@@ -89,3 +92,35 @@ def test_audit_sees_lost_links_of_few_beside_many():
     loose = np.bincount(finder.links(every, x, False)[0], minlength=n)
     assert loose.sum() > 0.99 * due.sum() and finder.falls_short(every, x, n)
     assert (np.bincount(finder.links(every, x, True)[0], minlength=n) == due).all()
+
+
+def test_shards_of_many_centroids_in_bounded_memory():
+    rng = np.random.default_rng(5)
+    x, c = rng.normal(size=(1500, 32)), rng.normal(size=(700, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    tracemalloc.start()
+    got = {(i, j, h) for block in vectors.near_shards(x, c, 0.99) for i, j, h in zip(*(a.tolist() for a in block))}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    d = ((x[:, None, :] - c[None]) ** 2).sum(axis=2)
+    first = d.argmin(axis=1)
+    gap = np.linalg.norm(c[first][:, None, :] - c[None], axis=2)
+    i, j = np.nonzero(d - d.min(axis=1)[:, None] <= 2 * np.sqrt(0.02) * gap + 1e-9)
+    assert {(a, b) for a, b, _ in got} >= set(zip(i.tolist(), j.tolist())) and len(got) <= len(i) + 5
+    assert {(a, b) for a, b, h in got if h} == set(enumerate(first.tolist()))
+    assert peak < 1500 * 700 * 32 * 8 / 2  # half of the rows x centroids x dim table
+
+
+def test_groups_of_the_search_stay_bounded(spark):
+    rows = spark.range(4000).select(
+        F.col("id").alias("node"), F.lit(0).alias("grp"), F.lit(0).alias("shard"), (F.col("id") % 10).cast("int").alias("part"),
+        F.lit(10).alias("parts"), F.lit(20).alias("chunks"), F.lit(True).alias("home"), F.lit(1).alias("copies"),
+        F.array(F.lit(1.0)).alias("embedding"), F.array().cast("array<bigint>").alias("near"),
+    )
+    sizes = vectors.search_rows(rows).groupBy("grp", "shard", "part", "chunk").agg(
+        F.count_if("member").alias("members"), F.count_if(~F.col("member")).alias("foreign"), F.collect_list(F.when(F.col("asked"), F.col("node"))).alias("asked")
+    ).collect()
+    assert len(sizes) == 200 and all(r["members"] == 400 and r["foreign"] <= 300 for r in sizes)  # 3,600 foreign ones in all
+    for part in range(10):
+        assert sorted(n for r in sizes if r["part"] == part for n in r["asked"]) == list(range(4000))
