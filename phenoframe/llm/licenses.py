@@ -1,7 +1,8 @@
 """Licence recognition by sentence rules.
 
-Texts are cut into sentences and, for headers without full stops, into lines; both are
-normalised to lower-case words. Known licence sentences have identifiers, and the identifiers
+Texts are cut into sentences and, where a sentence is not known as a whole, into its lines,
+for headers without full stops; both are normalised to lower-case words. Marks inside known
+sentences do not cut. Known licence sentences have identifiers, and the identifiers
 found in a text, in order, are matched against ordered rules. Everything is column expressions
 on one scan.
 """
@@ -76,6 +77,13 @@ KEPT = "[^a-z0-9.!?:\n]+"  # what becomes a space
 SENTENCE_END = "(?:[.!?:]+(?:[ \n]+|$))|\n *\n"
 EDGES = "^[ .!?:\n]+|[ .!?:\n]+$"
 INNER = "[ \n]+"
+# marks inside known sentences that would cut them, in normalised text
+SHIELDS = [
+    ("(license[ \n]+at)[ \n:]+https?:[ \n]*", "http"),
+    ("(license[ \n]+v)[.][ \n]+(?=2[.]0)", ""),
+    ("(program[ \n]+is[ \n]+free[ \n]+software):[ \n]+(?=you)", ""),
+]
+LIKELY = "licen|softw|copy|redis|mit |cc0|name of|in the hope"  # every known sentence has one
 
 
 def normal_sentence(sentence: str) -> str:
@@ -84,14 +92,32 @@ def normal_sentence(sentence: str) -> str:
     return re.sub(INNER, " ", re.sub(EDGES, "", text))
 
 
-def known_ids(parts: Column) -> Column:
-    """Identifiers of the known sentences among an array of sentences, in order."""
-    table = {normal_sentence(s): i for i, s in SENTENCES.items()}
+def shielded(sentence: str) -> str:
+    """The normalised form of one sentence without marks that cut."""
+    text = normal_sentence(sentence)
+    for mark, put in SHIELDS:
+        text = re.sub(mark, rf"\1 {put} ", text)
+    return re.sub(INNER, " ", text)
+
+
+def known_ids(flat: Column) -> Column:
+    """Identifiers of the known sentences of a normalised text, in order."""
+    table = {shielded(s): i for i, s in SENTENCES.items()}
     names = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
     widest = max(map(len, table)) + 200
-    likely = F.filter(parts, lambda s: (F.length(s) <= widest) & s.rlike("licen|softw|copy|redis|mit |cc0|name of"))
-    clean = F.transform(likely, lambda s: F.regexp_replace(F.regexp_replace(s, EDGES, ""), INNER, " "))
-    return F.transform(F.filter(clean, lambda s: s.isin(*table)), lambda s: names[s])
+
+    def named(parts: Column) -> Column:
+        likely = F.filter(parts, lambda s: (F.length(s) <= widest) & s.rlike(LIKELY))
+        clean = F.transform(likely, lambda s: F.regexp_replace(F.regexp_replace(s, EDGES, ""), INNER, " "))
+        return F.transform(F.filter(clean, lambda s: s.isin(*table)), lambda s: names[s])
+
+    for mark, put in SHIELDS:
+        flat = F.regexp_replace(flat, mark, f"$1 {put} ")
+    sentences = F.filter(F.split(flat, SENTENCE_END, -1), lambda s: s.rlike(LIKELY))
+    whole = lambda s: named(F.array(s))
+    return F.flatten(
+        F.transform(sentences, lambda s: F.when(F.size(whole(s)) > 0, whole(s)).otherwise(named(F.split(s, "\n", -1))))
+    )
 
 
 def license_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -105,13 +131,7 @@ def license_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     flat = F.regexp_replace(F.lower(F.coalesce(text_col, F.lit(""))), KEPT, " ")
     rows = docs.select(F.col(id_col).alias("doc_id"), flat.alias("_flat"))
-    # sentences end with punctuation; a header may do without, then its lines count
-    rows = rows.select(
-        "doc_id",
-        known_ids(F.split("_flat", SENTENCE_END, -1)).alias("_ends"),
-        known_ids(F.split("_flat", "\n", -1)).alias("_lines"),
-    )
-    rows = rows.select("doc_id", F.when(F.size("_lines") > F.size("_ends"), F.col("_lines")).otherwise(F.col("_ends")).alias("sentences"))
+    rows = rows.select("doc_id", known_ids(F.col("_flat")).alias("sentences"))
     rows = rows.withColumn("_line", F.concat(F.lit("|"), F.array_join("sentences", "|"), F.lit("|")))
     marked = {name: f"|{'|'.join(ids)}|" for name, _, ids in RULES}
     found = []
@@ -132,7 +152,12 @@ def license_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def rule_sql() -> str:
-    """DuckDB SQL for the rows of the registered query."""
+    """DuckDB SQL for the rows of the registered query.
+
+    It takes either sentences or lines of a text and knows no marks inside sentences: texts
+    with wrapped headers of the Apache, MPL and GPL licences, or with known sentences of both
+    sorts, have more rules in ``license_matches``.
+    """
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     table = {normal_sentence(s): i for i, s in SENTENCES.items()}
     sentences = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in table.items())

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from phenoframe.llm import licenses
@@ -41,3 +43,51 @@ def test_rules(spark):
 def test_every_rule_is_made_of_known_sentences():
     assert all(i in S for _, _, ids in licenses.RULES for i in ids)
     assert len({licenses.normal_sentence(s) for s in S.values()}) == len(S)
+
+
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+
+
+def test_wrapped_headers_and_mixed_texts(spark):
+    mark = lambda text, prefix: "\n".join((prefix + line).rstrip() for line in text.splitlines())
+    mit = " ".join(S[i] for i in ("mit-grant", "mit-condition", "mit-warranty", "mit-liability"))
+    texts = [APACHE, mark(APACHE, "# "), "/*\n" + mark(APACHE, " * ") + "\n */", APACHE.replace("http:", "https:"), MPL, mark(MPL, "// "), GPL, mark(GPL, "# ")]
+    texts += [mit + "\n\nArtwork\nLicensed under CC BY 4.0\nby us", "Artwork\nLicensed under CC BY 4.0\nby us\n\n" + mit]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["rules"], r["licenses"]) for r in licenses.license_matches(df).collect()}
+    apache, mpl, gpl = (["apache-2.0-header"], ["apache-2.0"]), (["mpl-2.0-notice"], ["mpl-2.0"]), (["gpl-3.0-header"], ["gpl-3.0"])
+    both = (["cc-by-4.0-notice", "mit-text"], ["cc-by-4.0", "mit"])
+    assert [got[i] for i in range(len(texts))] == [apache] * 4 + [mpl] * 2 + [gpl] * 2 + [both] * 2
+
+
+def test_every_known_sentence_passes_the_filter_and_is_not_cut():
+    for text in map(licenses.shielded, S.values()):
+        assert re.search(licenses.LIKELY, text) and not re.search(licenses.SENTENCE_END, text)
