@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from phenoframe.llm import binpack, language, licenses, packing, pii, postings, quality, simhash, vectors, warc
+from phenoframe.llm import binpack, language, licenses, packing, pii, postings, quality, simhash, urls, vectors, warc
 from phenoframe.scale.bounds import materialised, new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,11 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.license_matches(table(spark, sf_dir, "documents"))
     return found.select("doc_id", *[F.array_join(c, ",").alias(c) for c in ("sentences", "rules", "licenses")])
+
+
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+@query("op13_urls")
+def op13_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_verdicts(table(spark, sf_dir, "pages"), urls.labelled_urls(spark), URL_RULES)
