@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from phenoframe.llm import binpack, language, licenses, packing, pii, postings, quality, simhash, urls, vectors, warc
+from phenoframe.llm import binpack, language, licenses, merkle, packing, pii, postings, quality, simhash, urls, vectors, warc
 from phenoframe.scale.bounds import materialised, new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,6 +151,89 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[F.array_join(c, ",").alias(c) for c in ("sentences", "rules", "licenses")])
 
 
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of a short text of ASCII characters.
+
+    A list of steps is folded into the remainder: bytes are mixed in, ``-1`` shifts by a bit.
+    """
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c)::BIGINT] || list_value({', '.join(['-1'] * 8)})))"
+    bit = "CASE WHEN s >= 0 THEN xor(r, s) WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END"
+    return f"xor(list_reduce([4294967295::BIGINT] || {steps}, lambda r, s: {bit}), 4294967295)"
+
+
+FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def leaf_sql(**found: str) -> str:
+    def field(name: str) -> str:
+        value = f"CAST({found.get(name, name)} AS VARCHAR)"
+        return f"coalesce(strlen({value}) || ':' || {value}, '-')"
+
+    return f"sha256({' || '.join(map(field, FIELDS))})"
+
+
+OP12_SQL = f"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, source, {leaf_sql()} AS leaf,
+        CASE WHEN {crc32_sql("CAST(doc_id AS VARCHAR)")} % 2 = 0
+            THEN {leaf_sql(text="replace(text, chr(10), '')")} ELSE {leaf_sql()} END AS claim
+    FROM documents),
+l AS (
+    SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) AS tree,
+        row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+up AS (
+    SELECT tree, 0 AS level, pos, leaf AS h, count(*) OVER (PARTITION BY tree) AS n FROM l
+    UNION ALL
+    SELECT tree, level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 2) // 3
+    FROM up WHERE n > 1 GROUP BY tree, level, pos // 3),
+sub AS (SELECT tree, max(level) AS levels, arg_max(h, level) AS subroot FROM up GROUP BY tree),
+top AS (
+    SELECT 0 AS level, tree - 1 AS pos, subroot AS h, count(*) OVER () AS n FROM sub
+    UNION ALL
+    SELECT level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 2) // 3
+    FROM top WHERE n > 1 GROUP BY level, pos // 3),
+nodes AS (
+    SELECT tree, level, pos, h FROM up
+    UNION ALL SELECT 0, level, pos, h FROM top),
+beside AS (
+    SELECT a.tree, a.level, a.pos,
+        coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS before,
+        coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS after
+    FROM nodes a JOIN nodes b ON a.tree = b.tree AND a.level = b.level AND a.pos // 3 = b.pos // 3 GROUP BY ALL),
+root AS (SELECT max(level) AS levels, arg_max(h, level) AS root FROM top),
+fold AS (
+    SELECT l.doc_id, l.leaf, l.claim, l.tree, l.pos AS first, subroot, root, sub.levels, root.levels AS more,
+        0 AS level, l.pos AS pos, l.claim AS node, '' AS proof
+    FROM l JOIN sub USING (tree), root
+    UNION ALL
+    SELECT f.doc_id, leaf, claim, f.tree, first, subroot, root, levels, more, f.level + 1,
+        CASE WHEN f.level + 1 = levels THEN f.tree - 1 ELSE f.pos // 3 END,
+        sha256(before || node || after), proof || before || after
+    FROM (SELECT *, CASE WHEN level < levels THEN tree ELSE 0 END AS t, CASE WHEN level < levels THEN level ELSE level - levels END AS v,
+            CASE WHEN levels = 0 AND level = 0 THEN tree - 1 ELSE pos END AS here FROM fold WHERE level < levels + more) f
+    JOIN beside b ON b.tree = f.t AND b.level = f.v AND b.pos = f.here)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, node AS folded_root, node = root AS verified
+FROM fold WHERE level = levels + more
+"""
+
+
+@query("op12_manifest", OP12_SQL)
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(remainder("doc_id", 2, 0), F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    rows = merkle.dataset_manifest(docs, FIELDS, "doc_id", "source", {"text": tampered})
+    found = rows.withColumn("folded_root", merkle.folded(F.col("claim"), F.col("witness")))
+    return found.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(merkle.proof_text(F.col("witness")).cast("binary"), 256).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 

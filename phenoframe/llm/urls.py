@@ -15,7 +15,7 @@ from phenoframe.scale.bounds import materialised
 
 ORDERS = (3, 4)  # lengths of the n-grams
 BUCKETS = 1 << 14
-STEPS = 40
+STEPS = 25
 PENALTY = 1e-3
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
