@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from phenoframe.llm import binpack, language, licenses, merkle, packing, pii, postings, quality, simhash, urls, vectors, warc
+from phenoframe.llm import binpack, language, licenses, merkle, packing, pii, postings, quality, simhash, trie, urls, vectors, warc
 from phenoframe.scale.bounds import materialised, new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,6 +161,46 @@ def crc32_sql(text: str) -> str:
     return f"xor(list_reduce([4294967295::BIGINT] || {steps}, lambda r, s: {bit}), 4294967295)"
 
 
+OP11_SQL = rf"""
+WITH turns AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS k, digest,
+        len(regexp_extract_all(words_of, '[^\x20\x09-\x0D]+')) AS words
+    FROM (SELECT conv_id, turn, coalesce(text, '') AS words_of,
+        md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest
+        FROM conversations WHERE conv_id IS NOT NULL)),
+convs AS (SELECT DISTINCT conv_id, {crc32_sql("CAST(conv_id AS VARCHAR)")} % 4 AS h FROM turns),
+parts AS (
+    SELECT c.conv_id, 0 AS own, t.k, t.digest, t.words
+    FROM convs c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % 20 AND t.k <= c.h
+    UNION ALL SELECT c.conv_id, 1, t.k, t.digest, t.words FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.k > c.h),
+seqs AS (
+    SELECT conv_id, list(digest ORDER BY own, k) AS ds, list(words ORDER BY own, k) AS ws FROM parts GROUP BY conv_id
+    UNION ALL SELECT conv_id, [], [] FROM convs ANTI JOIN parts USING (conv_id)),
+steps AS (SELECT conv_id, ds, ws, unnest(range(0, len(ds) + 1)) AS depth FROM seqs),
+nodes AS (
+    SELECT depth, list_slice(ds, 1, depth) AS key, min(conv_id) AS conv_id, count(*) AS n_convs,
+        any_value(CASE WHEN depth > 0 THEN ws[depth] ELSE 0 END) AS words,
+        string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(ds) = depth) AS ends
+    FROM steps GROUP BY depth, list_slice(ds, 1, depth)),
+below AS (SELECT list_slice(key, 1, depth - 1) AS key, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+told AS (SELECT n.*, coalesce(b.n_children, 0) AS n_children FROM nodes n LEFT JOIN below b USING (key)),
+up AS (
+    SELECT list_slice(key, 1, a) AS key, sum((n_convs - 1) * words) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+    FROM (SELECT *, unnest(range(0, depth + 1)) AS a FROM told) GROUP BY list_slice(key, 1, a))
+SELECT t.conv_id, t.depth, p.conv_id AS parent_conv_id, t.n_convs, t.n_children, u.n_leaves,
+    CAST(u.saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(t.ends, '')) AS ends_sha256
+FROM told t JOIN up u USING (key) LEFT JOIN nodes p ON t.depth > 0 AND p.key = list_slice(t.key, 1, t.depth - 1)
+"""
+
+
+@query("op11_trie", OP11_SQL)
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = trie.turns_of(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    conv = F.col("conv_id")
+    rows = trie.rebuilt(materialised(turns), conv - conv % 20, F.crc32(conv.cast("string").cast("binary")) % 4, 3)
+    return trie.prefix_trie(rows)
+
+
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 
 
