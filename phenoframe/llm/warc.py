@@ -90,6 +90,19 @@ def read_frame(file, frame: tuple[int, int, int]) -> bytes:
     return zstandard.ZstdDecompressor().decompress(file.read_at(packed, at), max_output_size=plain)
 
 
+NO_NAME = "%"  # names a record without id; no other name is a bare percent sign
+
+
+def record_name(page: object) -> str:
+    """An id as part of a header line: blanks, controls, ``<``, ``>`` and ``%`` are escaped."""
+    return NO_NAME if page is None else re.sub(r"[\x00-\x20%<>\x7f]", lambda m: f"%{ord(m[0]):02X}", str(page))
+
+
+def named_id(name: str) -> str | None:
+    """The id that a name was made of."""
+    return None if name == NO_NAME else re.sub("%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), name)
+
+
 def record_bytes(kind: str, name: str, url: str, digest: str, size: int, payload: bytes, refers: str | None) -> bytes:
     """A WARC/1.1 record with an HTTP message as its block."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
@@ -198,7 +211,8 @@ def write_archives(
                 digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
                 record = record_bytes(
                     "response" if refers is None else "revisit",
-                    str(page), url, digest, len(payload), payload if refers is None else b"", refers,
+                    record_name(page), url, digest, len(payload), payload if refers is None else b"",
+                    None if refers is None else record_name(refers),
                 )
                 places.append((*bundle.add(record), len(record)))
                 ids.append(batch.column(0).slice(i, 1))
@@ -226,7 +240,7 @@ def record_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def record_row(archive: str, frame: int, at: int, fields: dict, block: bytes) -> tuple:
-    name = lambda key: fields[key][len("<urn:record:") : -1] if key in fields else None
+    name = lambda key: named_id(fields[key][len("<urn:record:") : -1]) if key in fields else None
     return (
         archive, frame, at, name("WARC-Record-ID"), fields["WARC-Type"], int(fields["WARC-Payload-Length"]),
         fields["WARC-Payload-Digest"].removeprefix("sha1:"), name("WARC-Refers-To"), payload_of(block),

@@ -70,3 +70,13 @@ def test_archive_is_plain_zstandard(spark, tmp_path):
     path.write_bytes(path.read_bytes()[:-1])
     with system.open_input_file(name) as file, pytest.raises(ValueError):
         warc.seek_table(file)
+
+
+def test_any_text_names_a_record(spark, tmp_path):
+    ids = ["a\r\nWARC-Type: x", "b\n\n", "<c>", "%41", "%", "", "None", None, "d e\x00", "é "]
+    pages = spark.createDataFrame([(i, "u", f"body {n}") for n, i in enumerate(ids)] + [("z", "u", "body 0")], "page_id string, url string, html string")
+    folder = f"file:{tmp_path}/w"
+    manifest = warc.write_archives(pages, folder)
+    rows = manifest.join(warc.read_archives(manifest, folder), ["archive", "frame", "offset"]).collect()
+    assert len(rows) == len(ids) + 1 and all(r["page_id"] == r["record_id"] for r in rows)
+    assert {r["record_id"]: r["refers_to"] for r in rows if r["record_type"] == "revisit"} == {"z": ids[0]}
