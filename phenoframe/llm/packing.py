@@ -24,6 +24,8 @@ from phenoframe.scale.bounds import materialised
 LENGTH = 2048
 END = 1
 UNIT = 8  # tokens per step of a size class
+SHORT = 64  # rests below so many tokens are bundled first
+BUNDLE = 256  # tokens of a bundle at most
 
 
 def cut_documents(
@@ -38,8 +40,8 @@ def cut_documents(
 ) -> DataFrame:
     """Write the pieces of all documents: ids are made once, in the task that reads the text.
 
-    ``cls`` is a piece's size in units, rounded up; ``part`` and ``nth`` number the pieces of
-    a class within each task.
+    ``cls`` is a piece's size in units, rounded up, and for sizes below ``SHORT`` the negative of
+    the size itself; ``part`` and ``nth`` number the pieces of a class within each task.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -48,7 +50,7 @@ def cut_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         part = TaskContext.get().partitionId()
-        seen = np.zeros(length // unit + 2, np.int64)
+        seen = np.zeros(length // unit + 2 + SHORT, np.int64)  # negative classes count from the end
         for batch in batches:
             _, starts = text_bytes(batch.column(1))
             for low, high in slices(starts, SLICE_BYTES):
@@ -60,7 +62,7 @@ def cut_documents(
                     for at in range(0, total, length):
                         piece = ids[4 * at : 4 * (at + length)]
                         n = len(piece) // 4
-                        cls = -(-n // unit)
+                        cls = -n if n < SHORT and n < length else -(-n // unit)
                         owner.append(i)
                         rows.append((at, n, zlib.crc32(piece), total, cls, part, int(seen[cls])))
                         seen[cls] += 1
@@ -77,6 +79,29 @@ def cut_documents(
     return materialised(map_text(picked, run, schema))
 
 
+def bundle_rows(demand: dict[int, int], unit: int, length: int) -> list[tuple[int, int, int, int, int, int, int]]:
+    """``(short, each, full, whole, base, partial, last)`` per short size; moves its demand.
+
+    ``each`` rests of one size make a bundle, an item of class ``whole`` with ranks from ``base``
+    on; the ``full`` bundles come first, what is left is one item of class ``partial`` with rank
+    ``last``. Rounding a bundle up to units costs little, rounding each rest would not.
+    """
+    rows = []
+    for cls in sorted(c for c in demand if c < 0):
+        n, size = demand.pop(cls), -cls
+        each = max(1, min(BUNDLE, length) // size)
+        full, left = divmod(n, each)
+        whole, partial = -(-each * size // unit), -(-left * size // unit)
+        base = demand.get(whole, 0)
+        if full:
+            demand[whole] = base + full
+        last = demand.get(partial, 0)
+        if left:
+            demand[partial] = last + 1
+        rows.append((cls, each, full, whole, base, partial, last))
+    return rows
+
+
 def schedule_rows(demand: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
     """``(cls, low, high, first, each, slot)``: ranks low..high-1 of a class go to sequences
     from ``first`` on, ``each`` to one, in places from ``slot`` on."""
@@ -129,22 +154,35 @@ def pack_documents(
             F.col("cls").alias("_cls"), F.col("part").alias("_part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")
         )
     )
+    bundles = spark.createDataFrame(
+        bundle_rows(demand, unit, length), "b_cls bigint, b_each bigint, b_full bigint, whole bigint, b_base bigint, partial bigint, last bigint"
+    )
     names = ["s_cls", "low", "high", "first", "each", "slot"]
     schedule = spark.createDataFrame(
         schedule_rows(demand, length // unit), ", ".join(f"{c} bigint" for c in names)
     )
-    ranked = pieces.join(
-        starts, (pieces["cls"] == starts["_cls"]) & (pieces["part"] == starts["_part"])
-    ).withColumn("rank", F.col("base") + F.col("nth"))
+    ranked = (
+        pieces.join(starts, (pieces["cls"] == starts["_cls"]) & (pieces["part"] == starts["_part"]))
+        .withColumn("nth_of", F.col("base") + F.col("nth"))
+        .join(F.broadcast(bundles), F.col("cls") == F.col("b_cls"), "left")
+    )
+    bundle = F.expr("nth_of div b_each")
+    ranked = ranked.select(
+        *pieces.columns,
+        F.when(F.col("b_cls").isNull(), F.col("cls")).when(bundle < F.col("b_full"), F.col("whole")).otherwise(F.col("partial")).alias("item"),
+        F.when(F.col("b_cls").isNull(), F.col("nth_of")).when(bundle < F.col("b_full"), F.col("b_base") + bundle).otherwise(F.col("last")).alias("rank"),
+        F.when(F.col("b_cls").isNull(), F.lit(0)).otherwise(F.col("nth_of") % F.col("b_each")).alias("inner"),
+    )
     inside = F.col("rank") - F.col("low")
     placed = ranked.join(
-        F.broadcast(schedule), (F.col("cls") == F.col("s_cls")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
+        F.broadcast(schedule), (F.col("item") == F.col("s_cls")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
     ).select(
         *pieces.columns,
         (F.col("first") + F.expr("(rank - low) div each")).alias("sequence_id"),
         (F.col("slot") + inside % F.col("each")).alias("place"),
+        "inner",
     )
-    ahead = Window.partitionBy("sequence_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("sequence_id").orderBy("place", "inner").rowsBetween(Window.unboundedPreceding, -1)
     return placed.select(
         "doc_id",
         "start",

@@ -73,10 +73,13 @@ class Encoder:
             )
 
     def ids(self, text: str) -> bytes:
-        if self.fast is None or any(mark in text for mark in self.marks):
-            found = self.tokenizer.encode(text, add_special_tokens=False).ids
-            return np.array(found, "<u4").tobytes()
-        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        if self.fast is not None and not any(mark in text for mark in self.marks):
+            try:
+                return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+            except ValueError:  # a run of blanks is too long for its pattern
+                pass
+        found = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return np.array(found, "<u4").tobytes()
 
     def batch(self, texts: list[str]) -> list[bytes]:
         return [self.ids(text) for text in texts]

@@ -137,3 +137,28 @@ def test_matrix_edge_cases(spark, odd, tmp_path):
     manifest = binpack.pack_to_files(odd, str(tmp_path / "odd"), batch_tokens=5000)
     check_files(spark, manifest, str(tmp_path / "odd"), encoded(spark, odd))
     assert binpack.pack_to_files(odd.where("false"), str(tmp_path / "none")).collect() == []
+
+
+@pytest.mark.parametrize("run", [" " * 2_000_000, "\t" * 1_000_000 + "x", "a" + "\n" * 1_000_000, "\x85 " * 600_000])
+def test_long_blank_runs_encode(run):
+    encoder = Encoder()
+    want = encoder.tokenizer.encode(run, add_special_tokens=False).ids
+    assert np.frombuffer(encoder.ids(run), "<u4").tolist() == want
+
+
+def test_tiny_documents_fill_their_sequences(spark):
+    rng = random.Random(7)
+    rows = [(i, None) for i in range(2500)] + [(i, "word " * rng.randrange(1, 70)) for i in range(2500, 4500)] + [(9000, "x " * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for some in (docs, docs.where("doc_id < 2000"), docs.where("doc_id < 3")):
+        got = packing.pack_documents(some).collect()
+        fill = check_packing(got, encoded(spark, some))
+        tokens = sum(r["length"] for r in got)
+        assert len({r["sequence_id"] for r in got}) <= tokens / 2048 / 0.95 + 1, fill
+
+
+def test_bundles_hold_every_rest_once():
+    demand = {-1: 1000, -9: 57, -63: 3, 8: 5, 32: 2}
+    rows = packing.bundle_rows(dict(demand), 8, 2048)
+    assert [(r[0], r[1], r[2]) for r in rows] == [(-63, 4, 0), (-9, 28, 2), (-1, 256, 3)]
+    assert packing.bundle_rows({8: 5}, 8, 2048) == []
