@@ -16,11 +16,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from phenoframe.llm.places import numbered
 from phenoframe.llm.text import map_text, mix, slices, text_bytes
+from phenoframe.scale.bounds import materialised
 
 BITS = 16
 ORDERS = (1, 2, 3)
-MAX_LANGUAGES = 256  # bounds the matrix that is broadcast: 256 x 2**16 x 4 bytes
+CHUNK = 256  # languages scored at once; bounds the matrix that is broadcast: 256 x 2**16 x 4 bytes
+COUNTED = 32  # languages counted at once in a task
 UNKNOWN = "und"
 
 
@@ -103,17 +106,18 @@ def count_grams(
             for low, high, texts in texts_of(batch.column(0)):
                 points, starts = clean_points(texts)
                 row_lang = code[low:high]
-                for which in np.unique(row_lang).tolist():
-                    if names[which] not in counts:
-                        if len(counts) >= 32:
-                            yield from emit()
-                        counts[names[which]] = np.zeros((1 << bits) + 1, np.int64)
-                    counts[names[which]][0] += int((row_lang == which).sum())
-                for order in orders:
-                    bucket, begin = grams(points, starts, order, bits)
-                    lang = np.repeat(row_lang, np.diff(begin))
-                    for which in np.unique(row_lang).tolist():
-                        counts[names[which]][1:] += np.bincount(bucket[lang == which], minlength=1 << bits)
+                found = [grams(points, starts, order, bits) for order in orders]
+                present = np.unique(row_lang).tolist()
+                for first in range(0, len(present), COUNTED):
+                    some = present[first : first + COUNTED]
+                    if len(counts.keys() | {names[which] for which in some}) > COUNTED:
+                        yield from emit()
+                    for which in some:
+                        row = counts.setdefault(names[which], np.zeros((1 << bits) + 1, np.int64))
+                        row[0] += int((row_lang == which).sum())
+                        for bucket, begin in found:
+                            own = np.repeat(row_lang == which, np.diff(begin))
+                            row[1:] += np.bincount(bucket[own], minlength=1 << bits)
         yield from emit()
 
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
@@ -122,18 +126,33 @@ def count_grams(
     return parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
+def language_table(counts: DataFrame, bits: int = BITS, smoothing: float = 0.5, chunk: int = CHUNK) -> DataFrame:
+    """``(chunk, lang, rows, logs)``: a row of log-probabilities per language, in order of names.
+
+    A language's counts, one per bucket at most, meet in a task; nothing reaches the driver.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        row = np.zeros((1 << bits) + 1)
+        row[table.column("bucket").to_numpy() + 1] = table.column("n").to_numpy()
+        grams_ = row[1:] + smoothing
+        logs = np.log(grams_ / grams_.sum()).astype(np.float32)
+        return pa.table({"lang": table.column("lang").slice(0, 1), "rows": [int(row[0])], "logs": pa.array([logs.tobytes()], pa.binary())})
+
+    rows = materialised(counts.groupBy("lang").applyInArrow(run, "lang string, rows bigint, logs binary"))
+    names = numbered(materialised(rows.select(F.lit("").alias("all"), "lang")), ["all"], ["lang"])
+    names = names.select(F.floor(F.col("_at") / F.lit(chunk)).cast("int").alias("chunk"), F.col("lang").alias("_lang"))
+    return materialised(rows.join(names, F.col("lang") == F.col("_lang")).drop("_lang"))
+
+
 class NaiveBayes:
-    """Sorted languages, log priors and a ``[bucket, language]`` matrix of log-probabilities."""
-
-    def __init__(self, counts: pa.Table, bits: int = BITS, smoothing: float = 0.5):
-        names, code = np.unique(counts.column("lang").to_pylist(), return_inverse=True)
-        table = np.zeros((len(names), (1 << bits) + 1))
-        if len(names):
-            table[code, counts.column("bucket").to_numpy() + 1] = counts.column("n").to_numpy()
-        self.languages = [str(x) for x in names]
-        self.prior = np.log(table[:, 0] / max(1.0, table[:, 0].sum()))
-        grams_ = table[:, 1:] + smoothing
-        self.matrix = np.log(grams_ / grams_.sum(axis=1, keepdims=True)).T.astype(np.float32)
+    """At most ``CHUNK`` languages in order, log priors and a ``[bucket, language]`` matrix."""
+
+    def __init__(self, part: list, total: int):
+        part = sorted(part, key=lambda r: r["lang"])
+        self.languages = [r["lang"] for r in part]
+        self.prior = np.log(np.array([r["rows"] for r in part]) / max(1, total))
+        self.matrix = np.stack([np.frombuffer(r["logs"], np.float32) for r in part]).T.copy() if part else None
 
     def posterior(self, texts: list[str], orders=ORDERS, bits: int = BITS):
         """Log-posteriors up to a constant, and which texts have letters."""
@@ -149,50 +168,67 @@ class NaiveBayes:
         return total, np.diff(starts) > 0
 
 
-def train(
-    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_languages: int = MAX_LANGUAGES
-) -> NaiveBayes:
-    """Fit on all rows with text and language.
+class Model:
+    """A written table of languages, scored ``chunk`` by ``chunk``."""
 
-    The counts that reach the driver are at most ``max_languages`` x 2**16; more languages
-    raise an error.
-    """
-    counts = count_grams(docs, text_col, lang_col)
-    rows = counts.limit(max_languages * ((1 << BITS) + 1) + 1).toArrow()
-    if len(rows.column("lang").unique()) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
-    return NaiveBayes(rows)
+    def __init__(self, table: DataFrame):
+        self.table = table
+        known = table.agg(F.max("chunk").alias("last"), F.sum("rows").alias("rows")).first()
+        self.chunks = 0 if known["last"] is None else known["last"] + 1
+        self.total = known["rows"] or 0
+
+    def part(self, chunk: int) -> NaiveBayes:
+        return NaiveBayes(self.table.where(F.col("chunk") == chunk).collect(), self.total)
+
+
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", chunk: int = CHUNK) -> Model:
+    """Fit on all rows with text and language, any number of languages."""
+    return Model(language_table(count_grams(docs, text_col, lang_col), chunk=chunk))
 
 
 def predict(
-    docs: DataFrame, model: NaiveBayes, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``(doc_id, lang_pred, score)`` per row; ``score`` is the language's posterior.
 
     Null texts and texts without a letter are ``und`` with score 0, as is everything when no
     language was learned. Of equal languages the first in order wins. Repeated rows and null
-    ids stay.
+    ids stay. Each chunk of languages is a pass of its own over the rows, which carry the best
+    language so far, its log-posterior and the sum of all posteriors in units of it.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        names = np.array([*model.languages, UNKNOWN], object)
-        for batch in batches:
-            for low, high, texts in texts_of(batch.column(1)):
-                best = np.full(len(texts), len(names) - 1)
-                score = np.zeros(len(texts))
-                if model.languages:
-                    total, lettered = model.posterior(texts)
-                    top = total.argmax(axis=1)
-                    odds = np.exp(total - total.max(axis=1, keepdims=True))
-                    best = np.where(lettered, top, best)
-                    score = np.where(lettered, 1 / odds.sum(axis=1), 0.0)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[low:high], pa.array(names[best], pa.string()), pa.array(score)],
-                    ["doc_id", "lang_pred", "score"],
-                )
-
+    context = docs.sparkSession.sparkContext
     kind = docs.schema[id_col].dataType.simpleString()
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return map_text(picked, run, f"doc_id {kind}, lang_pred string, score double")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    if not model.chunks:
+        return rows.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+
+    def scored(sent, first: bool, last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part = sent.value
+            names = np.array(part.languages, object)
+            for batch in batches:
+                for low, high, texts in texts_of(batch.column(1)):
+                    total, lettered = part.posterior(texts)
+                    best, top = names[total.argmax(axis=1)], total.max(axis=1)
+                    mass = np.exp(total - top[:, None]).sum(axis=1)
+                    if not first:
+                        before = [np.asarray(batch.column(c)[low:high].to_pylist()) for c in ("best", "top", "mass")]
+                        best = np.where(top > before[1], best, before[0].astype(object))
+                        most = np.maximum(top, before[1])
+                        mass = mass * np.exp(top - most) + before[2] * np.exp(before[1] - most)
+                        top = most
+                    own = [batch.column(0)[low:high]]
+                    if last:
+                        found = [pa.array(np.where(lettered, best, UNKNOWN), pa.string()), pa.array(np.where(lettered, 1 / mass, 0.0))]
+                        yield pa.RecordBatch.from_arrays(own + found, ["doc_id", "lang_pred", "score"])
+                    else:
+                        found = [batch.column(1)[low:high], pa.array(best, pa.string()), pa.array(top), pa.array(mass)]
+                        yield pa.RecordBatch.from_arrays(own + found, ["doc_id", "text", "best", "top", "mass"])
+
+        return run
+
+    for chunk in range(model.chunks):
+        last = chunk == model.chunks - 1
+        out = "lang_pred string, score double" if last else "text string, best string, top double, mass double"
+        rows = map_text(rows, scored(context.broadcast(model.part(chunk)), chunk == 0, last), f"doc_id {kind}, {out}")
+    return rows

@@ -87,3 +87,53 @@ def test_language_edge_cases(spark):
     nothing = language.train(docs.where("false"))
     assert {r["lang_pred"] for r in language.predict(docs, nothing).collect()} == {"und"}
     assert language.predict(docs.where("false"), model).collect() == []
+
+
+def brute_posterior(rows, text):
+    """Posteriors of a text by counting n-grams one at a time."""
+    size = 1 << language.BITS
+
+    def buckets(t):
+        clean = "".join(c if c.isalpha() else " " for c in t.lower() + " ")
+        clean = " ".join(clean.split()) + " " if clean.split() else ""
+        for n in language.ORDERS:
+            for i in range(len(clean) - n + 1):
+                p = np.array([ord(c) for c in clean[i : i + n]], np.uint64)
+                yield int(language.grams(p, np.array([0, n]), n, language.BITS)[0][0])
+
+    counts, n_rows = collections.defaultdict(collections.Counter), collections.Counter()
+    for t, lang in rows:
+        counts[lang].update(buckets(t))
+        n_rows[lang] += 1
+    logs = {}
+    for lang, own in counts.items():
+        whole = own.total() + 0.5 * size
+        logs[lang] = math.log(n_rows[lang] / len(rows)) + sum(math.log((own[b] + 0.5) / whole) for b in buckets(text))
+    top = max(logs.values())
+    mass = sum(math.exp(x - top) for x in logs.values())
+    return min(k for k, v in logs.items() if v == top), 1 / mass
+
+
+@pytest.mark.parametrize("languages, chunk", [(33, 256), (40, 7), (300, 256)])
+def test_any_number_of_languages(spark, languages, chunk):
+    rng = np.random.default_rng(languages)
+    words = ["".join(chr(97 + x) for x in rng.integers(0, 26, 5)) for _ in range(languages)]
+    rows = [(f"{words[i]} {words[(i * 7 + 1) % languages]}", f"l{i:04d}") for i in range(languages)] * 2
+    docs = spark.createDataFrame([(n, t, lang) for n, (t, lang) in enumerate(rows)], "doc_id int, text string, lang string")
+    model = language.train(docs, chunk=chunk)
+    assert model.chunks == -(-languages // chunk)
+    got = {r["doc_id"]: r for r in language.predict(docs, model).collect()}
+    assert len(got) == len(rows)
+    for n in range(0, languages, max(1, languages // 10)):
+        want, score = brute_posterior(rows, rows[n][0])
+        assert got[n]["lang_pred"] == want and got[n]["score"] == pytest.approx(score, rel=1e-3)
+    assert np.mean([got[n]["lang_pred"] == lang for n, (_, lang) in enumerate(rows)]) > 0.95
+
+
+def test_quality_columns_may_clash(spark):
+    rows = [(i, "good long text of words " * 3 if i % 2 else "BAD!! | BAD!!", "a", 1, 2, "b") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _id string, _y int, _z int, _text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id bigint, quality int")
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns and {r["doc_id"] % 2 for r in kept.collect()} == {1}
+    assert {r["doc_id"]: r["predicted"] for r in quality.quality_scores(docs, labels).collect()} == {i: i % 2 for i in range(20)}
