@@ -16,9 +16,15 @@ from phenoframe.scale.bounds import materialised, scratch
 ORACLE_SQL = None
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` written once with a row key, so that rows with equal ids stay apart."""
-    return materialised(docs.withColumn("_key", F.monotonically_increasing_id()))
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` written once with a row key, so that rows with equal ids stay apart.
+
+    Returns the key's name too, which no column has, in upper or lower case.
+    """
+    taken, key = {c.lower() for c in docs.columns}, "_key"
+    while key in taken:
+        key += "_"
+    return materialised(docs.withColumn(key, F.monotonically_increasing_id())), key
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,21 +34,21 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near-duplicates, that with the smallest id."""
-    keyed = _keyed(docs)
-    name = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_key").alias("key"))
+    keyed, key = _keyed(docs)
+    name = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(key).alias("key"))
     groups = simhash.simhash_groups(keyed.select(name.alias("name"), "text"), "name")
-    dropped = materialised(groups.where("doc_id.key <> component_id.key").select(F.col("doc_id.key").alias("_key")))
-    return keyed.join(dropped, "_key", "left_anti").select(docs.columns)
+    dropped = materialised(groups.where("doc_id.key <> component_id.key").select(F.col("doc_id.key").alias(key)))
+    return keyed.join(dropped, key, "left_anti").select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a window of a benchmark item."""
-    keyed = _keyed(docs)
+    keyed, key = _keyed(docs)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     with scratch(spark, "index") as folder:
-        found = postings.decontaminate(keyed, items, "_key", folder=folder)
-        dropped = materialised(found.where("contaminated").select(F.col("doc_id").alias("_key")))
-    return keyed.join(dropped, "_key", "left_anti").select(docs.columns)
+        found = postings.decontaminate(keyed, items, key, folder=folder)
+        dropped = materialised(found.where("contaminated").select(F.col("doc_id").alias(key)))
+    return keyed.join(dropped, key, "left_anti").select(docs.columns)
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

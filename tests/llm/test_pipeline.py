@@ -58,3 +58,12 @@ def test_odd_rows_pass_every_stage(spark):
         assert stage(spark, docs.where("false"), SF).collect() == []
     clean = corpus_pipeline.personal_data_stage(spark, docs, SF).collect()
     assert sorted(r["n_chars"] for r in clean if r["n_chars"] is not None) == [0, 0, 33, 39]
+
+
+def test_columns_named_like_the_row_key_stay(spark):
+    rows = [(1, "one text of some words here", 5, "k", 7, 8), (2, "one text of some words here", 6, "l", 7, 8), (3, "other words", 7, "m", 7, 8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint, _KEY string, _id int, _y int")
+    for stage in (corpus_pipeline.near_duplicate_stage, corpus_pipeline.decontamination_stage):
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and {(r["doc_id"], r["_KEY"]) for r in out.collect()} <= {(1, "k"), (2, "l"), (3, "m")}
+    assert {(r["doc_id"], r["_KEY"]) for r in corpus_pipeline.quality_stage(spark, docs, SF).collect()} <= {(1, "k"), (2, "l"), (3, "m")}
