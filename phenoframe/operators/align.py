@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from phenoframe.functions.geo import cell, centre
+from phenoframe.operators.cover import points_in_tiles
 from phenoframe.scale.ranks import sequential_id
 
 
@@ -113,42 +114,6 @@ def align_nearest(
     return placed.join(grid, ["_r", "_c"], "left").drop("_r", "_c")
 
 
-def tile_bounds(tiles: DataFrame) -> DataFrame:
-    """Bounds of tiles given as ``(tile_id, x0, y0, dx, dy, n_rows, n_cols)``; steps may be negative."""
-    x1, y1 = F.col("x0") + F.col("dx") * F.col("n_cols"), F.col("y0") + F.col("dy") * F.col("n_rows")
-    return tiles.select(
-        "tile_id", "x0", "y0", "dx", "dy", "n_rows", "n_cols",
-        F.least("x0", x1).alias("west"), F.greatest("x0", x1).alias("east"),
-        F.least("y0", y1).alias("south"), F.greatest("y0", y1).alias("north"),
-    )
-
-
-def points_in_tiles(points: DataFrame, tiles: DataFrame, *, x: str, y: str) -> DataFrame:
-    """Points with the tile, row and column that hold them, null outside all tiles.
-
-    Tiles and points meet on the cells of a lattice as wide as the widest tile, so a tile
-    covers at most four cells and no point is compared with far tiles. A point in several
-    overlapping tiles gives a row for each of them.
-    """
-    bounds = tile_bounds(tiles)
-    widest = bounds.agg(F.max(F.col("east") - F.col("west")), F.max(F.col("north") - F.col("south"))).first()
-    wide, high = float(widest[0] or 1.0), float(widest[1] or 1.0)
-
-    def lattice(value, size: float):
-        return F.floor(value / F.lit(size)).cast("bigint")
-
-    spread = bounds.withColumn("_tx", F.explode(F.sequence(lattice(F.col("west"), wide), lattice(F.col("east"), wide))))
-    spread = spread.withColumn("_ty", F.explode(F.sequence(lattice(F.col("south"), high), lattice(F.col("north"), high))))
-    placed = points.withColumn("_lx", lattice(F.col(x), wide)).withColumn("_ly", lattice(F.col(y), high))
-    row = F.floor((F.col(y) - F.col("y0")) / F.col("dy")).cast("bigint")
-    col = F.floor((F.col(x) - F.col("x0")) / F.col("dx")).cast("bigint")
-    inside = (
-        (F.col("_lx") == F.col("_tx")) & (F.col("_ly") == F.col("_ty"))
-        & (row >= 0) & (row < F.col("n_rows")) & (col >= 0) & (col < F.col("n_cols"))
-    )
-    return placed.join(spread, inside, "left").select(*points.columns, "tile_id", row.alias("row"), col.alias("col"))
-
-
 def sample_tiles(points: DataFrame, raster: DataFrame, tiles: DataFrame, *, x: str, y: str) -> DataFrame:
     """Raster values ``(tile_id, row, col, ...)`` of the tile cells that hold each point."""
     return points_in_tiles(points, tiles, x=x, y=y).join(raster, ["tile_id", "row", "col"], "left")
