@@ -9,29 +9,41 @@ from pyspark.sql import DataFrame, functions as F
 from phenoframe.functions.geo import cell, centre
 from phenoframe.operators.cover import points_in_tiles
 from phenoframe.scale.ranks import sequential_id
+from phenoframe.schemas import FEATURE, MASK
 
 
-def merge_chunks(chunks: list[DataFrame], key: str, props: list[str], required: str | None = None) -> DataFrame:
+def merge_chunks(
+    chunks: list[DataFrame], key: str, props: list[str], required: str | None = None, order: str = "_order"
+) -> DataFrame:
     """One row per key from exported chunks that each hold some steps of the series.
 
-    Properties come from the first chunk that has the key; series columns from the chunk
-    that holds them, null where the key is missing there. Mask columns default to 0. The
-    chunks are stacked and grouped once, with partial aggregation, instead of being joined
-    one after another. A key must occur once per chunk.
+    Of rows of a chunk with the same key the first counts, as a whole: by the column ``order`` where
+    a chunk has it, else in the order of its scan. Properties come from the first chunk that has the
+    key; series columns from the first chunk with a value, null where there is none. Mask columns default
+    to 0. The chunks are stacked as one struct each and grouped once.
     """
-    stacked = reduce(
-        lambda a, b: a.unionByName(b, allowMissingColumns=True),
-        [c.withColumn("_chunk", F.lit(i)) for i, c in enumerate(chunks)],
-    )
-    kept = [p for p in props if p in stacked.columns]
-    steps = [c for c in stacked.columns if "_t" in c and c not in (*kept, key)]
-    firsts = [F.min_by(F.col(f"`{p}`"), F.col("_chunk")).alias(p) for p in kept]
-    merged = stacked.groupBy(key).agg(*firsts, *[F.expr(f"max(`{s}`) AS `{s}`") for s in steps])
-    out = merged.select(
-        key,
-        *[f"`{p}`" for p in kept],
-        *[F.expr(f"COALESCE(`{s}`, 0) AS `{s}`") if s.startswith("m_t") else s for s in steps],
-    )
+    parts, held = [], []
+    for i, chunk in enumerate(chunks):
+        own = [c for c in chunk.columns if c != key and (c in props or FEATURE.match(c) or MASK.match(c))]
+        place = F.col(order) if order in chunk.columns else F.monotonically_increasing_id()
+        row = F.expr(f"struct({', '.join(['true AS `_here`', *[f'`{c}`' for c in own]])})")
+        parts.append(chunk.select(f"`{key}`", place.alias(f"_o{i}"), row.alias(f"_c{i}")))
+        held.append(own)
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    n = range(len(chunks))
+    firsts = stacked.groupBy(key).agg(*[F.min_by(f"_c{i}", f"_o{i}").alias(f"_c{i}") for i in n])
+
+    def prop(name: str) -> str:
+        cases = [f"WHEN _c{i} IS NOT NULL THEN {f'_c{i}.`{name}`' if name in held[i] else 'NULL'}" for i in n]
+        return f"CASE {' '.join(cases)} END AS `{name}`"
+
+    def step(name: str) -> str:
+        values = [f"_c{i}.`{name}`" for i in n if name in held[i]] + ["0"] * bool(MASK.match(name))
+        return f"COALESCE({', '.join(values)}) AS `{name}`"
+
+    every = list(dict.fromkeys(c for own in held for c in own))
+    kept, steps = [p for p in props if p in every], [c for c in every if c not in props]
+    out = firsts.select(F.col(f"`{key}`"), *[F.expr(e) for e in [*map(prop, kept), *map(step, steps)]])
     return out.dropna(subset=[required]) if required else out
 
 

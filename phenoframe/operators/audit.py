@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from phenoframe.functions.masks import finite_or_null
 from phenoframe.scale.bounds import materialised, small_table
 
 
@@ -56,8 +57,8 @@ def missing_summary(samples: DataFrame, mask: str = "mask") -> DataFrame:
 
 
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
-    """Equal-width histogram between minimum and maximum: ``(bucket, lower, upper, n)``."""
-    values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
+    """Equal-width histogram of the finite values: ``(bucket, lower, upper, n)``."""
+    values = df.select(finite_or_null(F.col(column).cast("double")).alias("v")).where(F.col("v").isNotNull())
     limits = values.agg(F.struct(F.min("v").alias("a"), F.max("v").alias("z"))).scalar()
     spread = values.withColumn("_l", limits)
     a, z = F.col("_l.a"), F.col("_l.z")
@@ -108,9 +109,10 @@ def missing_in_series(samples: DataFrame, series: str = "series") -> Column:
 
 
 def phenology(long: DataFrame, y: str, t: str, value: str) -> DataFrame:
-    """Mean and population deviation of an index per class and step."""
+    """Mean and population deviation of an index per class and step; only finite values count."""
+    known = finite_or_null(F.col(value))
     return long.groupBy(y, t).agg(
-        F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.count(value).alias("n")
+        F.avg(known).alias("mean"), F.stddev_pop(known).alias("std"), F.count(known).alias("n")
     )
 
 

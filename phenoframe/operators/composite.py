@@ -167,6 +167,7 @@ def monthly_radar(
     does a month in which this id has none. Months still empty are 0.
     """
     month = F.month(date_col)
+    obs = obs.withColumns({c: finite_or_null(F.col(c)) for c in (vv, vh)})
     means = [F.avg(c).alias(f"_{c}") for c in (vv, vh)]
     for m in range(1, 13):
         means += [F.avg(F.when(month == m, F.col(c))).alias(f"_{c}_{m}") for c in (vv, vh)]
@@ -202,8 +203,9 @@ def climate_aggregate(
 ) -> DataFrame:
     """Mean of daily extremes and total precipitation over ``[start, end)``."""
     rows = daily.where((F.col(date_col) >= F.lit(start).cast("date")) & (F.col(date_col) < F.lit(end).cast("date")))
+    known = {c: finite_or_null(F.col(c)) for c in (temp_max, temp_min, precip)}
     return rows.groupBy(id_col).agg(
-        F.avg(temp_max).alias("temp_max"),
-        F.avg(temp_min).alias("temp_min"),
-        F.sum(precip).alias("precip_sum"),
+        F.avg(known[temp_max]).alias("temp_max"),
+        F.avg(known[temp_min]).alias("temp_min"),
+        F.sum(known[precip]).alias("precip_sum"),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from phenoframe.functions.labels import mapped
 from phenoframe.scale.bounds import materialised, small_table
-from phenoframe.scale.ranks import hash_int, hash_long, hash_rank, hash_segments, sequential_id, stable_hash
+from phenoframe.scale.ranks import hash_int, hash_long, hash_rank, hash_segments, rows_at_ranks, sequential_id, stable_hash
 
 
 def _named(df: DataFrame, names: list[str]) -> DataFrame:
@@ -66,13 +66,15 @@ def equal_sample(df: DataFrame, y: str, ids: list[str], max_samples: int, seed:
 
 
 def _draw(
-    df: DataFrame, y: str, ids: list[str], counts: DataFrame, widest: int, seed: int, per_task: int
+    df: DataFrame, y: str, ids: list[str], counts: DataFrame, widest: int, seed: int, per_task: int,
+    rare: bool = False,
 ) -> DataFrame:
     """Fill ``take`` slots per class with hashed picks of its ``n`` rows.
 
     ``counts`` holds ``(y, n, take)``. Slots are numbered rows of a distributed range. When
     a class has few rows for its slots, its rows are copied under several salts so that no
-    join key receives more than about ``per_task`` slots.
+    join key receives more than about ``per_task`` slots. With ``rare`` slots are few for
+    the rows, and only hash slices that a pick falls into are ranked.
     """
     spark = df.sparkSession
     salts = F.ceil(F.col("take") / (F.col("n") * F.lit(per_task)))
@@ -100,6 +102,8 @@ def _draw(
         (F.pmod(hash_long(digest), F.col("n")) + 1).alias("rank"),
         F.pmod(hash_int(digest, 3), F.col("_salts")).alias("_salt"),
     )
+    if rare:
+        return rows_at_ranks(df, y, ids, picks.drop("_salt"), seed).select(*df.columns, "slot")
     pool = hash_rank(df, [y], ids, seed, "rank").join(numbered.select(y, "_salts"), y)
     copies = pool.withColumn(
         "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_salts") - 1))
@@ -116,7 +120,7 @@ def replacement_sample(
     counts = labelled.groupBy(y).agg(F.count(F.lit(1)).alias("n")).withColumn(
         "take", F.least(F.lit(min_per_class), F.col("n"))
     )
-    drawn = _draw(labelled, y, ids, counts, min_per_class, seed, per_task)
+    drawn = _draw(labelled, y, ids, counts, min_per_class, seed, per_task, rare=min_per_class <= per_task)
     return uniform_sample(drawn, [y, "slot"], max_samples, seed)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from phenoframe.functions.masks import finite_or_null
 from phenoframe.scale.bounds import small_table
 from phenoframe.scale.medians import column_medians
 
@@ -38,10 +39,10 @@ def fit_series_scaler(
     """Mean and population deviation per channel, or per step and channel.
 
     Returns ``(t, c, name, mean, std)`` with ``t`` null for the per-channel fit: as many
-    rows as the series has values, whatever the number of samples.
+    rows as the series has values, whatever the number of samples. Only finite values count.
     """
     steps = training(samples, split).select(F.posexplode_outer(series).alias("t", "_x"))
-    values = [F.get("_x", F.lit(i)).cast("double") for i in range(len(names))]
+    values = [finite_or_null(F.get("_x", F.lit(i)).cast("double")) for i in range(len(names))]
     aggs = [F.avg(v).alias(f"_m{i}") for i, v in enumerate(values)]
     aggs += [F.stddev_pop(v).alias(f"_s{i}") for i, v in enumerate(values)]
     if per_step:
@@ -52,10 +53,11 @@ def fit_series_scaler(
 
 
 def fit_column_scaler(df: DataFrame, columns: list[str], split: str | None = "split") -> DataFrame:
-    """Mean and population deviation per column: ``(c, name, mean, std)``."""
+    """Mean and population deviation of the finite values per column: ``(c, name, mean, std)``."""
     rows = training(df, split)
-    aggs = [F.avg(c).alias(f"_m{i}") for i, c in enumerate(columns)]
-    aggs += [F.stddev_pop(c).alias(f"_s{i}") for i, c in enumerate(columns)]
+    known = [finite_or_null(F.col(c).cast("double")) for c in columns]
+    aggs = [F.avg(v).alias(f"_m{i}") for i, v in enumerate(known)]
+    aggs += [F.stddev_pop(v).alias(f"_s{i}") for i, v in enumerate(known)]
     return rows.agg(*aggs).select(_stats([], columns).alias("_x")).select("_x.*")
 
 

@@ -137,6 +137,30 @@ def chunk_merge(spark, sf):
     return long.select("sample", y, "t", *[r(b, 4).alias(b) for b in BANDS], "valid")
 
 
+# Line items as two chunks of a wide table, whose keys, the suppliers, are in each many times.
+@query("chunk_first_rows", """
+WITH a AS (SELECT * FROM lineitem WHERE l_linenumber <= 3 QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) = 1),
+b AS (SELECT * FROM lineitem WHERE l_linenumber > 3 AND l_suppkey % 3 > 0 QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey DESC, l_linenumber) = 1)
+SELECT coalesce(a.l_suppkey, b.l_suppkey) AS sample, CASE WHEN a.l_suppkey IS NULL THEN b.l_partkey ELSE a.l_partkey END AS crop_label,
+  NULLIF(a.l_quantity, 25) AS B2_t0, a.l_tax AS B2_t1, coalesce(CAST(a.l_discount > 0.05 AS INT), 0) AS m_t0,
+  b.l_extendedprice AS B8A_t2, coalesce(CAST(b.l_discount > 0.05 AS INT), 0) AS m_t2
+FROM a FULL JOIN b ON a.l_suppkey = b.l_suppkey
+""")
+def chunk_first_rows(spark, sf):
+    """Of the rows of a key in a chunk the first is taken whole."""
+    lines = table(spark, sf, "lineitem")
+    order, line, flag = F.col("l_orderkey"), F.col("l_linenumber"), (F.col("l_discount") > 0.05).cast("int")
+    key, label = F.col("l_suppkey").alias("sample"), F.col("l_partkey").alias("crop_label")
+    a = lines.where("l_linenumber <= 3").select(
+        key, label, F.nullif("l_quantity", F.lit(25.0)).alias("B2_t0"), F.col("l_tax").alias("B2_t1"), flag.alias("m_t0"),
+        F.lit("x").alias("note_too"), F.struct(order, line).alias("_order"),
+    )
+    b = lines.where("l_linenumber > 3 AND l_suppkey % 3 > 0").select(
+        key, label, F.col("l_extendedprice").alias("B8A_t2"), flag.alias("m_t2"), F.struct(-order, line).alias("_order")
+    )
+    return merge_chunks([a, b], "sample", ["crop_label"])
+
+
 @query("scene_class_filter", with_ctes(OBS, body="""
 SELECT scl, count(*) AS n, min(obs_date) AS first_date, max(obs_date) AS last_date
 FROM obs WHERE scl NOT IN (1, 3, 8, 9, 10, 11) GROUP BY scl"""))

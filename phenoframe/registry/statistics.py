@@ -8,7 +8,7 @@ from phenoframe.functions import masks
 from phenoframe.functions.arrays import channel
 from phenoframe.functions.spectral import ndvi
 from phenoframe.operators import audit, scaling
-from phenoframe.operators.composite import decadal_composite, series_to_long
+from phenoframe.operators.composite import climate_aggregate, decadal_composite, series_to_long
 from phenoframe.operators.correlate import pearson_matrix, spearman_matrix
 from phenoframe.operators.filters import clear_scenes
 from phenoframe.operators.gapfill import fill_gaps
@@ -387,3 +387,57 @@ def summary_report(spark, sf):
         "n_rows", "n_codes", "n_classes", F.array_join(pairs, ",").alias("class_counts"), F.explode("top_codes").alias("c")
     )
     return flat.select("n_rows", "n_codes", "n_classes", "class_counts", F.col("c.code").cast("int").alias("code"), F.col("c.n").alias("n"))
+
+
+# Line items in which some measures are not a number or infinite: those are missing.
+ODD = """odd AS (
+  SELECT l_suppkey AS id, l_linenumber AS y, l_orderkey % 9 AS t, CAST(l_shipdate AS DATE) AS day,
+    CASE l_linenumber WHEN 3 THEN NULL WHEN 4 THEN NULL ELSE l_quantity END AS a,
+    CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE l_extendedprice END AS b,
+    CASE WHEN l_orderkey % 7 = 1 THEN NULL ELSE l_discount END AS c FROM lineitem)"""
+
+
+def odd_rows(spark, sf):
+    nan, inf = F.lit(float("nan")), F.lit(float("inf"))
+    line, order = F.col("l_linenumber"), F.col("l_orderkey")
+    return table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").alias("id"), line.alias("y"), (order % 9).alias("t"), F.col("l_shipdate").cast("date").alias("day"),
+        F.when(line == 3, nan).when(line == 4, None).otherwise(F.col("l_quantity")).alias("a"),
+        F.when(order % 5 == 0, F.when(order % 2 == 0, -inf).otherwise(nan)).otherwise(F.col("l_extendedprice")).alias("b"),
+        F.when(order % 7 == 1, nan).otherwise(F.col("l_discount")).alias("c"),
+    )
+
+
+@query("pearson_missing", with_ctes(ODD, body="""""" + " UNION ALL ".join(
+    f"SELECT '{i}' AS a, '{j}' AS b, {sr(f'corr({i}, {j})', 'corr', 5)} FROM odd" for i in "abc" for j in "abc")))
+def pearson_missing(spark, sf):
+    return rounded(pearson_matrix(odd_rows(spark, sf), ["a", "b", "c"]), ["corr"], 5)
+
+
+@query("histogram_missing", with_ctes(ODD, body=f"""
+, lim AS (SELECT min(b) AS lo, max(b) AS hi FROM odd)
+SELECT bucket, {sr('any_value(lo) + (bucket - 1) * (any_value(hi) - any_value(lo)) / 12', 'lower', 3)},
+  {sr('any_value(lo) + bucket * (any_value(hi) - any_value(lo)) / 12', 'upper', 3)}, count(*) AS n
+FROM (SELECT lo, hi, CAST(least(floor((b - lo) / ((hi - lo) / 12)) + 1, 12) AS INT) AS bucket FROM odd, lim WHERE b IS NOT NULL) GROUP BY bucket"""))
+def histogram_missing(spark, sf):
+    return rounded(audit.histogram(odd_rows(spark, sf), "b", 12), ["lower", "upper"], 3)
+
+
+@query("phenology_missing", with_ctes(ODD, body=f"""
+SELECT y, t, {sr('avg(b)', 'mean', 3)}, {sr('stddev_pop(b)', 'std', 3)}, count(b) AS n FROM odd GROUP BY y, t"""))
+def phenology_missing(spark, sf):
+    return rounded(audit.phenology(odd_rows(spark, sf), "y", "t", "b"), ["mean", "std"], 3)
+
+
+@query("scaler_missing", with_ctes(ODD, body=" UNION ALL ".join(
+    f"SELECT CAST({i} AS INT) AS c, '{c}' AS name, {sr(f'avg({c})', 'mean', 4)}, {sr(f'stddev_pop({c})', 'std', 4)} FROM odd" for i, c in enumerate("abc"))))
+def scaler_missing(spark, sf):
+    return rounded(scaling.fit_column_scaler(odd_rows(spark, sf), ["a", "b", "c"], split=None), ["mean", "std"], 4)
+
+
+@query("climate_missing", with_ctes(ODD, body=f"""
+SELECT id, {sr('avg(a)', 'temp_max', 4)}, {sr('avg(c)', 'temp_min', 4)}, {sr('sum(b)', 'precip_sum', 2)}
+FROM odd WHERE day >= DATE '1995-01-01' AND day < DATE '1996-01-01' GROUP BY id"""))
+def climate_missing(spark, sf):
+    found = climate_aggregate(odd_rows(spark, sf), "id", "day", "1995-01-01", "1996-01-01", "a", "c", "b")
+    return found.select("id", r("temp_max", 4).alias("temp_max"), r("temp_min", 4).alias("temp_min"), r("precip_sum", 2).alias("precip_sum"))

@@ -216,3 +216,67 @@ def average_ranks(df: DataFrame, columns: list[str], slices: int = 256) -> DataF
     return placed.join(starts, ["name", "_s"]).select(
         "name", "value", (end - F.col("_n") + (F.col("_n") + 1) / 2).alias("rank")
     )
+
+
+def row_ranks(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Average rank of every row's value in each numeric column: ``(key, name, rank)``.
+
+    Values are sorted across range partitions with the key as tie-breaker, so equal values spread
+    over tasks. A row's place is its place in its partition plus the rows before. Values that
+    cross a border between partitions are at most two per border and column; their places are
+    averaged over all partitions they lie in. Values must not be null.
+    """
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns]))
+    placed = rows.select(F.col(key).alias("_key"), cells.alias("_x")).select("_key", "_x.*").orderBy("name", "value", "_key")
+    placed = materialised(placed.withColumn("_m", F.monotonically_increasing_id())).withColumn("_part", F.shiftrightunsigned("_m", 33))
+    parts = placed.groupBy("name", "_part").agg(
+        F.min("_m").alias("_first"), F.count(F.lit(1)).alias("_n"), F.min("value").alias("_low"), F.max("value").alias("_high")
+    )
+    before = Window.partitionBy("name").orderBy("_part").rowsBetween(UNBOUNDED, -1)
+    parts = materialised(parts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))))
+    starts = parts.select(F.col("name").alias("_of"), F.col("_part").alias("_in"), "_first", "_before")
+    at = F.col("_before") + F.col("_m") - F.col("_first") + 1
+    counted = placed.join(F.broadcast(starts), (F.col("name") == F.col("_of")) & (F.col("_part") == F.col("_in"))).select(
+        "_key", "name", "value", "_part", at.alias("_at")
+    )
+    same = Window.partitionBy("_part", "name", "value")
+    counted = counted.withColumn("_mean", F.avg("_at").over(same))
+
+    edges = parts.select("name", "_part", F.explode(F.array_distinct(F.array("_low", "_high"))).alias("value"))
+    crossing = edges.groupBy("name", "value").agg(F.count(F.lit(1)).alias("_p")).where("_p > 1").select("name", "value")
+    spread = placed.join(F.broadcast(crossing), ["name", "value"]).join(
+        F.broadcast(starts), (F.col("name") == F.col("_of")) & (F.col("_part") == F.col("_in"))
+    )
+    means = spread.groupBy("name", "value").agg(F.avg(at).alias("_all"))
+    joined = counted.join(F.broadcast(materialised(means)), ["name", "value"], "left")
+    return joined.select(F.col("_key").alias(key), "name", F.coalesce("_all", "_mean").alias("rank"))
+
+
+def rows_at_ranks(df: DataFrame, by: str, ids: list[str], picks: DataFrame, seed: int | str = 42, digits: int = SLICE_DIGITS) -> DataFrame:
+    """The rows of ``df`` at the ranks ``(by, rank, ...)`` of ``picks`` in hash order within ``by``.
+
+    Counts of hash slices tell which slice a rank falls into, counts of the slices inside those tell
+    it more finely, and only rows of the finest slices are sorted. What is shuffled depends on the
+    number of picks, not on the rows, of which each is hashed where it is read. Other columns of
+    ``picks`` must not be in ``df``; ``by`` must not be null.
+    """
+    keyed = df.withColumn("_h", stable_hash(seed, *[F.col(i) for i in ids]))
+    wanted = materialised(picks.withColumn("_lo", F.lit(0).cast("bigint")).withColumn("_slice", F.lit("")))
+    for n in (digits, 2 * digits):
+        near = keyed.withColumn("_slice", F.substring("_h", 1, n - digits)) if n > digits else keyed.withColumn("_slice", F.lit(""))
+        open_ = materialised(wanted.select(by, "_slice").distinct())
+        counted = near.join(open_, [by, "_slice"], "left_semi").groupBy(by, "_slice", F.substring("_h", 1, n).alias("_fine")).agg(F.count(F.lit(1)).alias("_n"))
+        running = Window.partitionBy(by, "_slice").orderBy("_fine").rowsBetween(UNBOUNDED, 0)
+        counted = counted.withColumn("_hi", F.sum("_n").over(running))
+        entry = F.struct("_hi", "_fine", "_n")
+        table = counted.groupBy(by, "_slice").agg(F.array_sort(F.collect_list(entry)).alias("_t"))
+        place = slice_of(F.col("_t._hi"), F.col("rank") - F.col("_lo"), 16**digits)
+        found = wanted.join(table, [by, "_slice"]).withColumn("_e", F.get("_t", place))
+        lower = (F.col("_lo") + F.col("_e._hi") - F.col("_e._n")).alias("_lo")
+        wanted = materialised(found.select(*picks.columns, lower, F.col("_e._fine").alias("_slice")))
+    slices = materialised(wanted.select(F.col(by).alias("_by"), "_slice", F.col("_lo").alias("_start")).distinct())
+    inside = Window.partitionBy(by, "_slice").orderBy("_h", *ids)
+    near = keyed.withColumn("_fine", F.substring("_h", 1, 2 * digits))
+    near = near.join(slices, (F.col(by) == F.col("_by")) & (F.col("_fine") == F.col("_slice")))
+    ranked = near.withColumn("rank", F.col("_start") + F.row_number().over(inside)).select(*df.columns, "rank")
+    return ranked.join(picks, [by, "rank"])

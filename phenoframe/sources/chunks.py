@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from phenoframe.operators.align import merge_chunks
-from phenoframe.schemas import BANDS, N_STEPS
-
-# Fixed patterns: series and mask columns of the wide table.
-FEATURE = re.compile(r"^B\d{1,2}A?_t\d+$")
-MASK = re.compile(r"^m_t\d+$")
+from phenoframe.schemas import BANDS, FEATURE, MASK, N_STEPS
 
 # Descriptive columns and their types.
 PROPS = {
@@ -86,8 +80,11 @@ def csv_schema(header: list[str]) -> T.StructType:
     return T.StructType([T.StructField(c, kind(c)) for c in header])
 
 
-def read_chunks(spark: SparkSession, glob: str) -> list[DataFrame]:
-    """One DataFrame per chunk family: the files of a glob that share a header, by name."""
+def read_chunks(spark: SparkSession, glob: str, order: str | None = None) -> list[DataFrame]:
+    """One DataFrame per chunk family: the files of a glob that share a header, by name.
+
+    ``order`` names a column that is added with each row's file and place in it.
+    """
     try:
         files = spark.read.format("binaryFile").load(glob).select("path").orderBy("path")
         paths = [r["path"] for r in files.toLocalIterator()]
@@ -99,15 +96,17 @@ def read_chunks(spark: SparkSession, glob: str) -> list[DataFrame]:
     for path in paths:
         header = tuple(spark.read.option("header", True).csv(path).columns)
         families.setdefault(header, []).append(path)
-    return [
-        spark.read.schema(csv_schema(list(header))).option("header", True).csv(group)
-        for header, group in families.items()
-    ]
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+    frames = []
+    for header, group in families.items():
+        frame = spark.read.schema(csv_schema(list(header))).option("header", True).csv(group)
+        frames.append(frame if order is None else frame.select(*[F.col(f"`{c}`") for c in header], place.alias(order)))
+    return frames
 
 
 def load_samples(spark: SparkSession, glob: str) -> DataFrame:
-    """Chunks of a glob merged to one wide row per labelled point."""
-    frames = read_chunks(spark, glob)
+    """Chunks of a glob merged to one wide row per labelled point; the first row of a key counts."""
+    frames = read_chunks(spark, glob, order="_order")
     columns = list(dict.fromkeys(c for f in frames for c in f.columns))
     required = next((c for c in ("crop_label", "label") if c in columns), None)
     props = [p for p in PROPS if p != "system:index"]

@@ -4,10 +4,11 @@ import hashlib
 import random
 import statistics
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from phenoframe.operators import sampling
+from phenoframe.operators import composite, correlate, sampling
 from phenoframe.operators.composite import decadal_composite
 from phenoframe.operators.correlate import spearman_matrix
 from phenoframe.scale import medians, ranks
@@ -230,3 +231,49 @@ def test_scratch_folder_is_deleted(spark):
         assert materialised(spark.range(3), folder).count() == 3
     with pytest.raises(Exception):
         spark.read.parquet(folder)
+
+
+def test_row_ranks_share_ties_across_partitions(spark):
+    rng = random.Random(9)
+    rows = [(i, 5.0 if i % 3 == 0 else float(rng.randrange(400)), rng.random(), 1.0) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k int, a double, b double, c double")
+    got = {(r["k"], r["name"]): r["rank"] for r in ranks.row_ranks(df, "k", ["a", "b", "c"]).collect()}
+    for at, name in enumerate("abc", 1):
+        places = {}
+        for n, (v, _) in enumerate(sorted((r[at], r[0]) for r in rows), 1):
+            places.setdefault(v, []).append(n)
+        for r in rows:
+            assert got[r[0], name] == pytest.approx(sum(places[r[at]]) / len(places[r[at]]))
+    assert len(got) == 9000
+
+
+def test_spearman_never_joins_on_a_value(spark, monkeypatch):
+    monkeypatch.setattr(correlate, "FEW_VALUES", 20)
+    rng = random.Random(2)
+    rows = [(float(rng.randrange(5)), rng.choice([0.0, rng.random()]), rng.random()) for _ in range(500)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    got = {(r["a"], r["b"]): r["corr"] for r in correlate.spearman_matrix(df, ["a", "b", "c"]).collect()}
+    want = pd.DataFrame(rows, columns=["a", "b", "c"]).corr("spearman")
+    assert all(got[i, j] == pytest.approx(want.loc[i, j]) for i in "abc" for j in "abc")
+    plan = correlate._ranked_matrix(df, ["b", "c"])._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(b" not in plan and "hashpartitioning(c" not in plan
+
+
+def test_rows_at_ranks_equal_the_full_ranking(spark):
+    df = spark.range(4000).select(F.col("id"), (F.col("id") % 3).alias("y"))
+    full = {(r["y"], r["rank"]): r["id"] for r in ranks.hash_rank(df, ["y"], ["id"], 7, "rank").collect()}
+    wanted = [(y, r, n) for n, (y, r) in enumerate([(0, 1), (0, 1334), (1, 700), (1, 700), (2, 1333), (2, 5), (2, 9999)])]
+    picks = spark.createDataFrame(wanted, "y bigint, rank bigint, slot int")
+    for digits in (1, 2, 3):
+        got = sorted((r["slot"], r["id"]) for r in ranks.rows_at_ranks(df, "y", ["id"], picks, 7, digits).collect())
+        assert got == [(n, full[y, r]) for y, r, n in wanted if (y, r) in full]
+
+
+def test_only_finite_radar_and_climate_values_count(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, "2021-01-05", 2.0, 4.0), (1, "2021-01-06", nan, 6.0), (1, "2021-02-01", inf, nan), (2, "2021-01-01", 1.0, 1.0)]
+    obs = spark.createDataFrame(rows, "id int, d string, vv double, vh double").withColumn("d", F.col("d").cast("date"))
+    got = {r["id"]: r for r in composite.monthly_radar(obs, "id", "d").collect()}
+    assert (got[1]["vv_01"], got[1]["vh_01"], got[1]["vv_02"], got[1]["vh_02"]) == (2.0, 5.0, 0.0, 0.0)
+    found = composite.climate_aggregate(obs, "id", "d", "2021-01-01", "2022-01-01", "vv", "vh", "vv").collect()
+    assert {r["id"]: tuple(r)[1:] for r in found} == {1: (2.0, 5.0, 2.0), 2: (1.0, 1.0, 1.0)}

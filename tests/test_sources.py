@@ -144,3 +144,30 @@ def test_scaler_state_round_trip(spark, tmp_path):
     again = scaling.apply_series_scaler(df, sinks.read_scaler(spark, str(tmp_path / "s")))
     assert again.first()["series"] == [[-1], [1]]
     assert df.select(F.flatten("series")).first()[0] == [1, 3]
+
+
+def test_versions_are_seen_only_when_committed(spark, tmp_path):
+    path = str(tmp_path / "set")
+    with pytest.raises(FileNotFoundError):
+        sinks.read_version(spark, path)
+    first = spark.createDataFrame([(1, "001", None), (2, "002", 2.5)], "id int, split string, x double")
+    assert sinks.write_version(first, path, partition_by=["split"]) == 1
+    first.write.parquet(f"{path}/data/half")  # never committed
+    assert sinks.write_version(first.where("id = 2").drop("x"), path, "json") == 2
+    assert [tuple(r) for r in sinks.read_version(spark, path).collect()] == [(2, "002")]
+    old = sinks.read_version(spark, path, 1)
+    assert sorted(map(tuple, old.select("id", "split", "x").collect())) == [(1, "001", None), (2, "002", 2.5)]
+    assert {(r["version"], r["n_rows"]) for r in sinks.committed(spark, path).collect()} == {(1, 2), (2, 1)}
+    assert sinks.write_version(first.where("false"), path) == 3 and sinks.read_version(spark, path).collect() == []
+
+
+def test_first_rows_of_repeated_keys(spark, tmp_path):
+    (tmp_path / "a1.csv").write_text("system:index,crop_label,B2_t0,m_t0,temp_t\nk,,1.5,1,9\nk,4,2.5,0,9\nl,2,,1,9\n")
+    (tmp_path / "a2.csv").write_text("system:index,crop_label,B2_t0,m_t0,temp_t\nl,3,7.5,0,9\nm,5,8.5,,9\n")
+    (tmp_path / "b.csv").write_text("system:index,crop_label,B2_t1\nm,1,0.5\nm,2,0.25\nn,6,3.0\n")
+    got = {r["system:index"]: r for r in chunks.load_samples(spark, str(tmp_path / "*.csv")).collect()}
+    assert set(got) == {"l", "m", "n"}  # the first row of k has no label
+    assert "temp_t" not in got["l"].asDict()
+    assert tuple(got["l"][c] for c in ("crop_label", "B2_t0", "m_t0", "B2_t1")) == (2, None, 1, None)
+    assert tuple(got["m"][c] for c in ("crop_label", "B2_t0", "m_t0", "B2_t1")) == (5, 8.5, 0, 0.5)
+    assert tuple(got["n"][c] for c in ("crop_label", "B2_t0", "m_t0", "B2_t1")) == (6, None, 0, 3.0)
