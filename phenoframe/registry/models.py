@@ -169,7 +169,31 @@ def feature_ablation(spark, sf):
 @query("learning_rates")
 def learning_rates(spark, sf):
     """Validation loss per learning rate."""
-    return plan.compare_rates(feature_table(spark, sf), OPTICAL, "y", N, ["id"], rates=(0.03, 0.3), epochs=6)
+    return plan.compare_rates(feature_table(spark, sf), OPTICAL + RADAR + STATIC, "y", N, ["id"], rates=(0.03, 0.3), epochs=6)
+
+
+CLOSED_SETS = {"optical": range(40), "optical_static": [*range(40), *range(56, 64)], "optical_radar": range(56), "all": range(64)}
+
+
+@query("closed_form_ablation", f"""
+WITH placed AS (
+  SELECT vec_id, label AS y, embedding, row_number() OVER (PARTITION BY label ORDER BY md5('42-' || vec_id), vec_id) AS rank, count(*) OVER (PARTITION BY label) AS n FROM embeddings),
+split AS (
+  SELECT vec_id, y, embedding, CASE WHEN rank <= floor(n * 0.15 + 0.5) THEN 'test' WHEN rank <= floor(n * 0.3 + 0.5) THEN 'val' ELSE 'train' END AS split FROM placed),
+long AS (SELECT vec_id, y, split, unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM split),
+fit AS (SELECT y AS k, i, avg(x) AS m, var_pop(x) + 1e-6 AS v FROM long WHERE split = 'train' GROUP BY y, i),
+prior AS (SELECT y AS k, ln(count(*)) AS prior FROM split WHERE split = 'train' GROUP BY y),
+sets(config, i) AS ({' UNION ALL '.join(f"SELECT '{n}', unnest({list(f)})" for n, f in CLOSED_SETS.items())}),
+score AS (
+  SELECT vec_id, y, config, k, any_value(prior) + sum(-(x - m) * (x - m) / (2 * v) - ln(v) / 2) AS score
+  FROM long JOIN fit USING (i) JOIN sets USING (i) JOIN prior USING (k) WHERE split = 'test' GROUP BY vec_id, y, config, k),
+told AS (SELECT vec_id, y, config, arg_max(k, score) AS y_pred FROM score GROUP BY vec_id, y, config),
+per AS (SELECT config, y, count(*) AS n, count(*) FILTER (y = y_pred) AS hit FROM told GROUP BY config, y)
+SELECT config, CAST(sum(n) AS BIGINT) AS n_rows, {sr('sum(hit) / sum(n)', 'accuracy')}, {sr('avg(hit / n)', 'recall_macro')} FROM per GROUP BY config""")
+def closed_form_ablation(spark, sf):
+    """All feature sets fitted from one aggregation of the training rows."""
+    configs = {n: [f"x{i}" for i in f] for n, f in CLOSED_SETS.items()}
+    return rounded(plan.gaussian_ablation(feature_table(spark, sf), configs, "y"), ["accuracy", "recall_macro"])
 
 
 @query("streaming_composite", with_ctes(OBS, COMP, body="""

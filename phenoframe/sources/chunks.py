@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import csv
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from phenoframe.operators.align import merge_chunks
+from phenoframe.scale.bounds import materialised
 from phenoframe.schemas import BANDS, FEATURE, MASK, N_STEPS
 
 # Descriptive columns and their types.
@@ -80,22 +87,56 @@ def csv_schema(header: list[str]) -> T.StructType:
     return T.StructType([T.StructField(c, kind(c)) for c in header])
 
 
-def read_chunks(spark: SparkSession, glob: str, order: str | None = None) -> list[DataFrame]:
-    """One DataFrame per chunk family: the files of a glob that share a header, by name.
+HEAD_BYTES = 1 << 20  # a longer header is read by Spark
 
-    ``order`` names a column that is added with each row's file and place in it.
+
+def _first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first line of each file, null where this process cannot open the store it is in."""
+    for batch in batches:
+        lines = []
+        for path in batch.column(0).to_pylist():
+            try:
+                url = re.sub("^file:/+", "file:///", path)
+                system, name = fs.FileSystem.from_uri(url)
+                with system.open_input_stream(name, compression=None) as file:
+                    head = file.read(HEAD_BYTES)
+                line, *more = head.split(b"\n", 1)
+                lines.append(line.decode().rstrip("\r") if more or len(head) < HEAD_BYTES else None)
+            except (OSError, ValueError, NotImplementedError):
+                lines.append(None)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lines, pa.string())], ["path", "line"])
+
+
+def header_families(spark: SparkSession, glob: str) -> dict[tuple[str, ...], list[str]]:
+    """Files of a glob by header, from one distributed job however many files there are.
+
+    Tasks read the head of each file. Files in a store that only Spark opens are scanned as text once.
     """
     try:
-        files = spark.read.format("binaryFile").load(glob).select("path").orderBy("path")
-        paths = [r["path"] for r in files.toLocalIterator()]
+        paths = spark.read.format("binaryFile").load(glob).select("path")
     except AnalysisException as error:
         raise FileNotFoundError(f"no CSV found for {glob}") from error
-    if not paths:
+    heads = materialised(paths.mapInArrow(_first_lines, "path string, line string"))
+    unread = heads.where("line IS NULL").select("path")
+    if not unread.isEmpty():
+        text = spark.read.text(glob).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), "value")
+        lines = text.withColumn("n", F.monotonically_increasing_id()).where("at = 0")
+        first = lines.groupBy("path").agg(F.min_by("value", "n").alias("line"))
+        heads = heads.where("line IS NOT NULL").unionByName(first.join(unread, "path", "left_semi"))
+    grouped = heads.groupBy("line").agg(F.array_sort(F.collect_list("path")).alias("paths")).collect()
+    header = lambda line: tuple(next(csv.reader([line.removeprefix("\ufeff")])))
+    families = {header(r["line"]): r["paths"] for r in grouped if r["line"]}
+    return dict(sorted(families.items(), key=lambda f: f[1][0]))
+
+
+def read_chunks(spark: SparkSession, glob: str, order: str | None = None) -> list[DataFrame]:
+    """One DataFrame per chunk family: the files of a glob that share a header, by name.
+
+    ``order`` names a column that is added with each row's file and place in it.
+    """
+    families = header_families(spark, glob)
+    if not families:
         raise FileNotFoundError(f"no CSV found for {glob}")
-    families: dict[tuple[str, ...], list[str]] = {}
-    for path in paths:
-        header = tuple(spark.read.option("header", True).csv(path).columns)
-        families.setdefault(header, []).append(path)
     place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
     frames = []
     for header, group in families.items():

@@ -171,3 +171,21 @@ def test_first_rows_of_repeated_keys(spark, tmp_path):
     assert tuple(got["l"][c] for c in ("crop_label", "B2_t0", "m_t0", "B2_t1")) == (2, None, 1, None)
     assert tuple(got["m"][c] for c in ("crop_label", "B2_t0", "m_t0", "B2_t1")) == (5, 8.5, 0, 0.5)
     assert tuple(got["n"][c] for c in ("crop_label", "B2_t0", "m_t0", "B2_t1")) == (6, None, 0, 3.0)
+
+
+def test_headers_take_one_job_for_any_number_of_files(spark, tmp_path):
+    for i in range(90):
+        head = "system:index,B2_t0" if i % 3 else 'system:index,"B2_t1",note'
+        (tmp_path / f"c{i:02d}.csv").write_text(f"{head}\r\nk{i},1,x\n" if i % 2 else f"{head}\n")
+    (tmp_path / "empty.csv").write_text("")
+    context, seen = spark.sparkContext, []
+    for n in ("c[0-3]*.csv", "*.csv"):  # Spark lists more than 32 files with a job
+        context.setJobGroup(f"headers-{n}", n)
+        families = chunks.header_families(spark, f"file:{tmp_path}/{n}")
+        seen.append(len(context.statusTracker().getJobIdsForGroup(f"headers-{n}")))
+        assert set(families) == {("system:index", "B2_t0"), ("system:index", "B2_t1", "note")}
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert seen[0] == seen[1]
+    assert sum(map(len, families.values())) == 90
+    frames = chunks.read_chunks(spark, f"file:{tmp_path}/*.csv")
+    assert sorted(f.count() for f in frames) == [15, 30]
