@@ -32,10 +32,10 @@ LIKE = {  # what a further entity of a kind must look like
 }
 CONTEXT = 80  # characters looked at on either side
 LONGEST = 64  # characters of an instance
-SUPPORT = 3  # known instances a pattern needs
+SUPPORT = 3  # known or accepted instances a pattern needs
 CONFIDENT = 0.7  # share of known instances in a pattern that counts
 ACCEPTED = 0.8
-TURNS = 3
+TURNS = 3  # at least
 SPAN = "array<struct<start:bigint,rank:int,end:bigint>>"
 
 
@@ -177,27 +177,42 @@ def free_tokens(found: DataFrame) -> DataFrame:
     )
 
 
+def lookalikes(scored: DataFrame) -> DataFrame:
+    """``(_i, rank)`` of the instances that score enough and look like their kind."""
+    like = F.lit(False)
+    for rank, kind in enumerate(KINDS):
+        like = like | ((F.col("rank") == rank) & F.col("_i").rlike(LIKE[kind]))
+    best = F.min(F.struct(-F.col("score"), "rank")).alias("best")
+    return scored.where((F.col("score") >= ACCEPTED) & like).groupBy("_i").agg(best).select("_i", F.col("best.rank").alias("rank"))
+
+
 def further_entities(found: DataFrame) -> DataFrame:
-    """``(key, start, end, rank)`` of the entities that contextual patterns discover."""
+    """``(key, start, end, rank)`` of the entities that contextual patterns discover.
+
+    Accepted instances support patterns like seeds do, so that patterns are learnt from what
+    patterns have found. Scores only grow, and the turns end when neither the confident patterns
+    nor the accepted instances get more.
+    """
     e = F.col("e")
     seeds = found.select(F.explode("entities").alias("e")).select(
         F.lower(e["value"]).alias("instance"), e["rank"].alias("rank"), e["left"].alias("left"), e["right"].alias("right")
     )
     free = materialised(free_tokens(found).withColumn("instance", F.lower("value")))
-    known = materialised(seeds.select("instance", "rank").distinct())
+    known = materialised(seeds.select(F.col("instance").alias("_i"), "rank").distinct())
     seen = seeds.select("instance", "left", "right").union(free.select("instance", "left", "right"))
     edges = materialised(seen.select("instance", F.explode(contexts(F.col("left"), F.col("right"))).alias("pattern")).distinct())
-    known_ids = known.select(F.col("instance").alias("_i")).distinct()
-    usable = materialised(
-        edges.join(known_ids, edges["instance"] == F.col("_i"), "left")
-        .groupBy(F.col("pattern").alias("_p"))
-        .agg(F.count("_i").alias("known"), F.count(F.lit(1)).alias("total"))
-        .where(F.col("known") >= SUPPORT)
-        .select("_p", "total")
-    )
-    graph = materialised(edges.join(usable, edges["pattern"] == usable["_p"]).select("instance", "pattern", "total"))
-    scores = known.select(F.col("instance").alias("_i"), "rank", F.lit(1.0).alias("score"))
-    for _ in range(TURNS):
+    scores, accepted = known.withColumn("score", F.lit(1.0)), known.limit(0)
+    size, turn = None, 0
+    while True:
+        sure = known.union(accepted).select("_i").distinct()
+        usable = materialised(
+            edges.join(sure, edges["instance"] == F.col("_i"), "left")
+            .groupBy(F.col("pattern").alias("_p"))
+            .agg(F.count("_i").alias("known"), F.count(F.lit(1)).alias("total"))
+            .where(F.col("known") >= SUPPORT)
+            .select("_p", "total")
+        )
+        graph = materialised(edges.join(usable, edges["pattern"] == usable["_p"]).select("instance", "pattern", "total"))
         patterns = materialised(
             graph.join(scores, graph["instance"] == scores["_i"])
             .groupBy(F.col("pattern").alias("_p"), "rank")
@@ -209,19 +224,13 @@ def further_entities(found: DataFrame) -> DataFrame:
             .groupBy(F.col("instance").alias("_i"), "rank")
             .agg((1 - F.exp(F.sum(F.log(1 - F.col("share"))))).alias("score"))
         )
-        guessed = materialised(held.join(known.select(F.col("instance").alias("_k")).distinct(), F.col("_i") == F.col("_k"), "left_anti"))
-        scores = known.select(F.col("instance").alias("_i"), "rank", F.lit(1.0).alias("score")).union(
-            guessed.select("_i", "rank", "score")
-        )
-    like = F.lit(False)
-    for rank, kind in enumerate(KINDS):
-        like = like | ((F.col("rank") == rank) & F.col("_i").rlike(LIKE[kind]))
-    accepted = materialised(
-        guessed.where((F.col("score") >= ACCEPTED) & like)
-        .groupBy("_i")
-        .agg(F.min(F.struct(-F.col("score"), "rank")).alias("best"))
-        .select("_i", F.col("best.rank").alias("rank"))
-    )
+        guessed = materialised(held.join(known.select(F.col("_i").alias("_k")).distinct(), F.col("_i") == F.col("_k"), "left_anti"))
+        accepted, turn = materialised(lookalikes(guessed)), turn + 1
+        now = (patterns.count(), accepted.count())
+        if now == size and turn >= TURNS or guessed.isEmpty():
+            break
+        size = now
+        scores = known.withColumn("score", F.lit(1.0)).union(guessed.select("_i", "rank", "score"))
     return free.join(accepted, free["instance"] == accepted["_i"]).select("key", "start", "end", "rank")
 
 

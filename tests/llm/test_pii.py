@@ -96,3 +96,17 @@ def test_redaction_and_edge_cases(spark):
     assert texts[2] is None and texts[None] == "" and texts[4] == "[EMAIL] " * 3000 and texts[5] == "nothing"
     assert "x [EMAIL] [IP].[IP]." in texts[3]
     assert pii.redact(df.where("false")).collect() == []
+
+
+def test_discovered_entities_teach_new_patterns(spark):
+    rows = [f"please call desk +1555010{i:04d} today again" for i in range(40)]
+    rows += [f"please call desk 555-0200-{i:02d} today again" for i in range(10)]
+    rows += [f"or reach hotline 555-0200-{i:02d} now and here" for i in range(10)]
+    rows += [f"or reach hotline 555-0300-{i:02d} now and here" for i in range(2)]  # second generation
+    rows += [f"ask bureau {n} soon please" for n in [f"555-0200-{i:02d}" for i in range(9)] + ["555-0300-00", "555-0300-01", "555-0400-00"]]  # third
+    rows += ["the part 555-0900-00 fits", "order 12 of 2021"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    found = pii.entity_spans(df).select("row.doc_id", "base", "spans").collect()
+    added = {r["doc_id"]: [rows[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"]] for r in found if len(r["spans"]) > len(r["base"])}
+    assert {i for i in range(40, 74)} == set(added)
+    assert added[60] == ["555-0300-00"] and added[61] == ["555-0300-01"] and added[73] == ["555-0400-00"]
