@@ -86,8 +86,15 @@ def index_documents(index: DataFrame) -> DataFrame:
     )
 
 
+CANDIDATES = 1 << 20  # places tried at once; a window with more in a block is tried alone
+
+
 class Phrases:
-    """Windows of ``width`` words over items; a shorter item is one window."""
+    """Different windows of ``width`` words over items; a shorter item is one window.
+
+    Windows with the same words are searched once; ``item[of[w] : of[w + 1]]`` are the items that hold
+    window ``w``.
+    """
 
     def __init__(self, texts: pa.Array, width: int):
         flat, starts = text_bytes(texts)
@@ -95,18 +102,38 @@ class Phrases:
         self.terms, words = np.unique(hashes, return_inverse=True)
         n = np.diff(first)
         windows = np.where(n > 0, np.maximum(n - width + 1, 1), 0)
-        self.item = np.repeat(np.arange(len(n)), windows)
-        self.length = np.minimum(n, width)[self.item]
-        self.places = np.arange(int(self.length.max(initial=0)))
-        at = ranges(first[:-1], windows)[:, None] + self.places[None, :]
-        used = self.places[None, :] < self.length[:, None]
-        self.words = np.where(used, words[np.minimum(at, max(0, len(words) - 1))] if len(words) else 0, -1)
+        item = np.repeat(np.arange(len(n)), windows)
+        length = np.minimum(n, width)[item]
+        places = np.arange(int(length.max(initial=0)))
+        at = ranges(first[:-1], windows)[:, None] + places[None, :]
+        used = places[None, :] < length[:, None]
+        every = np.where(used, words[np.minimum(at, max(0, len(words) - 1))] if len(words) else 0, -1)
+        self.words, which = np.unique(every, axis=0, return_inverse=True) if len(every) else (every, item)
+        self.length = (self.words >= 0).sum(axis=1)
+        held = np.unique(np.stack([which.reshape(-1), item], axis=1), axis=0)
+        self.item, self.of = held[:, 1], np.searchsorted(held[:, 0], np.arange(len(self.words) + 1))
+
+    def holders(self, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each window's items, and the places of the windows they are of."""
+        size = self.of[window + 1] - self.of[window]
+        return self.item[ranges(self.of[window], size)], np.repeat(np.arange(len(window)), size)
+
+
+def united(group: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the joined spans of each group begin and how they end, for spans sorted by start."""
+    if not len(start):
+        return np.empty(0, np.int64), end
+    other = np.concatenate([[False], group[1:] != group[:-1]])
+    lift = np.cumsum(other) * (int(end.max()) - int(min(0, end.min())) + 1)
+    reach = np.maximum.accumulate(end + lift) - lift  # the greatest end so far in the group
+    at = np.flatnonzero(np.concatenate([[True], other[1:] | (start[1:] > reach[:-1])]))
+    return at, reach[np.append(at[1:], len(start)) - 1]
 
 
 def search(phrases: Phrases, terms, counts, positions, first, slop: int):
     """Windows, starts and documents of a block's matches."""
     none = np.empty(0, np.int64)
-    if not len(terms) or not len(phrases.item):
+    if not len(terms) or not len(phrases.words):
         return none, none, none
     at = np.minimum(np.searchsorted(terms, phrases.terms), len(terms) - 1)
     known = terms[at] == phrases.terms
@@ -121,6 +148,19 @@ def search(phrases: Phrases, terms, counts, positions, first, slop: int):
     window = np.flatnonzero(length.min(axis=1) > 0)
     order = np.argsort(length[window], axis=1, kind="stable")
     word = np.take_along_axis(phrases.words[window], order, axis=1)
+    every = np.cumsum(size[word[:, 0]]) if len(window) else none
+    found, low = [], 0
+    while low < len(window):
+        reached = every[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(every, reached + CANDIDATES, side="right")))
+        some = slice(low, high)
+        found.append(candidates(window[some], order[some], word[some], size, lists, lists_begin, first, slop))
+        low = high
+    return tuple(np.concatenate(c) for c in zip(*found)) if found else (none, none, none)
+
+
+def candidates(window, order, word, size, lists, lists_begin, first, slop: int):
+    """Matches of some windows: places of the rarest word at which all others stand."""
     anchor = word[:, 0]
     n = size[anchor]
     start = (lists[ranges(lists_begin[anchor], n)] & 0xFFFFFFFF) - np.repeat(order[:, 0], n)
@@ -149,6 +189,7 @@ def phrase_matches(
     width: int = WINDOW,
     slop: int = 0,
     chunk_bytes: int = CHUNK_BYTES,
+    merged: bool = False,
 ) -> DataFrame:
     """``(block, ordinal, doc_id, item_id, length, starts)``: where windows of items occur.
 
@@ -157,22 +198,24 @@ def phrase_matches(
     word may stand up to that many words off its place relative to the window's rarest word
     (a start before the document's first word is then negative). Items without words match
     nothing. Items go to the tasks in chunks of about ``chunk_bytes`` of text, one pass over
-    the index per chunk, so their number is not limited.
+    the index per chunk, so their number is not limited. With ``merged`` the occurrences of an
+    item that touch are one: ``starts`` are the places where they begin and ``ends`` where they end.
     """
     spark = index.sparkSession
     named = items.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text"))
+    named = materialised(named.withColumn("row", F.monotonically_increasing_id()))  # equal rows differ
     total = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = -(-total // chunk_bytes)
-    chunk = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, chunks)))
+    chunk = F.pmod(F.xxhash64("row"), F.lit(max(1, chunks)))
     id_kind = index.schema["ids"].dataType.elementType.simpleString()
     item_kind = named.schema["item_id"].dataType.simpleString()
     schema = (
         f"block bigint, ordinal int, doc_id {id_kind}, item_id {item_kind}, length int, "
-        "starts array<int>"
+        "starts array<int>" + ", ends array<int>" * merged
     )
     parts = []
     for k in range(chunks):
-        rows = named.where(chunk == k).toArrow()
+        rows = named.where(chunk == k).drop("row").toArrow()
         sent = spark.sparkContext.broadcast(rows.combine_chunks())
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -194,26 +237,37 @@ def phrase_matches(
                         first,
                         slop,
                     )
-                    item, start = phrases.item[window], start - first[doc]
+                    start = start - first[doc]
+                    if merged:  # repeated words first, before windows become items
+                        order = np.lexsort((start, window, doc))
+                        doc, window, start = doc[order], window[order], start[order]
+                        at, end = united(doc * len(phrases.words) + window, start, start + phrases.length[window])
+                        doc, window, start = doc[at], window[at], start[at]
+                    else:
+                        end = start + phrases.length[window]
+                    item, of = phrases.holders(window)
+                    doc, window, start, end = doc[of], window[of], start[of], end[of]
                     order = np.lexsort((start, item, doc))
-                    doc, item, start, window = doc[order], item[order], start[order], window[order]
+                    doc, item, start, end, window = doc[order], item[order], start[order], end[order], window[order]
+                    if merged:
+                        at, end = united(doc * len(names) + item, start, end)
+                        doc, item, start, window = doc[at], item[at], start[at], window[at]
                     change = np.ones(len(doc), bool)
                     change[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
                     change = np.flatnonzero(change)
                     ids = batch.column("ids")[i].values
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "block": pa.array(np.full(len(change), batch.column("block")[i].as_py())),
-                            "ordinal": pa.array(doc[change].astype(np.int32)),
-                            "doc_id": ids.take(pa.array(doc[change])),
-                            "item_id": names.take(pa.array(item[change])),
-                            "length": pa.array(phrases.length[window[change]].astype(np.int32)),
-                            "starts": pa.ListArray.from_arrays(
-                                pa.array(np.append(change, len(doc)).astype(np.int32)),
-                                pa.array(start.astype(np.int32)),
-                            ),
-                        }
-                    )
+                    cuts = pa.array(np.append(change, len(doc)).astype(np.int32))
+                    row = {
+                        "block": pa.array(np.full(len(change), batch.column("block")[i].as_py())),
+                        "ordinal": pa.array(doc[change].astype(np.int32)),
+                        "doc_id": ids.take(pa.array(doc[change])),
+                        "item_id": names.take(pa.array(item[change])),
+                        "length": pa.array(phrases.length[window[change]].astype(np.int32)),
+                        "starts": pa.ListArray.from_arrays(cuts, pa.array(start.astype(np.int32))),
+                    }
+                    if merged:
+                        row["ends"] = pa.ListArray.from_arrays(cuts, pa.array(end.astype(np.int32)))
+                    yield pa.RecordBatch.from_pydict(row)
 
         parts.append(map_text(index, run, schema))
     if not parts:
@@ -255,10 +309,8 @@ def decontaminate(
     result reads it until it has been written itself.
     """
     index = build_index(docs, id_col, text_col, folder)
-    matches = phrase_matches(index, items, item_col, item_text_col, width)
-    spans = F.transform(
-        "starts", lambda s: F.struct(s.alias("s"), (s + F.col("length")).alias("e"))
-    )
+    matches = phrase_matches(index, items, item_col, item_text_col, width, merged=True)
+    spans = F.zip_with("starts", "ends", lambda s, e: F.struct(s.alias("s"), e.alias("e")))
     found = (
         matches.select("block", "ordinal", F.col("item_id").cast("string").alias("item"), spans.alias("spans"))
         .groupBy("block", "ordinal")

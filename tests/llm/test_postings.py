@@ -1,8 +1,10 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from phenoframe.llm import postings
 from phenoframe.llm.text import text_bytes, word_hashes, word_spans
@@ -72,3 +74,37 @@ def test_word_hashes_of_long_words():
     h = word_hashes(flat, begins, ends)
     assert first.tolist() == [0, 4, 4, 5] and h[0] == h[2] == h[4] and h[1] == h[3] != h[0]
     assert len(np.unique(h)) == 2
+
+
+def test_repeated_words_stay_small(spark):
+    doc = "same " * 20_000 + "other words " * 50
+    items = [(i, "same " * (400 + i)) for i in range(6)] + [(6, "same " * 400), (6, "same " * 400), (7, "other words " * 9), (8, "same")]
+    rows = [(1, doc), (2, "same " * 9), (3, "x same y"), (4, "a b " + "same " * 11 + "b")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = postings.decontaminate(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    want = brute([(i, t) for i, t in rows], items)
+    assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in got} == {i: (n, h, sorted(map(str, its))) for i, (n, h, its, _) in want.items()}
+    phrases = postings.Phrases(pa.array([t for _, t in items]), 10)
+    assert len(phrases.words) == 4 and phrases.holders(np.arange(4))[0].size == 8 + 2 + 1
+    tracemalloc.start()
+    hashes, first = postings.term_stream(*postings.text_bytes(pa.array([doc])))
+    order = np.argsort(hashes, kind="stable")
+    terms, counts = np.unique(hashes, return_counts=True)
+    postings.search(phrases, terms, counts, order, first, 0)
+    assert tracemalloc.get_traced_memory()[1] < 50 << 20
+    tracemalloc.stop()
+
+
+@pytest.mark.parametrize("limit", [1, 7, 1 << 20])
+def test_blocks_of_candidates_do_not_change_matches(spark, monkeypatch, limit):
+    monkeypatch.setattr(postings, "CANDIDATES", limit)
+    rng = random.Random(limit)
+    texts = pa.array([" ".join(rng.choice("abc") for _ in range(40)) for _ in range(8)])
+    phrases = postings.Phrases(pa.array(["a b a", "c", "b b", "a b a c"]), 3)
+    hashes, first = postings.term_stream(*postings.text_bytes(texts))
+    terms, counts = np.unique(hashes, return_counts=True)
+    window, start, doc = postings.search(phrases, terms, counts, np.argsort(hashes, kind="stable"), first, 0)
+    words = {int(t): w for w in "abc" for t in postings.term_stream(*postings.text_bytes(pa.array([w])))[0]}
+    named = [[words[int(phrases.terms[x])] for x in row if x >= 0] for row in phrases.words]
+    want = {(w, int(first[d]) + i, d) for d, t in enumerate(texts.to_pylist()) for w, p in enumerate(named) for i in range(len(t.split()) - len(p) + 1) if t.split()[i : i + len(p)] == p}
+    assert set(zip(window.tolist(), start.tolist(), doc.tolist())) == want and len(window) == len(want)
