@@ -27,8 +27,12 @@ def remap_dense(df: DataFrame, code: str, codes: DataFrame) -> DataFrame:
 def lookup_class(
     df: DataFrame, code: str, mapping: DataFrame, value: str, unknown: int = -1, drop_unknown: bool = False
 ) -> DataFrame:
-    """Class of a code from a mapping table, ``unknown`` where it is not listed."""
-    joined = df.join(mapping, code, "left").withColumn(value, F.coalesce(F.col(value), F.lit(unknown)))
+    """Class of a code from a mapping table, ``unknown`` where it is not listed.
+
+    A mapping of at most 10,000 rows becomes a local relation, so that frequent codes do not meet
+    in one task; a larger one is joined by code.
+    """
+    joined = df.join(small_table(mapping), code, "left").withColumn(value, F.coalesce(F.col(value), F.lit(unknown)))
     return joined.where(F.col(value) != unknown) if drop_unknown else joined
 
 

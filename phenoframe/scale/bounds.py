@@ -46,11 +46,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 @contextmanager
 def scratch(spark: SparkSession, name: str):
-    """A folder for tables that nothing reads after the block; it is deleted at its end."""
+    """A folder for tables that nothing reads after the block; it is deleted at its end, however it ends."""
     folder = new_folder(spark, name)
-    yield folder
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    try:
+        yield folder
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialised(df: DataFrame, folder: str | None = None) -> DataFrame:

@@ -231,6 +231,12 @@ def test_scratch_folder_is_deleted(spark):
         assert materialised(spark.range(3), folder).count() == 3
     with pytest.raises(Exception):
         spark.read.parquet(folder)
+    with pytest.raises(ZeroDivisionError):
+        with scratch(spark, "tmp") as folder:
+            materialised(spark.range(3), folder)
+            1 / 0
+    with pytest.raises(Exception):
+        spark.read.parquet(folder)
 
 
 def test_row_ranks_share_ties_across_partitions(spark):
