@@ -31,7 +31,7 @@ from phenoframe.registry.sampling import _word, FILLED, TOTAL, filled_tensors
 from phenoframe.registry.statistics import LONG, covariates, split_samples
 from phenoframe.scale.bounds import new_folder
 from phenoframe.schemas import COVARIATES
-from phenoframe.streaming.composite import run_available, stream_composite
+from phenoframe.streaming.composite import late_bins, run_available, stream_composite
 
 N = 10
 FIRST_TEN = [[5.0 if i == k else 0.0 for i in range(64)] for k in range(N)]
@@ -206,7 +206,28 @@ def streaming_composite(spark, sf):
     composite = stream_composite(obs, ["pixel_id"], "obs_date", BANDS)
     out = new_folder(spark, "composites")
     run_available(composite, out, new_folder(spark, "progress")).awaitTermination()
-    return spark.read.schema(composite.schema).parquet(out).drop("bin_time")
+    return spark.read.schema(composite.schema).parquet(out).drop("bin_time", "observations")
+
+
+@query("streaming_late_rows", with_ctes(OBS, """timed AS (
+  SELECT pixel_id, scl, CAST(year(obs_date) AS INT) AS year, CAST(least((dayofyear(obs_date) - 1) // 10, 35) AS INT) AS bin
+  FROM obs WHERE scl <> 8),
+started AS (SELECT *, CAST(make_date(year, 1, 1) + 10 * bin AS DATE) AS day FROM timed),
+reached AS (SELECT max(day) - 20 AS day FROM started WHERE scl = 5)""", body="""
+SELECT pixel_id, year, bin, count(*) AS n_late FROM started
+WHERE scl = 4 AND day <= (SELECT day FROM reached) GROUP BY pixel_id, year, bin"""))
+def streaming_late_rows(spark, sf):
+    """Observations of scene class 4 arrive when those of class 5 have all been processed."""
+    source, out, progress = (new_folder(spark, n) for n in ("arrivals", "composites", "progress"))
+    rows = clear_scenes(observations(spark, sf))
+    for arrival in (5, 4):
+        rows.where(F.col("scl") == arrival).write.parquet(f"{source}/{arrival}")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{source}/*")
+        composite = stream_composite(stream, ["pixel_id"], "obs_date", BANDS)
+        run_available(composite, out, progress).awaitTermination()
+    made = spark.read.schema(composite.schema).parquet(out)
+    arrived = spark.read.schema(rows.schema).parquet(f"{source}/*")
+    return late_bins(arrived, made, ["pixel_id"], "obs_date").drop("bin_time")
 
 
 # One class per band: its score is the mean standardised value of the band over the year.

@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from phenoframe.functions.masks import finite_or_null
 from phenoframe.functions.temporal import bin_start, decadal_bin
-from phenoframe.operators.composite import any_value
 from phenoframe.schemas import N_STEPS, STEP_DAYS
 
+ROW = -1  # the entry that counts rows, beside the entries of the bands
+
+
+def timed_bins(
+    obs: DataFrame, keys: list[str], time_col: str, bands: list[str], n_bins: int, bin_days: int, tail: str
+) -> DataFrame:
+    """Observations with year, bin and the time their bin starts; rows without a bin are left out."""
+    number = decadal_bin(F.col(time_col), n_bins, bin_days, tail)
+    return obs.select(
+        *keys,
+        F.year(time_col).alias("year"),
+        number.alias("bin"),
+        bin_start(F.year(time_col), number, bin_days).cast("timestamp").alias("bin_time"),
+        *[finite_or_null(F.col(b)).alias(b) for b in bands],
+    ).where(F.col("bin").isNotNull())
+
 
 def stream_composite(
     obs: DataFrame, keys: list[str], time_col: str, bands: list[str], *,
@@ -19,23 +35,56 @@ def stream_composite(
 
     The bins restart each year, so the event time is the start of an observation's bin and
     not a fixed window. A bin is final when a bin that starts at least ``lateness`` after its
-    end has been seen; observations of final bins are dropped. State holds open bins only.
+    end has been seen; observations of final bins are left out, and :func:`late_bins` tells
+    where. ``observations`` is the number of rows a composite was made from.
+
+    State holds, for open bins only, how often each value of a band occurred, spread over all
+    tasks by value: a pixel that is seen very often keeps one entry per different value. The
+    median is taken from these counts when the bin closes.
     """
-    number = decadal_bin(F.col(time_col), n_bins, bin_days, tail)
-    rows = obs.select(
-        *keys,
-        F.year(time_col).alias("year"),
-        number.alias("bin"),
-        bin_start(F.year(time_col), number, bin_days).cast("timestamp").alias("bin_time"),
-        *[finite_or_null(F.col(b)).alias(b) for b in bands],
-    ).where(F.col("bin").isNotNull())
-    return (
+    rows = timed_bins(obs, keys, time_col, bands, n_bins, bin_days, tail)
+    bin_keys = [*keys, "year", "bin", "bin_time"]
+    entries = [F.struct(F.lit(ROW).alias("band"), F.lit(None).cast("double").alias("value"))]
+    entries += [F.struct(F.lit(i).alias("band"), F.col(b).cast("double").alias("value")) for i, b in enumerate(bands)]
+    known = F.filter(F.array(*entries), lambda e: (e["band"] == ROW) | e["value"].isNotNull())
+    counts = (
         rows.withWatermark("bin_time", f"{24 * bin_days} hours {lateness}")
-        .groupBy(*keys, "year", "bin", "bin_time")
-        .agg(*[F.median(b).alias(b) for b in bands], (F.count_if(any_value(bands)) > 0).alias("valid"))
+        .select(*bin_keys, F.explode(known).alias("_e"))
+        .groupBy(*bin_keys, F.col("_e.band").alias("_band"), F.col("_e.value").alias("_value"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
+    medians = [
+        F.percentile(F.when(F.col("_band") == i, F.col("_value")), 0.5, F.col("_n")).alias(b)
+        for i, b in enumerate(bands)
+    ]
+    total = F.sum(F.when(F.col("_band") == ROW, F.col("_n")))
+    return counts.groupBy(*bin_keys).agg(
+        *medians, (F.count_if(F.col("_band") != ROW) > 0).alias("valid"), total.alias("observations")
     )
 
 
+def late_bins(
+    obs: DataFrame, composites: DataFrame, keys: list[str], time_col: str, *,
+    lateness: str = "10 days", n_bins: int = N_STEPS, bin_days: int = STEP_DAYS, tail: str = "clamp",
+) -> DataFrame:
+    """Final bins that observations reached too late, with how many did: ``n_late``.
+
+    ``obs`` is the whole source as a batch and ``composites`` what the stream has made of it,
+    with equal parameters and after a run that left nothing unread. A bin all of whose rows
+    came late has no composite and is listed too. Null keys are keys like any other.
+    """
+    bin_keys = [*keys, "year", "bin", "bin_time"]
+    seen = timed_bins(obs, keys, time_col, [], n_bins, bin_days, tail)
+    micros = int((pd.Timedelta(days=bin_days) + pd.Timedelta(lateness)) / pd.Timedelta(microseconds=1))
+    reached = seen.agg(F.max(F.unix_micros("bin_time"))).scalar()
+    final = seen.where(F.unix_micros("bin_time") <= reached - micros)
+    counted = final.groupBy(*bin_keys).agg(F.count(F.lit(1)).alias("n_late"))
+    # what the composites hold is taken off the count: no join, so null keys meet as well
+    held = composites.select(*bin_keys, (-F.col("observations")).alias("n_late"))
+    left = counted.unionByName(held).groupBy(*bin_keys).agg(F.sum("n_late").alias("n_late"))
+    return left.where(F.col("n_late") > 0)
+
+
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Process what has arrived and append final composites to a Parquet folder."""
     return (

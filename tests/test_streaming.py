@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from phenoframe.operators.composite import decadal_composite
-from phenoframe.streaming.composite import run_available, stream_composite
+from phenoframe.streaming.composite import late_bins, run_available, stream_composite
 
 SCHEMA = "p int, d date, a double"
 
@@ -50,3 +50,32 @@ def test_late_rows_inside_the_grace_count(spark, tmp_path):
     assert step("one", [(1, "2021-01-09", 1.0), (1, "2021-01-11", 5.0)]) == set()
     assert step("two", [(1, "2021-01-10", 3.0)]) == set()
     assert step("three", [(1, "2021-01-21", 7.0)]) == {(0, 2.0)}
+
+
+def test_state_grows_with_different_values_only(spark, tmp_path):
+    source = tmp_path / "in"
+    arrive(spark, source, "one", [(1, "2021-06-01", float(i % 5)) for i in range(10_000)])
+    stream = spark.readStream.schema(SCHEMA).parquet(str(source / "*"))
+    query = run_available(stream_composite(stream, ["p"], "d", ["a"]), str(tmp_path / "out"), str(tmp_path / "progress"))
+    query.awaitTermination()
+    # five values and the count of rows, in the one open bin
+    assert sum(op["numRowsTotal"] for op in query.lastProgress["stateOperators"]) == 6
+
+
+def test_late_rows_are_reported_by_bin(spark, tmp_path):
+    source, out, progress = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "progress")
+    arrivals = [
+        [(1, "2021-01-02", 1.0), (1, "2021-01-02", 1.0), (None, "2021-01-03", 2.0), (1, "2021-03-20", 5.0), (3, None, 1.0)],
+        # two rows of a final bin, one of a bin that never had any, one of a null key, one in time, one not read as a value
+        [(1, "2021-01-04", 9.0), (1, "2021-01-05", float("nan")), (2, "2021-01-12", 4.0), (None, "2021-01-03", 7.0), (1, "2021-03-12", 6.0)],
+    ]
+    for name, rows in enumerate(arrivals):
+        arrive(spark, source, str(name), rows)
+        stream = spark.readStream.schema(SCHEMA).parquet(str(source / "*"))
+        run_available(stream_composite(stream, ["p"], "d", ["a"]), out, progress).awaitTermination()
+    made = spark.read.parquet(out)
+    assert {(r["p"], r["bin"], r["a"], r["observations"]) for r in made.collect()} == {(1, 0, 1.0, 2), (None, 0, 2.0, 1)}
+    late = late_bins(spark.read.schema(SCHEMA).parquet(str(source / "*")), made, ["p"], "d")
+    assert {(r["p"], r["year"], r["bin"], r["n_late"]) for r in late.collect()} == {(1, 2021, 0, 2), (2, 2021, 1, 1), (None, 2021, 0, 1)}
+    none = spark.read.schema(SCHEMA).parquet(str(source / "*")).where("false")
+    assert late_bins(none, made.where("false"), ["p"], "d").collect() == []
