@@ -10,7 +10,7 @@ from pyspark.sql import functions as F, types as T
 from phenoframe.functions.arrays import channel
 from phenoframe.functions.masks import finite_or_zero
 from phenoframe.operators.augment import mask_steps_and_jitter
-from phenoframe.operators.composite import monthly_radar, series_to_long
+from phenoframe.operators.composite import monthly_radar, radar_columns, series_to_long
 from phenoframe.operators.evaluate import evaluation
 from phenoframe.operators.filters import clear_scenes
 from phenoframe.operators.sampling import ratio_split
@@ -22,13 +22,13 @@ from phenoframe.plans.preparation import (
     align_modalities, prepare_scenes, prepare_table, standardise_modalities,
 )
 from phenoframe.registry.base import query, r, rounded, sr
-from phenoframe.registry.labelling import radar_obs
+from phenoframe.registry.labelling import MONTHS, radar_obs
 from phenoframe.registry.roles import (
     BANDS, COMP, DENSE, OBS, PIXEL, PRED, TENSOR, TENSOR_CHANNELS, TENSOR_STEPS, observations, observations_of, pixel_labels, pixels,
     samples,     table, tensors, with_ctes,
 )
 from phenoframe.registry.sampling import _word, FILLED, TOTAL, filled_tensors
-from phenoframe.registry.statistics import LONG, covariates, split_samples
+from phenoframe.registry.statistics import COV, LONG, covariates, split_samples
 from phenoframe.scale.bounds import new_folder
 from phenoframe.schemas import COVARIATES
 from phenoframe.streaming.composite import late_bins, run_available, stream_composite
@@ -116,22 +116,63 @@ def scene_preparation(spark, sf):
     return series_to_long(rows, ["pixel_id", "y"], BANDS)
 
 
-@query("multimodal_preparation")
-def multimodal_preparation(spark, sf):
+def standardised(spark, sf, statics):
     """Aligned and standardised modalities of every vector with a customer's covariates."""
     rows = tensors(spark, sf).select(F.col("vec_id").alias("id"), F.col("label").alias("y"), "series")
     filled = F.transform("series", lambda s: F.transform(s, finite_or_zero))
     rows = rows.withColumn("series", filled)
     cov = covariates(spark, sf)
     radar = monthly_radar(radar_obs(spark, sf), "id", "day", fallback="pixel")
-    statics = ["elevation", "clay", "temp_max"]
     aligned = align_modalities(
         rows, cov, statics, radar, n_in=TENSOR_STEPS, resample=12, mask_channel=True
     )
-    out = standardise_modalities(aligned, statics, channels=TENSOR_CHANNELS + 1)
+    return standardise_modalities(aligned, statics, channels=TENSOR_CHANNELS + 1)
+
+
+@query("multimodal_preparation")
+def multimodal_preparation(spark, sf):
+    """One row per vector with some of its standardised values."""
+    statics = ["elevation", "clay", "temp_max"]
+    out = standardised(spark, sf, statics)
     return out.select("id", "y", "split", "vv_01", "ratio_12", *statics, F.flatten("series")[0].alias("first_value"))
 
 
+# Every value of a vector under a name: resampled steps with their mask, radar months, covariates.
+VALUES = f"""cell AS (SELECT vec_id AS id, t, c, COALESCE(x, 0) AS x, x IS NOT NULL AS known FROM tensor),
+axis AS (SELECT k, CAST(least(floor(k * 15 / 11), 14) AS INT) AS i, k * 15 / 11 - least(floor(k * 15 / 11), 14) AS a,
+  (SELECT min_by(j, (abs(j / 15 - k / 11), j)) FROM range(16) n(j)) AS j FROM range(12) g(k)),
+named AS (
+  SELECT l.id, 's_' || k || '_' || l.c AS name, (1 - a) * l.x + a * h.x AS v
+  FROM axis JOIN cell l ON l.t = i JOIN cell h ON h.id = l.id AND h.c = l.c AND h.t = i + 1
+  UNION ALL SELECT id, 's_' || k || '_4', CAST(bool_or(known) AS INT) FROM axis JOIN cell ON cell.t = axis.j GROUP BY id, k
+  UNION ALL SELECT g.id, unnest(['ratio_', 'vh_', 'vv_']) || lpad(CAST(g.month AS VARCHAR), 2, '0'),
+    unnest([COALESCE(m.vh, g.vh) - COALESCE(m.vv, g.vv), COALESCE(m.vh, g.vh), COALESCE(m.vv, g.vv)])
+  FROM grid g LEFT JOIN monthly m ON m.id = g.id AND m.month = g.month
+  UNION ALL SELECT id, unnest({COVARIATES}), unnest([{', '.join(COVARIATES)}]) FROM cov),
+drawn AS (
+  SELECT vec_id AS id, label AS y, row_number() OVER (PARTITION BY label ORDER BY md5('42-' || vec_id), vec_id) AS rank,
+         count(*) OVER (PARTITION BY label) AS n
+  FROM embeddings WHERE vec_id IN (SELECT id FROM yearly) AND vec_id IN (SELECT id FROM cov)),
+parted AS (
+  SELECT id, y, CASE WHEN rank <= floor(n * CAST(0.15 AS DOUBLE) + 0.5) THEN 'test'
+    WHEN rank <= floor(n * CAST(0.3 AS DOUBLE) + 0.5) THEN 'val' ELSE 'train' END AS split FROM drawn),
+fitted AS (SELECT name, avg(v) AS mu, stddev_pop(v) AS sd FROM named JOIN parted USING (id) WHERE split = 'train' GROUP BY name)"""
+
+
+@query("multimodal_values", with_ctes(TENSOR, MONTHS.format(where=""), COV, VALUES, body=f"""
+SELECT id, y, split, name, {sr('(v - mu) / CASE WHEN sd = 0 THEN 1 ELSE sd END', 'value', 5)}
+FROM parted JOIN named USING (id) JOIN fitted USING (name)"""))
+def multimodal_values(spark, sf):
+    """Every standardised value of every vector: series steps, radar months and covariates."""
+    names = [*radar_columns(), *COVARIATES]
+    out = standardised(spark, sf, COVARIATES)
+    series = F.transform("series", lambda step, t: F.transform(step, lambda v, c: F.struct(
+        F.concat_ws("_", F.lit("s"), t, c).alias("name"), v.cast("double").alias("value"))))
+    plain = F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("value")) for n in names])
+    long = out.select("id", "y", "split", F.explode(F.concat(F.flatten(series), plain)).alias("e"))
+    return rounded(long.select("id", "y", "split", "e.*"), ["value"], 5)
+
+
 def feature_table(spark, sf):
     rows = table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("id"), F.col("label").alias("y"), F.col("embedding").cast("array<double>").alias("x")
