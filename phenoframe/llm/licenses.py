@@ -46,6 +46,28 @@ SENTENCES = {
     "bsd-names": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "mpl2-form": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "unlicense-free": "This is free and unencumbered software released into the public domain.",
+    "gpl2-free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "gpl2-only": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "lgpl2-free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl2-hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "lgpl3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl-details": "See the GNU Lesser General Public License for more details.",
+    "agpl3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl-details": "See the GNU Affero General Public License for more details.",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "0bsd-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "zlib-warranty": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-liability": "In no event will the authors be held liable for any damages arising from the use of this software.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "epl2-available": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "boost-notice": "Distributed under the Boost Software License, Version 1.0.",
+    "cddl-subject": 'The contents of this file are subject to the terms of the Common Development and Distribution License (the "License").',
+    "ofl-notice": "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    "postgresql-grant": "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies.",
+    "wtfpl-permitted": "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",
+    "perl-terms": "This is free software; you can redistribute it and/or modify it under the same terms as the Perl 5 programming language system itself.",
+    "bsd-advertising": "All advertising materials mentioning features or use of this software must display the following acknowledgement:",
+    "mit0-grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.',
 }
 # Rules as (name, licence, sentence identifiers in order).
 RULES = [
@@ -71,7 +93,50 @@ RULES = [
     ("bsd-3-clause-text", "bsd-3-clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names"]),
     ("mpl-2.0-notice", "mpl-2.0", ["mpl2-form"]),
     ("unlicense-notice", "unlicense", ["unlicense-free"]),
+    ("gpl-2.0-free", "gpl-2.0", ["gpl2-free"]),
+    ("gpl-2.0-only", "gpl-2.0", ["gpl2-only"]),
+    ("gpl-2.0-header", "gpl-2.0", ["gpl2-free", "gpl-hope", "gpl-details"]),
+    ("lgpl-2.1-free", "lgpl-2.1", ["lgpl2-free"]),
+    ("lgpl-2.1-header", "lgpl-2.1", ["lgpl2-free", "lgpl2-hope", "lgpl-details"]),
+    ("lgpl-3.0-free", "lgpl-3.0", ["lgpl3-free"]),
+    ("lgpl-3.0-header", "lgpl-3.0", ["lgpl3-free", "gpl-hope", "lgpl-details"]),
+    ("agpl-3.0-free", "agpl-3.0", ["agpl3-free"]),
+    ("agpl-3.0-header", "agpl-3.0", ["agpl3-free", "gpl-hope", "agpl-details"]),
+    ("isc-text", "isc", ["isc-grant"]),
+    ("0bsd-text", "0bsd", ["0bsd-grant"]),
+    ("zlib-text", "zlib", ["zlib-warranty", "zlib-liability", "zlib-grant"]),
+    ("epl-2.0-header", "epl-2.0", ["epl2-available"]),
+    ("bsl-1.0-notice", "bsl-1.0", ["boost-notice"]),
+    ("cddl-1.0-header", "cddl-1.0", ["cddl-subject"]),
+    ("ofl-1.1-notice", "ofl-1.1", ["ofl-notice"]),
+    ("postgresql-text", "postgresql", ["postgresql-grant"]),
+    ("wtfpl-text", "wtfpl", ["wtfpl-permitted"]),
+    ("artistic-1.0-perl-notice", "artistic-1.0-perl", ["perl-terms"]),
+    ("bsd-4-clause-text", "bsd-4-clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-advertising"]),
+    ("mit-0-text", "mit-0", ["mit0-grant"]),
 ]
+# Public licence identifiers with the name that notices use.
+NAMES = {
+    "MIT": "MIT License", "MIT-0": "MIT No Attribution License", "Apache-2.0": "Apache License 2.0",
+    "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License", "BSD-4-Clause": "BSD 4-Clause License",
+    "0BSD": "BSD Zero Clause License", "ISC": "ISC License", "Zlib": "zlib License", "BSL-1.0": "Boost Software License 1.0",
+    "GPL-2.0": "GNU General Public License v2.0", "GPL-3.0": "GNU General Public License v3.0",
+    "LGPL-2.1": "GNU Lesser General Public License v2.1", "LGPL-3.0": "GNU Lesser General Public License v3.0",
+    "AGPL-3.0": "GNU Affero General Public License v3.0", "MPL-1.1": "Mozilla Public License 1.1", "MPL-2.0": "Mozilla Public License 2.0",
+    "EPL-1.0": "Eclipse Public License 1.0", "EPL-2.0": "Eclipse Public License 2.0", "EUPL-1.2": "European Union Public Licence 1.2",
+    "CDDL-1.0": "Common Development and Distribution License 1.0", "Artistic-2.0": "Artistic License 2.0",
+    "Artistic-1.0-Perl": "Artistic License 1.0 (Perl)", "PostgreSQL": "PostgreSQL License", "NCSA": "University of Illinois/NCSA Open Source License",
+    "OFL-1.1": "SIL Open Font License 1.1", "MS-PL": "Microsoft Public License", "MS-RL": "Microsoft Reciprocal License",
+    "Unlicense": "Unlicense", "WTFPL": "Do What The F*ck You Want To Public License", "CC0-1.0": "Creative Commons Zero v1.0 Universal license",
+    "CC-BY-4.0": "Creative Commons Attribution 4.0 International license", "CC-BY-SA-4.0": "Creative Commons Attribution Share Alike 4.0 International license",
+    "CC-BY-NC-4.0": "Creative Commons Attribution Non Commercial 4.0 International license", "CC-BY-ND-4.0": "Creative Commons Attribution No Derivatives 4.0 International license",
+    "ODbL-1.0": "Open Data Commons Open Database License v1.0", "Python-2.0": "Python License 2.0", "PHP-3.01": "PHP License v3.01",
+    "Ruby": "Ruby License", "OSL-3.0": "Open Software License 3.0", "AFL-3.0": "Academic Free License v3.0", "ECL-2.0": "Educational Community License v2.0",
+    "LPPL-1.3c": "LaTeX Project Public License v1.3c", "MulanPSL-2.0": "Mulan Permissive Software License, Version 2", "BlueOak-1.0.0": "Blue Oak Model License 1.0.0",
+    "CECILL-2.1": "CeCILL Free Software License Agreement v2.1", "X11": "X11 License", "curl": "curl License", "Vim": "Vim License",
+}
+LEADS = {"project": "This project is licensed under the", "licensed": "Licensed under the", "released": "Released under the"}
+GNU = ("GPL", "LGPL", "AGPL")  # their tags say whether later versions are allowed
 
 KEPT = "[^a-z0-9.!?:\n]+"  # what becomes a space
 SENTENCE_END = "(?:[.!?:]+(?:[ \n]+|$))|\n *\n"
@@ -82,7 +147,14 @@ SHIELDS = [
     ("(license[ \n]+at)[ \n:]+https?:[ \n]*", "http"),
     ("(license[ \n]+v)[.][ \n]+(?=2[.]0)", ""),
     ("(program[ \n]+is[ \n]+free[ \n]+software):[ \n]+(?=you)", ""),
+    ("(is[ \n]+available[ \n]+at)[ \n:]+https?:[ \n]*", "http"),
+    ("(spdx license identifier): *", ""),
 ]
+TAG = "spdx-license-identifier:"
+TERM = "[a-z0-9.+-]+"  # a licence or an exception in a tag
+EXCEPT = f"(?:[ \t]+with[ \t]+{TERM})"
+# each licence of a compound tag gets a tag of its own; an exception is no licence
+COMPOUND = rf"({TAG}[ \t(]*|(?!\A)\G[(]*)({TERM}){EXCEPT}?[ \t)]+(?:or|and)[ \t]+"
 LIKELY = "licen|softw|copy|redis|mit |cc0|name of|in the hope"  # every known sentence has one
 
 
@@ -100,6 +172,29 @@ def shielded(sentence: str) -> str:
     return re.sub(INNER, " ", text)
 
 
+def add_named() -> None:
+    """Tags and one-line notices of every named licence, as sentences with a rule each."""
+    taken = {shielded(s) for s in SENTENCES.values()}
+    for tag, name in NAMES.items():
+        family = tag.split("-")[0] in GNU
+        texts = {f"tag{end}": f"{TAG} {tag}{end}" for end in ["", *(["-only", "-or-later"] if family else [])]}
+        texts |= {lead: f"{start} {name}." for lead, start in LEADS.items()}
+        for how, text in texts.items():
+            if shielded(text) not in taken:
+                SENTENCES[f"{tag.lower()}:{how}"] = text
+                RULES.append((f"{tag.lower()}-{how}", tag.lower(), [f"{tag.lower()}:{how}"]))
+
+
+add_named()
+
+
+def separate_tags(text: Column) -> Column:
+    """A lower-case text whose compound licence tags are cut into a tag per licence."""
+    single = F.regexp_replace(text, COMPOUND, f"$1$2\n{TAG} ")
+    plain = F.regexp_replace(single, rf"({TAG}[ \t(]*{TERM}){EXCEPT}", "$1")
+    return F.when(F.contains(text, F.lit(TAG)), plain).otherwise(text)
+
+
 def known_ids(flat: Column) -> Column:
     """Identifiers of the known sentences of a normalised text, in order."""
     table = {shielded(s): i for i, s in SENTENCES.items()}
@@ -127,22 +222,27 @@ def license_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     when its identifiers stand in a row there; a rule that is part of a longer matching rule of
     the same licence is left out. ``rules`` and ``licenses`` are sorted. Null and empty texts
     and texts without a rule have empty arrays; repeated rows and null ids stay; other columns
-    are ignored.
+    are ignored. Machine-readable tags count as sentences, each licence of a compound one for itself.
     """
-    flat = F.regexp_replace(F.lower(F.coalesce(text_col, F.lit(""))), KEPT, " ")
+    lower = F.lower(F.coalesce(text_col, F.lit("")))
+    flat = F.regexp_replace(separate_tags(lower), KEPT, " ")
     rows = docs.select(F.col(id_col).alias("doc_id"), flat.alias("_flat"))
     rows = rows.select("doc_id", known_ids(F.col("_flat")).alias("sentences"))
     rows = rows.withColumn("_line", F.concat(F.lit("|"), F.array_join("sentences", "|"), F.lit("|")))
     marked = {name: f"|{'|'.join(ids)}|" for name, _, ids in RULES}
-    found = []
-    for name, license_, ids in RULES:
-        longer = [n for n, l, other in RULES if l == license_ and n != name and marked[name] in marked[n]]
-        hit = F.contains("_line", F.lit(marked[name]))
-        for other in longer:
-            hit = hit & ~F.contains("_line", F.lit(marked[other]))
-        found.append(F.when(hit, F.struct(F.lit(name).alias("rule"), F.lit(license_).alias("license"))))
+    rules = []
+    for name, license_, _ in RULES:
+        longer = [marked[n] for n, l, _ in RULES if l == license_ and n != name and marked[name] in marked[n]]
+        longer = F.array(*map(F.lit, longer)).cast("array<string>")
+        rules.append(F.struct(F.lit(marked[name]).alias("ids"), longer.alias("longer"), F.lit(name).alias("rule"), F.lit(license_).alias("license")))
+
+    def holds(rule: Column) -> Column:
+        covered = F.exists(rule["longer"], lambda ids: F.contains("_line", ids))
+        return F.contains(F.col("_line"), rule["ids"]) & ~covered
+
+    hits = F.transform(F.filter(F.array(*rules), holds), lambda rule: F.struct(rule["rule"], rule["license"]))
     none = F.array().cast("array<struct<rule:string,license:string>>")
-    rows = rows.withColumn("_found", F.when(F.size("sentences") > 0, F.array_compact(F.array(*found))).otherwise(none))
+    rows = rows.withColumn("_found", F.when(F.size("sentences") > 0, hits).otherwise(none))
     return rows.select(
         "doc_id",
         "sentences",
@@ -156,7 +256,7 @@ def rule_sql() -> str:
 
     It takes either sentences or lines of a text and knows no marks inside sentences: texts
     with wrapped headers of the Apache, MPL and GPL licences, or with known sentences of both
-    sorts, have more rules in ``license_matches``.
+    sorts, and texts with tags have more rules in ``license_matches``.
     """
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     table = {normal_sentence(s): i for i, s in SENTENCES.items()}

@@ -91,3 +91,73 @@ def test_wrapped_headers_and_mixed_texts(spark):
 def test_every_known_sentence_passes_the_filter_and_is_not_cut():
     for text in map(licenses.shielded, S.values()):
         assert re.search(licenses.LIKELY, text) and not re.search(licenses.SENTENCE_END, text)
+
+
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+"""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented
+"""
+EPL = """This program and the accompanying materials are made
+available under the terms of the Eclipse Public License 2.0
+which is available at https://www.eclipse.org/legal/epl-2.0/
+"""
+
+
+def licenses_of(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    out = {r["doc_id"]: (r["rules"], r["licenses"]) for r in licenses.license_matches(df).collect()}
+    return [out[i] for i in range(len(texts))]
+
+
+def test_wrapped_texts_of_more_licences(spark):
+    agpl, gpl2 = GPL.replace("GNU General", "GNU Affero General").replace("GNU\nGeneral", "GNU\nAffero General"), GPL.replace("software: you", "software; you").replace("Foundation, either version 3", "Foundation; either version 2")
+    lgpl3 = GPL.replace("GNU General", "GNU Lesser General").replace("GNU\nGeneral", "GNU\nLesser General")
+    got = licenses_of(spark, [LGPL, ISC, ZLIB, EPL, agpl, gpl2, lgpl3, "/* " + LGPL.replace("\n", "\n * ") + "*/"])
+    assert got == [
+        (["lgpl-2.1-header"], ["lgpl-2.1"]), (["isc-text"], ["isc"]), (["zlib-text"], ["zlib"]), (["epl-2.0-header"], ["epl-2.0"]),
+        (["agpl-3.0-header"], ["agpl-3.0"]), (["gpl-2.0-header"], ["gpl-2.0"]), (["lgpl-3.0-header"], ["lgpl-3.0"]), (["lgpl-2.1-header"], ["lgpl-2.1"]),
+    ]
+
+
+def test_every_named_licence_by_tag_and_notice(spark):
+    assert len(licenses.NAMES) >= 40
+    tags = [f"#!/bin/sh\n# SPDX-License-Identifier: {tag}\nset -e" for tag in licenses.NAMES]
+    notices = [f"# Title\n\n## License\n\nThis project is licensed under the {name}\n" for name in licenses.NAMES.values()]
+    want = [[tag.lower()] for tag in licenses.NAMES]
+    assert [found for _, found in licenses_of(spark, tags)] == want
+    assert [found for _, found in licenses_of(spark, notices)] == want
+
+
+def test_compound_tags(spark):
+    tag = "// SPDX-License-Identifier: "
+    cases = {
+        "MIT OR Apache-2.0": ["apache-2.0", "mit"], "(MIT AND BSD-3-Clause) OR ISC": ["bsd-3-clause", "isc", "mit"],
+        "GPL-2.0-or-later": ["gpl-2.0"], "GPL-2.0-only WITH Classpath-exception-2.0": ["gpl-2.0"],
+        "GPL-2.0-only WITH Linux-syscall-note OR MIT": ["gpl-2.0", "mit"], "MIT-or-not": [], "": [], "Unheard-1.0 OR Zlib": ["zlib"],
+        "MIT and so on": ["mit"], " OR ".join(["MIT", "ISC", "Zlib", "X11", "Vim", "curl"]): ["curl", "isc", "mit", "vim", "x11", "zlib"],
+    }
+    assert [found for _, found in licenses_of(spark, [tag + c + "\ncode" for c in cases])] == list(cases.values())
+    two = tag + "MIT OR ISC\nfirst or second\n" + tag + "Zlib\n"
+    assert licenses_of(spark, [two, "mit or isc", "x " + tag + "MIT"]) == [(["isc-tag", "mit-tag", "zlib-tag"], ["isc", "mit", "zlib"]), ([], []), ([], [])]
