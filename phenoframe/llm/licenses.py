@@ -142,13 +142,14 @@ KEPT = "[^a-z0-9.!?:\n]+"  # what becomes a space
 SENTENCE_END = "(?:[.!?:]+(?:[ \n]+|$))|\n *\n"
 EDGES = "^[ .!?:\n]+|[ .!?:\n]+$"
 INNER = "[ \n]+"
-# marks inside known sentences that would cut them, in normalised text
+# marks inside known sentences that would cut them, in normalised text: the mark, what it becomes,
+# and a word that texts with the mark hold
 SHIELDS = [
-    ("(license[ \n]+at)[ \n:]+https?:[ \n]*", "http"),
-    ("(license[ \n]+v)[.][ \n]+(?=2[.]0)", ""),
-    ("(program[ \n]+is[ \n]+free[ \n]+software):[ \n]+(?=you)", ""),
-    ("(is[ \n]+available[ \n]+at)[ \n:]+https?:[ \n]*", "http"),
-    ("(spdx license identifier): *", ""),
+    ("(license[ \n]+at)[ \n:]+https?:[ \n]*", "http", "http"),
+    ("(license[ \n]+v)[.][ \n]+(?=2[.]0)", "", "2.0"),
+    ("(program[ \n]+is[ \n]+free[ \n]+software):[ \n]+(?=you)", "", "software:"),
+    ("(is[ \n]+available[ \n]+at)[ \n:]+https?:[ \n]*", "http", "http"),
+    ("(spdx license identifier): *", "", "spdx license identifier:"),
 ]
 TAG = "spdx-license-identifier:"
 TERM = "[a-z0-9.+-]+"  # a licence or an exception in a tag
@@ -167,7 +168,7 @@ def normal_sentence(sentence: str) -> str:
 def shielded(sentence: str) -> str:
     """The normalised form of one sentence without marks that cut."""
     text = normal_sentence(sentence)
-    for mark, put in SHIELDS:
+    for mark, put, _ in SHIELDS:
         text = re.sub(mark, rf"\1 {put} ", text)
     return re.sub(INNER, " ", text)
 
@@ -196,7 +197,7 @@ def separate_tags(text: Column) -> Column:
 
 
 def known_ids(flat: Column) -> Column:
-    """Identifiers of the known sentences of a normalised text, in order."""
+    """Identifiers of the known sentences of a normalised text with shielded marks, in order."""
     table = {shielded(s): i for i, s in SENTENCES.items()}
     names = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
     widest = max(map(len, table)) + 200
@@ -206,13 +207,14 @@ def known_ids(flat: Column) -> Column:
         clean = F.transform(likely, lambda s: F.regexp_replace(F.regexp_replace(s, EDGES, ""), INNER, " "))
         return F.transform(F.filter(clean, lambda s: s.isin(*table)), lambda s: names[s])
 
-    for mark, put in SHIELDS:
-        flat = F.regexp_replace(flat, mark, f"$1 {put} ")
     sentences = F.filter(F.split(flat, SENTENCE_END, -1), lambda s: s.rlike(LIKELY))
     whole = lambda s: named(F.array(s))
-    return F.flatten(
-        F.transform(sentences, lambda s: F.when(F.size(whole(s)) > 0, whole(s)).otherwise(named(F.split(s, "\n", -1))))
-    )
+
+    def of_sentence(s: Column) -> Column:
+        lines = named(F.split(s, "\n", -1))
+        return F.flatten(F.transform(F.array(whole(s)), lambda w: F.when(F.size(w) > 0, w).otherwise(lines)))
+
+    return F.flatten(F.transform(sentences, of_sentence))
 
 
 def license_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,6 +229,9 @@ def license_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lower = F.lower(F.coalesce(text_col, F.lit("")))
     flat = F.regexp_replace(separate_tags(lower), KEPT, " ")
     rows = docs.select(F.col(id_col).alias("doc_id"), flat.alias("_flat"))
+    for mark, put, word in SHIELDS:
+        free = F.regexp_replace("_flat", mark, f"$1 {put} ")
+        rows = rows.withColumn("_flat", F.when(F.contains("_flat", F.lit(word)), free).otherwise(F.col("_flat")))
     rows = rows.select("doc_id", known_ids(F.col("_flat")).alias("sentences"))
     rows = rows.withColumn("_line", F.concat(F.lit("|"), F.array_join("sentences", "|"), F.lit("|")))
     marked = {name: f"|{'|'.join(ids)}|" for name, _, ids in RULES}
