@@ -55,3 +55,9 @@ def in_top(proba: Column, y: Column, k: int = 2) -> Column:
     """True class among the ``k`` best: fewer than ``k`` classes score higher."""
     own = F.get(proba, y)
     return F.size(F.filter(proba, lambda p: p > own)) < k
+
+
+def class_name(y: Column, names: dict[int, str]) -> Column:
+    """Name of a class for reports; ``Class 7`` for a class without one, null for a null class."""
+    known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, y.cast("int")), F.concat(F.lit("Class "), y.cast("string")))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from phenoframe.functions import masks
 from phenoframe.functions.arrays import channel
+from phenoframe.functions.labels import class_name
 from phenoframe.functions.spectral import ndvi
 from phenoframe.operators import audit, scaling
 from phenoframe.operators.composite import climate_aggregate, decadal_composite, series_to_long
@@ -18,7 +19,7 @@ from phenoframe.registry.roles import (
     points, samples, table, tensors, with_ctes,
 )
 from phenoframe.scale.bounds import materialised
-from phenoframe.schemas import CLIMATE, COVARIATES, SOIL, TOPO
+from phenoframe.schemas import CALIFORNIA_CLASSES, CLIMATE, COVARIATES, SOIL, TOPO
 
 
 @query("decadal_median_composite", with_ctes(OBS, COMP, body="SELECT * FROM comp"))
@@ -108,6 +109,15 @@ def class_share(spark, sf):
     return rounded(audit.class_distribution(points(spark, sf), "y"), ["percent"], 4)
 
 
+@query("class_names", f"""
+SELECT CASE c_nationkey {' '.join(f"WHEN {k} THEN '{v}'" for k, v in CALIFORNIA_CLASSES.items())} ELSE 'Class ' || c_nationkey END AS name,
+       count(*) AS n, {sr('count(*) * 100.0 / (SELECT count(*) FROM customer)', 'percent', 4)} FROM customer GROUP BY c_nationkey""")
+def class_names(spark, sf):
+    counts = audit.class_distribution(table(spark, sf, "customer"), "c_nationkey")
+    named = counts.select(class_name(F.col("c_nationkey"), CALIFORNIA_CLASSES).alias("name"), "n", "percent")
+    return rounded(named, ["percent"], 4)
+
+
 @query("top_codes", """
 SELECT l_suppkey AS code, count(*) AS n FROM lineitem GROUP BY l_suppkey ORDER BY n DESC, code LIMIT 15
 """)

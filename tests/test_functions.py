@@ -203,3 +203,10 @@ def test_points_and_areas(spark):
     west, south, east, north = geo.buffer_bounds(-121.5, 38.9, 2500)
     assert west < -121.5 < east and south < 38.9 < north
     assert (north - south) * 111.2 == pytest.approx(5.0, abs=0.02)
+
+
+def test_class_name(spark):
+    from phenoframe.functions.labels import class_name
+
+    df = spark.createDataFrame([(0,), (7,), (None,)], "y int")
+    assert [r[0] for r in df.select(class_name(F.col("y"), {0: "Corn"})).collect()] == ["Corn", "Class 7", None]
