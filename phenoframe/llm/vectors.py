@@ -1,8 +1,11 @@
 """Embedding near-duplicates over a robust-pruned flat graph.
 
-Equal vectors collapse to one node. The nodes of a label are clustered, and each node joins
-every cluster whose border lies within the link radius, so linked nodes share the home cluster
-of either. A cluster is a shard; one that outgrows ``shard_rows`` is dealt into parts, and its
+Equal vectors collapse to one node. The nodes of a label are clustered; a cluster is a shard,
+and each node also visits near shards whose border lies within the link radius. Of two shards
+only one sends visitors to the other, so linked nodes of different shards meet once, where one
+of them is at home, and the link counts for both. A node visits the nearest few such shards; how
+many, an audit of links decides per label, up to all of them, which loses no link. A shard
+that outgrows ``shard_rows`` is dealt into parts, and its
 queries visit all of them, at most about ``shard_rows`` in one task. Each part builds a graph whose edges are pruned for direction
 (a far neighbour is dropped when a nearer one leads to it), the adjacency lists of a node from
 all its shards are united, and each node searches its home shard: a greedy beam from its own
@@ -30,6 +33,7 @@ SIMILARITY = 0.93
 SHARD_ROWS = 4096  # nodes a centroid is meant for, and in one part of a shard
 CENTROIDS = 8192  # at most, over all labels; larger shards are dealt into parts
 SAMPLE_ROWS = 40_000  # vectors that place the centroids, at most
+NEAR_SHARDS = 6  # nearest shards, its home included, that a node can be in; doubled where links get lost
 CANDIDATES, DEGREE, ALPHA = 48, 24, 1.2
 BEAM = 48
 SLACK = 0.06  # nodes this much below the similarity are still expanded
@@ -196,10 +200,19 @@ class Searcher:
         return False
 
 
-def near_shards(x: np.ndarray, c: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def visits(a, b):
+    """Whether nodes at home in shard ``a`` visit shard ``b``; of two shards one visits the other."""
+    return ((a + b) % 2 == 0) == (a < b)
+
+
+def near_shards(
+    x: np.ndarray, c: np.ndarray, similarity: float, most: int | None = None, oneway: bool = False
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Row, shard and whether it is the home, of the shards each row of ``x`` belongs to.
 
-    Rows come in blocks whose tables hold at most ``SHARD_CELLS`` entries.
+    These are the shards whose border is within the link radius; with ``most`` those among its
+    nearest, with ``oneway`` those that the home's nodes visit. Rows come in blocks whose
+    tables hold at most ``SHARD_CELLS`` entries.
     """
     reach = 2 * float(np.sqrt(max(0.0, 2 - 2 * similarity)))
     square = (c * c).sum(axis=1)
@@ -210,25 +223,115 @@ def near_shards(x: np.ndarray, c: np.ndarray, similarity: float) -> Iterator[tup
         first = d.argmin(axis=1)
         gap = square[first][:, None] + square[None, :] - 2 * c[first] @ c.T
         gap = np.sqrt(np.maximum(gap, 0) + 1e-12)  # never below the true distance
-        i, j = np.nonzero(d - d[np.arange(len(rows)), first][:, None] <= reach * gap + 1e-9)
+        inside = d - d[np.arange(len(rows)), first][:, None] <= reach * gap + 1e-9
+        if most is not None and most < len(c):
+            inside &= d <= np.partition(d, most - 1, axis=1)[:, most - 1 : most]
+        if oneway:
+            inside &= visits(first[:, None], np.arange(len(c))[None, :]) | (np.arange(len(c)) == first[:, None])
+        i, j = np.nonzero(inside)
         yield low + i, j, j == first[i]
 
 
-def assigned(nodes: DataFrame, centroids: dict, similarity: float) -> DataFrame:
-    """A row per node and shard it belongs to; ``home`` marks the nearest centroid's shard."""
+def shard_ranks(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Rank of each centroid by its distance from each row; a row's home has rank 0."""
+    d = (c * c).sum(axis=1)[None, :] - 2 * x @ c.T
+    ranks = np.empty(d.shape, np.int32)
+    np.put_along_axis(ranks, np.argsort(d, axis=1, kind="stable"), np.arange(len(c), dtype=np.int32)[None, :], axis=1)
+    return ranks
+
+
+def levels(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How often ``NEAR_SHARDS`` must double before rows ``i`` and ``j`` meet, by their tables of ranks."""
+    a, b = x.argmin(axis=1)[i], y.argmin(axis=1)[j]
+    rank = np.where(visits(a, b), x[i, b], y[j, a])  # 0 where both are at home
+    return np.ceil(np.log2(np.maximum(1, (rank + 1) / NEAR_SHARDS))).astype(np.int64)
+
+
+def simulated_levels(x: np.ndarray, ranks: np.ndarray, c: np.ndarray, similarity: float) -> np.ndarray:
+    """Levels of links to made-up vectors, in any direction at any cosine down to the link's."""
+    rng = np.random.default_rng(len(x))
+    aside = rng.normal(size=x.shape)
+    aside -= (aside * x).sum(axis=1, keepdims=True) * x
+    aside /= np.maximum(np.linalg.norm(aside, axis=1, keepdims=True), 1e-300)
+    cosine = rng.uniform(similarity, 1, (len(x), 1))
+    moved = cosine * x + np.sqrt(np.maximum(0, 1 - cosine**2)) * aside
+    every = np.arange(len(x))
+    return levels(ranks, shard_ranks(moved, c), every, every)
+
+
+def shards_needed(nodes: DataFrame, centroids: dict, sample: dict, similarity: float) -> dict[int, int]:
+    """Nearest shards per group that keep ``RECALL`` of the links; groups not named need all.
+
+    The sampled nodes of a group, at most ``AUDITED``, are compared with all its nodes. Recall
+    is the mean, over sampled nodes with links, of the share whose two ends meet in a shard.
+    Made-up links must reach it too, since a group's sample may have few links or none. Groups
+    with at most ``NEAR_SHARDS`` shards are not audited: they lose nothing.
+    """
+    asked = {
+        g: (sample[g][0], sample[g][1], shard_ranks(sample[g][1], c))
+        for g, c in centroids.items()
+        if len(c) > NEAR_SHARDS
+    }
+    if not asked:
+        return {}
+    sent = nodes.sparkSession.sparkContext.broadcast(({g: centroids[g] for g in asked}, asked))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups = batch.column("grp").to_numpy(zero_copy_only=False)
+            ids = batch.column("node").to_numpy(zero_copy_only=False)
+            for g in np.unique(groups).tolist():
+                if g not in sent.value[1]:
+                    continue
+                c, (names, x, ranks) = sent.value[0][g], sent.value[1][g]
+                rows = np.flatnonzero(groups == g)
+                y = matrix(batch.column("embedding").take(pa.array(rows)))
+                step, counts = max(1, SHARD_CELLS // len(c)), np.zeros((len(x), 64), np.int64)
+                for low in range(0, len(y), step):
+                    some = y[low : low + step]
+                    j, i = np.nonzero((some @ x.T >= similarity) & (ids[rows[low : low + step], None] != names))
+                    if len(i):
+                        np.add.at(counts, (i, levels(ranks, shard_ranks(some, c), i, j)), 1)
+                i, level = np.nonzero(counts)
+                columns = [np.full(len(i), g), names[i], level, counts[i, level]]
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in columns], ["grp", "node", "level", "n"])
+
+    audited = nodes.select("node", "grp", "embedding").mapInArrow(run, "grp bigint, node bigint, level bigint, n bigint")
+    found = audited.groupBy("grp", "node", "level").agg(F.sum("n").alias("n")).toPandas()
+    found["share"] = found["n"] / found.groupby(["grp", "node"])["n"].transform("sum")
+    needed = {}
+    for g, (_, x, ranks) in asked.items():
+        made = simulated_levels(x, ranks, centroids[g], similarity)
+        real = found[found["grp"] == g]
+        queries = max(1, real["node"].nunique())
+        level = 0
+        while NEAR_SHARDS << level < len(centroids[g]):
+            kept = real.loc[real["level"] <= level, "share"].sum() / queries if len(real) else 1.0
+            if min(kept, (made <= level).mean()) >= RECALL:
+                needed[g] = NEAR_SHARDS << level
+                break
+            level += 1
+    return needed
+
+
+def assigned(nodes: DataFrame, centroids: dict, similarity: float, most: dict[int, int] | None = None) -> DataFrame:
+    """A row per node and shard it belongs to; ``home`` marks the nearest centroid's shard.
+
+    ``most`` bounds the shards of a node for the groups it names.
+    """
     spark = nodes.sparkSession
-    sent = spark.sparkContext.broadcast(centroids)
+    sent = spark.sparkContext.broadcast((centroids, most or {}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             groups = batch.column("grp").to_numpy(zero_copy_only=False)
             for g in np.unique(groups).tolist():
                 rows = np.flatnonzero(groups == g)
-                c = sent.value.get(g)
+                c, bound = (part.get(g) for part in sent.value)
                 if c is None or len(c) < 2:
                     blocks = [(np.arange(len(rows)), np.zeros(len(rows), np.int64), np.ones(len(rows), bool))]
                 else:
-                    blocks = near_shards(matrix(batch.column("embedding").take(pa.array(rows))), c, similarity)
+                    blocks = near_shards(matrix(batch.column("embedding").take(pa.array(rows))), c, similarity, bound, True)
                 for i, shard, home in blocks:
                     row = pa.array(rows[i])
                     yield pa.RecordBatch.from_arrays(
@@ -248,24 +351,26 @@ def assigned(nodes: DataFrame, centroids: dict, similarity: float) -> DataFrame:
     return nodes.select("node", "grp", "copies", "embedding").mapInArrow(run, schema)
 
 
-def place_centroids(nodes: DataFrame, shard_rows: int) -> dict[int, np.ndarray]:
+def place_centroids(nodes: DataFrame, shard_rows: int) -> tuple[dict[int, np.ndarray], dict]:
     """Centroids per group that needs more than one shard, from a bounded sample.
 
     Groups get one centroid per ``shard_rows`` nodes, all fewer when they are over
-    ``CENTROIDS`` in total; a few rounds of k-means place them.
+    ``CENTROIDS`` in total; a few rounds of k-means place them. The second result holds, per
+    group, ids and vectors of at most ``AUDITED`` sampled nodes.
     """
     sizes = nodes.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_rows)
     total = sizes.agg(F.sum("n")).first()[0]
     if not total:
-        return {}
+        return {}, {}
     want = max(1, min(SAMPLE_ROWS, 24 * total // shard_rows))
     big = sizes.orderBy(F.desc("n"), "grp").limit(CENTROIDS).toPandas().set_index("grp")["n"]
     share = min(1.0, CENTROIDS * shard_rows / total)
     keyed = nodes.join(F.broadcast(nodes.sparkSession.createDataFrame(pd.DataFrame({"_g": big.index}), "_g bigint")), F.col("grp") == F.col("_g"))
-    rows = keyed.select("grp", "embedding", F.xxhash64("node").alias("h")).orderBy("h").limit(want).toArrow()
-    groups, out = rows.column("grp").to_numpy(), {}
+    rows = keyed.select("node", "grp", "embedding", F.xxhash64("node").alias("h")).orderBy("h").limit(want).toArrow()
+    groups, ids, out, sample = rows.column("grp").to_numpy(), rows.column("node").to_numpy(), {}, {}
     for g, n in big.items():
-        x = matrix(rows.column("embedding").take(pa.array(np.flatnonzero(groups == g))))
+        at = np.flatnonzero(groups == g)
+        x = matrix(rows.column("embedding").take(pa.array(at)))
         k = min(len(x), int(np.ceil(n * share / shard_rows)))
         if k < 2:
             continue
@@ -274,8 +379,8 @@ def place_centroids(nodes: DataFrame, shard_rows: int) -> dict[int, np.ndarray]:
             first = ((c * c).sum(axis=1)[None, :] - 2 * x @ c.T).argmin(axis=1)
             for j in np.unique(first):
                 c[j] = x[first == j].mean(axis=0)
-        out[int(g)] = c
-    return out
+        out[int(g)], sample[int(g)] = c, (ids[at[:AUDITED]], x[:AUDITED])
+    return out, sample
 
 
 def graph_edges(members: DataFrame) -> DataFrame:
@@ -300,7 +405,7 @@ def search_rows(linked: DataFrame) -> DataFrame:
     Foreign queries come in ``chunks`` of a shard; the members are in all of them and ask in
     the first, so a group stays bounded however many queries a shard has.
     """
-    columns = ["node", "grp", "shard", "part", "chunk", "asked", "copies", "embedding", "near", "member"]
+    columns = ["node", "grp", "shard", "part", "chunk", "asked", "home", "copies", "embedding", "near", "member"]
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     members = linked.withColumn("chunk", numbers("chunks")).withColumns(
         {"asked": F.col("home") & (F.col("chunk") == 0), "member": F.lit(True)}
@@ -324,14 +429,16 @@ def search_rows(linked: DataFrame) -> DataFrame:
 
 def searched(rows: DataFrame, similarity: float, beam: int = BEAM) -> DataFrame:
     """``(node, root, links)``: per query its links in a part, and per node a representative
-    of what it is linked with there. ``rows`` are those of ``search_rows``."""
+    of what it is linked with there. A visitor asks nowhere but at home, so what finds it
+    elsewhere counts for it too. ``rows`` are those of ``search_rows``."""
 
     def search(table: pa.Table) -> pa.Table:
         member = table.column("member").to_numpy(zero_copy_only=False).astype(bool)
         home = table.column("asked").to_numpy(zero_copy_only=False).astype(bool)
+        visitor = ~table.column("home").to_numpy(zero_copy_only=False).astype(bool)
         order = np.concatenate([np.flatnonzero(member), np.flatnonzero(~member)])
         table = table.take(pa.array(order))
-        n, home = int(member.sum()), home[order]
+        n, home, visitor = int(member.sum()), home[order], visitor[order]
         ids, copies = table.column("node").to_numpy(), table.column("copies").to_numpy()
         x = matrix(table.column("embedding"))
         near = table.column("near").combine_chunks()
@@ -355,8 +462,10 @@ def searched(rows: DataFrame, similarity: float, beam: int = BEAM) -> DataFrame:
             block = asked[low : low + step]
             q, node = finder.links(block, x, exact)
             links[block] = np.bincount(q, copies[node], minlength=len(block)).astype(np.int64)
+            away = visitor[node]
+            np.add.at(links, node[away], copies[block[q[away]]])
             labels = joined_labels(len(ids), labels[block[q]], labels[node])[labels]
-        rows = np.flatnonzero(home | (labels != np.arange(len(ids))))
+        rows = np.flatnonzero(home | (links > 0) | (labels != np.arange(len(ids))))
         return pa.table(
             {
                 "node": pa.array(ids[rows]),
@@ -402,8 +511,9 @@ def vector_groups(
         same.withColumn("node", F.monotonically_increasing_id())
         .withColumn("grp", F.xxhash64("label", F.size("embedding")))
     )
-    placed = assigned(nodes, place_centroids(nodes, shard_rows), similarity)
-    counted = materialised(placed)
+    centroids, sample = place_centroids(nodes, shard_rows)
+    most = shards_needed(nodes, centroids, sample, similarity)
+    counted = materialised(assigned(nodes, centroids, similarity, most))
     sizes = materialised(
         counted.groupBy("grp", "shard").agg(
             F.ceil(F.count(F.lit(1)) / (2 * shard_rows)).cast("int").alias("parts"),

@@ -112,6 +112,65 @@ def test_shards_of_many_centroids_in_bounded_memory():
     assert peak < 1500 * 700 * 32 * 8 / 2  # half of the rows x centroids x dim table
 
 
+def brute_links(x):
+    """Links and smallest reachable number of unit rows."""
+    near = x @ x.T >= 0.93
+    np.fill_diagonal(near, False)
+    least = np.arange(len(x))
+    while True:
+        lower = np.minimum(least, np.where(near, least[None, :], len(x)).min(axis=1))
+        if (lower == least).all():
+            return near.sum(axis=1), least
+        least = lower
+
+
+def test_three_thousand_vectors_of_one_label_in_many_shards(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(2500, 24))
+    step = np.concatenate([0.06 * rng.normal(size=(800, 24)), 0.07 * rng.normal(size=(200, 24))])
+    x = np.concatenate([x, x[np.concatenate([np.arange(800), np.zeros(200, int)])] + step])
+    x = x[rng.permutation(len(x))]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links, least = brute_links(x)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.vector_groups(df, shard_rows=60).collect()}
+    found = np.array([got[i][0] for i in range(len(x))])
+    linked = links > 0
+    assert (found <= links).all() and (found[linked] / links[linked]).mean() >= 0.97
+    assert np.mean([got[i][1] == least[i] for i in range(len(x))]) >= 0.97
+
+
+@pytest.mark.parametrize("k", [8, 64, 512])
+def test_uniform_vectors_join_few_shards(k):
+    rng = np.random.default_rng(7)
+    x, c = rng.normal(size=(3000, 64)), rng.normal(size=(k, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c *= 0.4 / np.linalg.norm(c, axis=1, keepdims=True)
+    rows = sum(len(i) for i, _, _ in vectors.near_shards(x, c, 0.93, vectors.NEAR_SHARDS, True))
+    assert rows < 4 * len(x)
+    ranks = vectors.shard_ranks(x, c)
+    assert (vectors.simulated_levels(x, ranks, c, 0.93) == 0).mean() >= 0.9
+
+
+def test_of_two_shards_one_visits_the_other():
+    a, b = np.meshgrid(np.arange(40), np.arange(40))
+    assert (vectors.visits(a, b) ^ vectors.visits(b, a))[a != b].all() and not vectors.visits(a, b)[a == b].any()
+    share = vectors.visits(a, b).mean(axis=0)
+    assert share.min() > 0.4 and share.max() < 0.6
+
+
+def test_linked_pairs_meet_once_without_a_bound():
+    x, due = crowd(100, 300, 16)
+    c = x[:40] * 0.5
+    shards, home = [set() for _ in x], [None] * len(x)
+    for i, j, h in ((i, j, h) for block in vectors.near_shards(x, c, 0.93, None, True) for i, j, h in zip(*(a.tolist() for a in block))):
+        shards[i].add(j)
+        if h:
+            home[i] = j
+    near = [(i, j) for i, j in zip(*np.nonzero(x @ x.T >= 0.93)) if i < j]
+    assert all((home[j] in shards[i]) + (home[i] in shards[j]) == 1 + (home[i] == home[j]) for i, j in near)
+
+
 def test_groups_of_the_search_stay_bounded(spark):
     rows = spark.range(4000).select(
         F.col("id").alias("node"), F.lit(0).alias("grp"), F.lit(0).alias("shard"), (F.col("id") % 10).cast("int").alias("part"),
