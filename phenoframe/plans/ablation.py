@@ -21,6 +21,8 @@ from phenoframe.operators.evaluate import evaluation
 from phenoframe.operators.sampling import oversample_balanced
 from phenoframe.scale.bounds import materialised, small_table
 
+FOREST_ROWS = 40_000  # rows of a task that fits a forest
+
 
 def flatten(series: Column) -> Column:
     """Series as one flat feature array."""
@@ -33,11 +35,23 @@ def spread(df: DataFrame, array: str, width: int, prefix: str) -> tuple[DataFram
     return df.withColumns({n: F.get(array, F.lit(i)) for i, n in enumerate(names)}), names
 
 
-def importance(df: DataFrame, features: list[str], y: str, trees: int = 200, depth: int = 15, seed: int = 42) -> DataFrame:
-    """Relative importance of columns in a random forest: ``(name, importance)``."""
+def importance(
+    df: DataFrame, features: list[str], y: str, trees: int = 200, depth: int = 15, seed: int = 42,
+    rows_per_task: int = FOREST_ROWS,
+) -> DataFrame:
+    """Relative importance of columns in a random forest: ``(name, importance)``.
+
+    Every level of the forest passes over all rows, in the partitions they are given in, so a
+    table that one file holds would stay with one core. Above ``rows_per_task`` rows they are
+    dealt to as many tasks as that takes; not to more, because each task sends statistics of
+    every open node. A row remembers its node in each tree from one level to the next.
+    """
     data = VectorAssembler(inputCols=features, outputCol="_x").transform(df).select("_x", y)
+    tasks = -(-data.count() // rows_per_task)
+    if tasks > 1:
+        data = data.repartition(tasks)
     forest = RandomForestClassifier(
-        featuresCol="_x", labelCol=y, numTrees=trees, maxDepth=depth, seed=seed
+        featuresCol="_x", labelCol=y, numTrees=trees, maxDepth=depth, seed=seed, cacheNodeIds=True
     )
     values = forest.fit(data).featureImportances.toArray()
     rows = [(n, float(v)) for n, v in zip(features, values)]

@@ -52,3 +52,19 @@ def test_rates_keep_their_best_epoch(spark):
         assert 1 <= r["best_epoch"] <= r["epochs"] <= 5 and r["val_loss"] > 0
         assert r["epochs"] == 5 or r["epochs"] - r["best_epoch"] == 2
     assert got[0]["val_loss"] < math.log(3) * 1.2
+
+
+def test_forest_rows_are_dealt_to_several_tasks(spark, monkeypatch):
+    df = spark.createDataFrame(list(rows(90, 3)), SCHEMA).coalesce(1)
+    fit, seen = ablation.RandomForestClassifier.fit, []
+
+    def counted(self, data):
+        seen.append((data.rdd.getNumPartitions(), data.count(), self.getNumTrees(), self.getMaxDepth()))
+        return fit(self, data)
+
+    monkeypatch.setattr(ablation.RandomForestClassifier, "fit", counted)
+    for limit in (20, 90):
+        got = ablation.importance(df, ["a", "b", "c"], "y", trees=5, depth=4, rows_per_task=limit).collect()
+        assert [r["name"] for r in got] == ["a", "b", "c"] and sum(r["importance"] for r in got) == pytest.approx(1)
+    assert seen == [(5, 90, 5, 4), (1, 90, 5, 4)]
+    assert ablation.FOREST_ROWS < 100_000
