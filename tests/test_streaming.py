@@ -62,6 +62,29 @@ def test_state_grows_with_different_values_only(spark, tmp_path):
     assert sum(op["numRowsTotal"] for op in query.lastProgress["stateOperators"]) == 6
 
 
+def test_state_does_not_grow_with_the_bands(spark, tmp_path):
+    bands = ["a", "b", "c", "e"]
+    rows = [(i % 3, "2021-06-01", *[float(i + k) if i < 30 else None for k in range(4)]) for i in range(33)] * 2
+    schema = "p int, d date, a double, b double, c double, e double"
+    df = spark.createDataFrame(rows, schema.replace("d date", "d string")).withColumn("d", F.to_date("d"))
+    source, out, progress = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "progress")
+
+    def step(part, name):
+        part.coalesce(1).write.parquet(str(source / name))
+        stream = spark.readStream.schema(schema).parquet(str(source / "*"))
+        query = run_available(stream_composite(stream, ["p"], "d", bands), out, progress)
+        query.awaitTermination()
+        return query
+
+    # thirty different observations and three counts of rows; one entry per value would be 123
+    assert sum(op["numRowsTotal"] for op in step(df, "one").lastProgress["stateOperators"]) == 33
+    step(df.withColumn("d", F.to_date(F.lit("2021-07-20"))), "two")
+    got = spark.read.parquet(out)
+    want = decadal_composite(df, ["p"], "d", bands).select("p", "year", "bin", *bands, "valid")
+    assert got.count() == 3 and {r["observations"] for r in got.collect()} == {22}
+    assert {tuple(r) for r in got.select(*want.columns).collect()} == {tuple(r) for r in want.collect()}
+
+
 def test_late_rows_are_reported_by_bin(spark, tmp_path):
     source, out, progress = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "progress")
     arrivals = [
