@@ -137,3 +137,28 @@ def test_quality_columns_may_clash(spark):
     kept = quality.keep_good(docs, labels)
     assert kept.columns == docs.columns and {r["doc_id"] % 2 for r in kept.collect()} == {1}
     assert {r["doc_id"]: r["predicted"] for r in quality.quality_scores(docs, labels).collect()} == {i: i % 2 for i in range(20)}
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.9])
+def test_all_labelled_rows_fit_the_ranking(spark, share):
+    rng = np.random.default_rng(5)
+    n, k = 24_000, len(quality.FEATURES)
+    y = (rng.random(n) < share).astype(int)
+    x = rng.normal(size=(n, k)) + np.outer(y, np.linspace(-0.5, 0.5, k))
+    known = spark.createDataFrame(
+        pa.table({"_id": np.arange(n), "features": pa.array(list(x)), "_y": pa.array(y, pa.int32())}), "_id bigint, features array<double>, _y int"
+    )
+    got = quality.fit_rows(known, 0.7)
+    # in the order in which rows are numbered, the weights are those of the fit in memory
+    at = [r["_id"] for r in known.selectExpr("_id", "xxhash64(_id) h").orderBy("h", "_id").select("_id").collect()]
+    want = quality.fit_ranking(x[at], y[at])
+    assert got.weights == pytest.approx(want.weights, abs=1e-6) and got.shift == pytest.approx(want.shift, abs=1e-6)
+    s = 1 / (1 + np.exp(-(x @ got.weights + got.shift)))
+    assert (s < 0.7).sum() == (y == 0).sum()
+
+
+def test_labels_are_not_sampled(spark):
+    labels = spark.range(30_000).selectExpr("id AS doc_id", "CAST(id % 3 = 0 AS int) AS quality")
+    odd = labels.limit(0).unionAll(spark.createDataFrame([(1, 1), (1, 0), (None, 1), (40_000, 1), (40_000, 1)], "doc_id bigint, quality int"))
+    rows = quality.labelled_rows(labels.union(odd), "doc_id", "quality")
+    assert rows.count() == 30_000 and rows.where("_id = 1").isEmpty()
