@@ -85,6 +85,30 @@ def test_state_does_not_grow_with_the_bands(spark, tmp_path):
     assert {tuple(r) for r in got.select(*want.columns).collect()} == {tuple(r) for r in want.collect()}
 
 
+def test_state_lies_on_disk(spark, tmp_path):
+    source, provider = tmp_path / "in", "spark.sql.streaming.stateStore.providerClass"
+    arrive(spark, source, "one", [(1, "2021-06-01", float(i)) for i in range(300)])
+
+    def step(name):
+        stream = spark.readStream.schema(SCHEMA).parquet(str(source / "*"))
+        query = run_available(stream_composite(stream, ["p"], "d", ["a"]), str(tmp_path / name / "out"), str(tmp_path / name / "progress"))
+        query.awaitTermination()
+        return [op["customMetrics"].get("rocksdbPutCount") for p in query.recentProgress for op in p["stateOperators"]]
+
+    assert sum(step("disk")) == 301  # no value is missing: every store is one on disk
+    assert spark.conf.get(provider, None) is None  # the session is left as it was
+    arrive(spark, source, "two", [(1, "2021-07-20", 1.0)])
+    assert sum(step("disk")) >= 2  # a later start finds what is on disk
+    made = [(r["bin"], r["a"], r["observations"]) for r in spark.read.parquet(str(tmp_path / "disk" / "out")).collect()]
+    assert made == [(15, 149.5, 300)]
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    try:  # a store that the session names is kept
+        assert set(step("other")) == {None}
+        assert "HDFSBacked" in spark.conf.get(provider)
+    finally:
+        spark.conf.unset(provider)
+
+
 def test_late_rows_are_reported_by_bin(spark, tmp_path):
     source, out, progress = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "progress")
     arrivals = [
