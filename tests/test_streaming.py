@@ -1,5 +1,7 @@
 """The streaming composite over files that arrive one after another."""
 
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from phenoframe.operators.composite import decadal_composite
@@ -109,6 +111,17 @@ def test_state_lies_on_disk(spark, tmp_path):
         spark.conf.unset(provider)
 
 
+def test_stores_set_no_disk_aside(spark, tmp_path):
+    source, out, progress = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "progress")
+    for name in ("one", "two"):
+        arrive(spark, source, name, [(1, "2021-06-01", 1.0)])
+        stream = spark.readStream.schema(SCHEMA).parquet(str(source / "*"))
+        run_available(stream_composite(stream, ["p"], "d", ["a"]), out, progress).awaitTermination()
+    local = Path(spark._jvm.org.apache.spark.util.Utils.getLocalDir(spark.sparkContext._jsc.sc().conf()))
+    taken = [f.stat().st_blocks * 512 for f in local.glob("**/StateStoreId*/**/MANIFEST-*")]
+    assert taken and max(taken) < 1_000_000
+
+
 def test_late_rows_are_reported_by_bin(spark, tmp_path):
     source, out, progress = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "progress")
     arrivals = [
